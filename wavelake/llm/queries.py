@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, langid, toxicity, unigram_codec
+from . import bitpack, embed_dedup, langid, toxicity, unigram_codec, warc
 from .common import held_out, scratch, table
 
 #: The public vocabularies; another folder's files may be named instead.
@@ -23,6 +23,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    path = scratch(spark, "warc")
+    warc.register(spark)
+    warc.planned(table(spark, sf_dir, "pages")).write.format("warc").option("path", path).mode("append").save()
+    back = spark.read.format("warc").option("path", path).option("payload", "verify").option("partition_bytes", 16 << 20).load()
+    return back.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +53,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (unigram_codec.decoded(F.col("ids"), parts) == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept."""
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: held_out, lang_pred, score, nats_per_letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
@@ -51,5 +65,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, PIECES).alias("p")).select("doc_id", "held_out", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_bit_packed_ids, op7_sentencepiece, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op5_bit_packed_ids, op7_sentencepiece, op8_embedding_dedup, op9_language_id)}
 ORACLES: dict[str, str] = {}
