@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, embed_dedup, langid, toxicity, unigram_codec, warc
+from . import bitpack, chosen_path, embed_dedup, langid, toxicity, unigram_codec, warc
 from .common import held_out, scratch, table
 
 #: The public vocabularies; another folder's files may be named instead.
@@ -45,6 +45,11 @@ def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", bitpack.crc_of(F.col("ids")).alias("ids_crc32"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, class_id, n_links (five-word shingles, Jaccard of 0.8 or more)."""
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its piece ids, their number, and whether decoding gives back the text."""
     parts = unigram_codec.Codec.load(PIECES)
@@ -65,5 +70,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, PIECES).alias("p")).select("doc_id", "held_out", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op5_bit_packed_ids, op7_sentencepiece, op8_embedding_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op5_bit_packed_ids, op6_ngram_jaccard_join, op7_sentencepiece, op8_embedding_dedup, op9_language_id)}
 ORACLES: dict[str, str] = {}
