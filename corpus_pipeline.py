@@ -1,10 +1,60 @@
-"""The corpus pipeline: five stages over documents, each by one corpus operator."""
+"""The corpus pipeline: five stages over documents, each by one corpus operator, written as Parquet between them."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavelake.llm import chaining, chosen_path, langid, mixing, unigram_codec
+from wavelake.llm.common import fresh, held_out, table, written
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with letters that some learned language explains better than uniform bytes."""
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"))), PIECES)
+    guess = fresh(docs, "_guess")
+    return docs.withColumn(guess, langid.predict(F.col("text"), model, PIECES)).where(langid.accepted(F.col(guess))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies (and rows without an id)."""
+    links = chosen_path.join(docs)
+    later = links.where("doc_id <> class_id").select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, docs["doc_id"] == F.col("_later"), "left_anti").select(*docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of all documents but the first that holds them."""
+    found, _ = written(chaining.find(docs), "passages")
+    out = chaining.without(docs, found)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the documents in the order of the mixture: by files, and by rows in each."""
+    names = tuple(fresh(docs, x) for x in ("_block", "_slot", "_position"))
+    mixed = mixing.mix(docs, names=names)
+    return mixed.repartitionByRange(names[2]).sortWithinPartitions(names[2]).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, piece ids and their number."""
+    parts = unigram_codec.Codec.load(PIECES)
+    return docs.select("doc_id", "source", unigram_codec.encoded(F.col("text"), parts).alias("ids")).withColumn("n_tokens", F.size("ids"))
+
+
+STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", passages), ("mixing", mixture), ("sentencepiece", encode)]
+#: Learned models, similarity joins and Viterbi have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = out if stage is encode else written(out, name.replace(" ", "-"))[0]
+    return docs

@@ -29,7 +29,9 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Longer runs of letters are scored in parts of this length.
 LONGEST = 64
-KEEP_WORDS = 150_000
+KEEP_WORDS = 300_000
+#: The multiplier of the runs' polynomial hash.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Nats per letter below which even the best language explains a text no better than uniform bytes.
 FLOOR = -float(np.log(256))
 
@@ -50,23 +52,47 @@ class Lattice:
         pieces, self.longest = vocabulary(path)
         self.size = len(pieces)
         self.ids = {p: i for i, p in enumerate(pieces) if p and not (p.startswith("<0x") and p.endswith(">"))}
+        with np.errstate(over="ignore"):
+            named = sorted((self.name(p), len(p), i) for p, i in self.ids.items())
+        self.names, self.lengths, self.numbers = np.array([x[0] for x in named], np.uint64), np.array([x[1] for x in named]), np.array([x[2] for x in named])
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.names >> np.uint64(44)] = True
         self.bytes = np.full(256, -1)
         for i, p in enumerate(pieces):
             if re.fullmatch(r"<0x[0-9A-F]{2}>", p):
                 self.bytes[int(p[3:5], 16)] = i
 
+    @staticmethod
+    def name(piece: str) -> int:
+        out = 0
+        for c in piece:
+            out = (out * int(STEP) + ord(c) + 1) % (1 << 64)
+        return out
+
     def places(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For words of one length: (end, length, row numbers, piece ids); a character that is no piece has length 0 and is spelt in bytes."""
-        n, out, get = len(words[0]), [], self.ids.get
-        for end in range(1, n + 1):
-            for k in range(1, min(end, self.longest) + 1):
-                found = [get(w[end - k : end], -1) for w in words]
-                ids = np.array(found)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    out.append((end, k, rows, ids[rows]))
-                if k == 1 and len(rows) < len(words):
-                    out.append((end, 0, np.flatnonzero(ids < 0), ids))
+        """For words of one length: (end, length, row numbers, piece ids); a character that is no piece has length 0 and is spelt in bytes.
+
+        Runs of each length are numbered by a polynomial hash of their characters, and looked up in all words at once.
+        """
+        n = len(words[0])
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+        run, out = np.zeros((len(words), n + 1), np.uint64), []
+        with np.errstate(over="ignore"):
+            for k in range(1, min(n, self.longest) + 1):
+                run = run[:, : n - k + 1] * STEP + codes[:, k - 1 :] + np.uint64(1)
+                start, rows = np.nonzero(self.sieve[run >> np.uint64(44)].T)
+                name = run[rows, start]
+                at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+                ok = (self.names[at] == name) & (self.lengths[at] == k)
+                start, rows, ids = start[ok], rows[ok], self.numbers[at[ok]]
+                cuts = np.searchsorted(start, np.arange(n - k + 2))
+                for i in range(n - k + 1):
+                    low, high = cuts[i], cuts[i + 1]
+                    if high > low:
+                        out.append((i + k, k, rows[low:high], ids[low:high]))
+                    if k == 1 and high - low < len(words):
+                        out.append((i + 1, 0, np.setdiff1d(np.arange(len(words)), rows[low:high]), None))
+        out.sort(key=lambda x: (x[0], x[1]))
         return out
 
     def spelt(self, words: list[str], end: int, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -74,30 +100,30 @@ class Lattice:
         seen = {c: p[self.bytes[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]].prod(0) for c in {words[r][end - 1] for r in rows}}
         return np.array([seen[words[r][end - 1]] for r in rows])
 
-    def forward(self, words: list[str], places: list, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled prefix sums [position, word, language] and the logarithms of each position's scale."""
+    def forward(self, words: list[str], places: list, p: np.ndarray) -> np.ndarray:
+        """Logarithms of the prefix sums [position, word, language]."""
         n = len(words[0])
         a = np.zeros((n + 1, len(words), p.shape[1]))
-        a[0] = 1
+        by_end: dict[int, list] = {}
+        for end, *place in places:
+            by_end.setdefault(end, []).append(place)
         scale = np.zeros((n + 1, len(words), p.shape[1]))
         for end in range(1, n + 1):
             top = np.maximum.reduce(scale[max(0, end - self.longest) : end], axis=0)
-            for e, k, rows, ids in places:
-                if e == end:
-                    back = end - max(k, 1)
-                    step = p[ids] if k else self.spelt(words, end, rows, p)
-                    a[end, rows] += a[back, rows] * np.exp(scale[back, rows] - top[rows]) * step
+            for k, rows, ids in by_end.get(end, ()):
+                back = end - max(k, 1)
+                step = p[ids] if k else self.spelt(words, end, rows, p)
+                a[end, rows] += np.exp(scale[back, rows] - top[rows]) * step
             a[end] = np.maximum(a[end], 1e-300)
             scale[end] = top + np.log(a[end])
-            a[end] = 1
-        return a, scale
+        return scale
 
     def likelihood(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log P(word) by language for words of any length."""
         out = np.zeros((len(words), p.shape[1]))
         for rows in grouped(words):
             same = [words[r] for r in rows]
-            out[rows] = self.forward(same, self.places(same), p)[1][-1]
+            out[rows] = self.forward(same, self.places(same), p)[-1]
         return out
 
     def expected(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,16 +133,13 @@ class Lattice:
             same = [words[r] for r in rows]
             places = self.places(same)
             n = len(same[0])
-            _, alpha = self.forward(same, places, p)
-            alpha = alpha[:, :, 0]
+            alpha = self.forward(same, places, p)[:, :, 0]
             beta = np.full((n + 1, len(same)), -np.inf)
             beta[n] = 0
-            for end in range(n, 0, -1):
-                for e, k, at, _ in places:
-                    if e == end:
-                        back = end - max(k, 1)
-                        step = np.log(p[0, 0]) if k else np.log(self.spelt(same, end, at, p)[:, 0])
-                        beta[back, at] = np.logaddexp(beta[back, at], beta[end, at] + step)
+            for end, k, at, _ in reversed(places):  # ends come in order, so all that follow one are done
+                back = end - max(k, 1)
+                step = np.log(p[0, 0]) if k else np.log(self.spelt(same, end, at, p)[:, 0])
+                beta[back, at] = np.logaddexp(beta[back, at], beta[end, at] + step)
             for e, k, at, ids in places:
                 if k:
                     w = np.exp(alpha[e - k, at] + np.log(p[0, 0]) + beta[e, at] - alpha[n, at])
@@ -202,7 +225,7 @@ def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str)
         table = np.zeros((KEEP_WORDS, len(langs)))
         for batch in batches:
             pred, score, nats = [], [], []
-            for slab in slabs(batch):
+            for slab in slabs(batch, 2 << 20):
                 lists = [words_of(x) for x in slab]
                 new = [w for w in set().union(*lists) if w not in known]
                 base = len(known)

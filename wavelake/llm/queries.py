@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chosen_path, embed_dedup, langid, toxicity, unigram_codec, warc
+from . import bitpack, chaining, chosen_path, embed_dedup, langid, mixing, syncmers, toxicity, unigram_codec, warc
 from .common import held_out, scratch, table
 
 #: The public vocabularies; another folder's files may be named instead.
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     path = scratch(spark, "warc")
@@ -32,6 +37,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its source, block, slot and position in a mixture by the square roots of the sources' sizes."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,5 +80,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, PIECES).alias("p")).select("doc_id", "held_out", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_warc, op5_bit_packed_ids, op6_ngram_jaccard_join, op7_sentencepiece, op8_embedding_dedup, op9_language_id)}
+def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages: doc_id, ref_id, word and character ranges, identity."""
+    return chaining.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_syncmers, op3_warc, op4_mixing, op5_bit_packed_ids, op6_ngram_jaccard_join, op7_sentencepiece, op8_embedding_dedup, op9_language_id, op10_chaining)
+}
+#: DuckDB's forms; the tests hold the other operators against brute force.
 ORACLES: dict[str, str] = {}
+ORACLES["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to
+FROM q"""
