@@ -10,8 +10,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "ship", "shipped"]
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
