@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm import chaining, chosen_path, langid, mixing, unigram_codec
-from wavelake.llm.common import fresh, held_out, table, written
+from wavelake.llm.common import fresh, held_out, lean, table, written
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with letters that some learned language explains better than uniform bytes."""
+    lean(spark)
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))), PIECES)
     guess = fresh(docs, "_guess")
     return docs.withColumn(guess, langid.predict(F.col("text"), model, PIECES)).where(langid.accepted(F.col(guess))).select(*docs.columns)
@@ -21,6 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (and rows without an id)."""
+    lean(spark)
     links = chosen_path.join(docs)
     later = links.where("doc_id <> class_id").select(F.col("doc_id").alias("_later")).distinct()
     return docs.join(later, docs["doc_id"] == F.col("_later"), "left_anti").select(*docs.columns)
@@ -28,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of all documents but the first that holds them."""
+    lean(spark)
     found, _ = written(chaining.find(docs), "passages")
     out = chaining.without(docs, found)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
@@ -42,6 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, piece ids and their number."""
+    lean(spark)
     parts = unigram_codec.Codec.load(PIECES)
     return docs.select("doc_id", "source", unigram_codec.encoded(F.col("text"), parts).alias("ids")).withColumn("n_tokens", F.size("ids"))
 

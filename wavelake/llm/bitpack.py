@@ -34,7 +34,7 @@ from .common import Memo, slabs
 
 MAGIC = b"BPK1"
 BLOCK = 4096
-KEEP_CHUNKS, KEEP_WORDS = 250_000, 350_000
+KEEP_CHUNKS, KEEP_WORDS = 150_000, 250_000
 #: A plain word that the library takes whole, with what follows not a letter nor the mark of a contraction.
 WORD = re.compile(r"[A-Za-z]+(?=[.,;:!?\-%$&#*|)\n])")
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"

@@ -12,7 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session: texts of a few KB make batches of a few MB, not tens of them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Longer runs of letters are scored in parts of this length.
 LONGEST = 64
-KEEP_WORDS = 300_000
+KEEP_WORDS = 200_000
 #: The multiplier of the runs' polynomial hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Nats per letter below which even the best language explains a text no better than uniform bytes.
@@ -225,12 +225,12 @@ def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str)
         table = np.zeros((KEEP_WORDS, len(langs)))
         for batch in batches:
             pred, score, nats = [], [], []
-            for slab in slabs(batch, 2 << 20):
+            for slab in slabs(batch):
                 lists = [words_of(x) for x in slab]
                 new = [w for w in set().union(*lists) if w not in known]
                 base = len(known)
                 fresh = lattice.likelihood([MARK + w for w in new], p) if new and langs else np.zeros((0, len(langs)))
-                room = max(0, min(len(new), KEEP_WORDS - base))
+                room = max(0, min(len(new), KEEP_WORDS - base)) if langs else 0
                 for i, w in enumerate(new[:room]):
                     known[w] = base + i
                 table[base : base + room] = fresh[:room]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 MARK = "▁"
-KEEP_UNITS, KEEP_RUNS = 250_000, 350_000
+KEEP_UNITS, KEEP_RUNS = 120_000, 200_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
