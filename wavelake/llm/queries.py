@@ -95,8 +95,8 @@ ORACLES["op3_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, octet_length(encode(html)) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < first THEN first END AS refers_to
 FROM q"""
