@@ -161,3 +161,29 @@ def test_quality_and_topomap(spark):
     values = naming.montage(spark).select("key", F.lit(2.5).alias("v"))
     grid = recordings.topomap(values, naming.montage(spark), 9)
     assert all(math.isclose(r["v"], 2.5) for r in grid.collect()) and grid.count() > 40
+
+
+def test_brainvision_and_bids(spark, tmp_path):
+    from wavelake.sources import bids, brainvision
+
+    x = np.arange(50) / 7
+    for name, data in brainvision.encode("sub-01_ses-a_task-rest_eeg", [("C3", x), ("a,b", -x)], 100.0, [(0.1, 0.2, "go"), (0.3, 0, "stop")]).items():
+        (tmp_path / name).write_bytes(data)
+    signals, events = brainvision.read(spark, f"{tmp_path}/sub-01_ses-a_task-rest_eeg.vhdr")
+    got = {r["channel"]: r for r in signals.collect()}
+    assert np.allclose(got["C3"]["x"], x, atol=1e-5) and np.allclose(got["a,b"]["x"], -x, atol=1e-5) and got["C3"]["fs"] == 100
+    assert [(round(r["onset"], 6), round(r["duration"], 6), r["text"]) for r in events.orderBy("onset").collect()] == [(0.1, 0.2, "go"), (0.3, 0.0, "stop")]
+    rows = bids.index(spark, str(tmp_path)).collect()
+    assert {(r["sub"], r["ses"], r["task"], r["run"], r["suffix"]) for r in rows} == {("01", "a", "rest", None, "eeg")} and {r["extension"] for r in rows} == {".vhdr", ".vmrk", ".eeg"}
+
+
+def test_aperiodic(spark):
+    from wavelake.operators import aperiodic
+
+    f = np.arange(1, 101) * 0.5
+    p = 10 ** (1 - 1.5 * np.log10(f)) * (1 + 4 * np.exp(-((f - 10) ** 2)))
+    knee = 10 ** (2 - np.log10(50 + f**2))
+    table = spark.createDataFrame([("a", f.tolist(), p.tolist()), ("k", f.tolist(), knee.tolist()), ("e", [1.0], [1.0])], "c string, f array<double>, p array<double>")
+    got = {r["c"]: r["x"] for r in table.select("c", aperiodic.of(F.col("f"), F.col("p")).alias("x")).collect()}
+    assert abs(got["a"]["slope"] + 1.5) < 0.15 and abs(got["a"]["peak_hz"] - 10) < 1 and got["a"]["peak_db"] > 3
+    assert got["k"]["best"] == "knee" and abs(got["k"]["exponent"] - 2) < 0.1 and got["e"]["best"] is None
