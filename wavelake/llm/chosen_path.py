@@ -113,17 +113,30 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             yield pairs(rest)
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(rows) > 1:
-            path, cls, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), sketches(rows["sketch"])
-            for d in range(1, small):
-                at = np.flatnonzero(path[:-d] == path[d:])
-                if not len(at):
-                    break
-                hit = at[(tokens[at] == tokens[at + d]).mean(1) >= limit]
-                found_a.append(cls[hit])
-                found_b.append(cls[hit + d])
-        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        """A spanning forest of each node's similar pairs: at most a link for each row."""
+        n = len(rows)
+        if n < 2:
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        path, cls, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), sketches(rows["sketch"])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, small):
+            at = np.flatnonzero(path[:-d] == path[d:])
+            if not len(at):
+                break
+            hit = at[(tokens[at] == tokens[at + d]).mean(1) >= limit]
+            left.append(hit)
+            right.append(hit + d)
+        i, j, root = np.concatenate(left), np.concatenate(right), np.arange(n)
+        while True:
+            new = root.copy()
+            np.minimum.at(new, i, root[j])
+            np.minimum.at(new, j, root[i])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        tied = np.flatnonzero(root != np.arange(n))
+        return pd.DataFrame({"a": cls[tied], "b": cls[root[tied]]})
 
     level = classes.select("cls", "sketch").mapInPandas(roots, "path long, cls long")
     links = []
