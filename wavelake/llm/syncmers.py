@@ -110,14 +110,15 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     need = rows.groupBy("id").agg(F.max(half).alias("need"))
     want = following(rows, "id").join(need, "id").select(F.col("next_id"), F.col("id").alias("for"), "need")
     printed_rows = rows.withColumn("sketch", sketch(anchors(F.col("text"))))
-    # the texts are dealt out once by id; both joins read that exchange
-    dealt = printed_rows.repartition("id")
+    # the texts are dealt out once by id; both joins read that exchange, as both see the same filter before it
+    dealt = printed_rows.where("id is not null").repartition("id")
     starts = dealt.join(want, F.col("id") == F.col("next_id")).select(F.col("for").alias("id"), F.expr("substring(text, 1, need)").alias("start"), F.col("sketch").alias("next_sketch"), F.char_length("text").alias("rank"))
     if rows.agg((F.count("id") > F.count_distinct("id")).alias("x")).first()["x"]:
         starts = starts.groupBy("id").agg(F.max(F.struct("start", "next_sketch")).alias("m")).select("id", "m.*")
     else:
         starts = starts.drop("rank")
-    both = dealt.join(starts, "id", "left").withColumn("n", F.char_length("text"))
+    empty = printed_rows.where("id is null").select("*", F.lit(None).cast("string").alias("start"), F.lit(None).cast("array<int>").alias("next_sketch"))
+    both = dealt.join(starts, "id", "left").unionByName(empty).withColumn("n", F.char_length("text"))
     both = both.withColumn("edited", F.when(F.col("start").isNull(), F.col("text")).otherwise(F.concat(F.expr("substring(text, 1, n - n div 2)"), F.expr("substring(start, 1, CAST(n div 2 AS INT))"))))
     both = both.withColumn("edited_sketch", sketch(anchors(F.col("edited"))))
     return both.select(
