@@ -325,6 +325,31 @@ def test_chaining_finds_fuzzy_passages(spark):
     assert chaining.find(table.limit(0)).count() == 0
 
 
+def test_chaining_finds_passages_of_pieces_seen_earlier(spark):
+    rng = random.Random(12)
+    rows, copies = [], {}
+    for case, n in enumerate((1, 2, 3, 5, 8, 12)):  # pieces of 60, 30, 20, 12, 7 and 5 words, each first in a document of its own
+        base, whole = 100 * case, words(rng, 60, 10**6)
+        size = 60 // n
+        for i in range(n):
+            rows.append((base + i, words(rng, 60, 10**6) + whole[i * size : 60 if i == n - 1 else (i + 1) * size] + words(rng, 60, 10**6)))
+        for i in range(3):
+            rows.append((base + 50 + i, words(rng, 30 + 10 * i, 10**6) + whole + words(rng, 40, 10**6)))
+            copies[base + 50 + i] = (30 + 10 * i, 90 + 10 * i)
+    # a passage whose last 200 words are common elsewhere is not cut short
+    long = words(rng, 260, 10**6)
+    rows += [(900, long[60:]), (901, words(rng, 50, 10**6) + long), (902, words(rng, 70, 10**6) + long)]
+    copies |= {902: (70, 330)}
+    found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+    by = dict(rows)
+    for i, (start, end) in copies.items():
+        mine = found[(found.doc_id == i) & (found.start == start) & (found.end == end)]
+        first = i % 100 == 50 and i // 100 > 0  # the first whole copy has no earlier one
+        assert len(mine) == (0 if first else 1), (i, found[found.doc_id == i])
+    for r in found.itertuples():
+        assert r.ref_id < r.doc_id and by[r.doc_id][r.start : r.end] == by[r.ref_id][r.ref_start : r.ref_end]
+
+
 def test_chains_are_optimal_on_small_cases():
     rng = random.Random(10)
     for _ in range(60):
