@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm import chaining, chosen_path, langid, mixing, unigram_codec
@@ -44,10 +44,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, piece ids and their number."""
+    """doc_id, source, piece ids, their number, and the document's place in the mixture (order by it; null where docs is no table of files)."""
     lean(spark)
     parts = unigram_codec.Codec.load(PIECES)
-    return docs.select("doc_id", "source", unigram_codec.encoded(F.col("text"), parts).alias("ids")).withColumn("n_tokens", F.size("ids"))
+    return docs.select("doc_id", "source", unigram_codec.encoded(F.col("text"), parts).alias("ids"), place(docs).alias("position")).withColumn("n_tokens", F.size("ids"))
+
+
+def place(docs: DataFrame) -> Column:
+    """A row's place in a table written in order: its file's number (part files are named by partition) and its row in the file."""
+    if not docs.inputFiles():
+        return F.lit(None).cast("long")
+    file = docs.metadataColumn("_metadata")["file_name"]
+    part, split = (F.coalesce(F.regexp_extract(file, x, 1).try_cast("long"), F.lit(0)) for x in (r"^part-(\d+)", r"-c(\d+)"))
+    return part * (1 << 43) + split * (1 << 33) + docs.metadataColumn("_metadata")["row_index"]
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", passages), ("mixing", mixture), ("sentencepiece", encode)]

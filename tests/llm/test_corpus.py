@@ -386,3 +386,15 @@ def test_pipeline_stages(spark):
     assert sizes == [84, 83, 83, 83, 83]
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert passage in texts[200] and passage not in texts[201] and 100 not in texts and 101 not in texts and 102 not in texts
+
+
+def test_encoding_keeps_the_mixture_order(spark):
+    import corpus_pipeline
+    from wavelake.llm.common import written
+
+    rows = [(i, "some text", "en", f"s{i % 3 and 1 + i % 2}", 9) for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    want = [r["doc_id"] for r in mixing.mix(table).orderBy("position").collect()]
+    kept, _ = written(corpus_pipeline.mixture(spark, table, ""), "mixing")
+    out = corpus_pipeline.encode(spark, kept, "")
+    assert [r["doc_id"] for r in out.repartition(5).orderBy("position").collect()] == want
