@@ -398,3 +398,12 @@ def test_encoding_keeps_the_mixture_order(spark):
     kept, _ = written(corpus_pipeline.mixture(spark, table, ""), "mixing")
     out = corpus_pipeline.encode(spark, kept, "")
     assert [r["doc_id"] for r in out.repartition(5).orderBy("position").collect()] == want
+
+
+def test_language_id_keeps_three_byte_scripts(spark):
+    rng = random.Random(13)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)), "zh") for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, PIECES)
+    guess = table.select(langid.predict(F.col("text"), model, PIECES).alias("p"))
+    assert guess.where(F.col("p.nats_per_letter") < langid.FLOOR).count() > 70 and guess.where(langid.accepted(F.col("p"))).count() == 80

@@ -32,7 +32,7 @@ LONGEST = 64
 KEEP_WORDS = 200_000
 #: The multiplier of the runs' polynomial hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Nats per letter below which even the best language explains a text no better than uniform bytes.
+#: Nats per UTF-8 byte of its letters below which even the best language explains a text no better than uniform bytes.
 FLOOR = -float(np.log(256))
 
 
@@ -217,14 +217,14 @@ def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang"
 
 
 def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str) -> Column:
-    """A struct (lang_pred, score, nats_per_letter): the likeliest language, its posterior under equal priors, and its log-likelihood per letter."""
+    """A struct (lang_pred, score, nats_per_letter, nats_per_byte): the likeliest language, its posterior under equal priors, and its log-likelihood per letter and per UTF-8 byte of the letters."""
     langs, p = model
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lattice, known = Lattice(vocab_path), Memo(KEEP_WORDS)
         table = np.zeros((KEEP_WORDS, len(langs)))
         for batch in batches:
-            pred, score, nats = [], [], []
+            pred, score, nats, by_byte = [], [], [], []
             for slab in slabs(batch):
                 lists = [words_of(x) for x in slab]
                 new = [w for w in set().union(*lists) if w not in known]
@@ -238,7 +238,7 @@ def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str)
                 values = np.concatenate([table, fresh[room:]]) if rest else table
                 for words in lists:
                     if not words or not langs:
-                        pred.append("und"), score.append(0.0), nats.append(None)
+                        pred.append("und"), score.append(0.0), nats.append(None), by_byte.append(None)
                         continue
                     at = [known[w] if w in known else rest[w] for w in words] if rest else [known[w] for w in words]
                     total = values[at].sum(0)
@@ -246,11 +246,12 @@ def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str)
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
                     nats.append(float(total[best] / sum(map(len, words))))
-            yield pd.DataFrame({"lang_pred": pred, "score": score, "nats_per_letter": nats})
+                    by_byte.append(float(total[best] / len("".join(words).encode("utf-8", "surrogatepass"))))
+            yield pd.DataFrame({"lang_pred": pred, "score": score, "nats_per_letter": nats, "nats_per_byte": by_byte})
 
-    return F.pandas_udf(run, "lang_pred string, score double, nats_per_letter double")(text)
+    return F.pandas_udf(run, "lang_pred string, score double, nats_per_letter double, nats_per_byte double")(text)
 
 
 def accepted(prediction: Column) -> Column:
     """Texts with letters that the best language explains better than uniform bytes."""
-    return (prediction["lang_pred"] != "und") & (prediction["nats_per_letter"] >= FLOOR)
+    return (prediction["lang_pred"] != "und") & (prediction["nats_per_byte"] >= FLOOR)

@@ -77,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: held_out, lang_pred, score, nats_per_letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = langid.fit(docs.where("not held_out"), PIECES)
-    return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, PIECES).alias("p")).select("doc_id", "held_out", "p.*")
+    return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, PIECES).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score", "p.nats_per_letter")
 
 
 def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
