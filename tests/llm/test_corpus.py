@@ -407,3 +407,12 @@ def test_language_id_keeps_three_byte_scripts(spark):
     model = langid.fit(table, PIECES)
     guess = table.select(langid.predict(F.col("text"), model, PIECES).alias("p"))
     assert guess.where(F.col("p.nats_per_letter") < langid.FLOOR).count() > 70 and guess.where(langid.accepted(F.col("p"))).count() == 80
+
+
+def test_warc_leaves_negated_predicates_to_spark():
+    from pyspark.sql.datasource import EqualTo, Not
+
+    reader = warc.Reader({"path": "/nowhere"})
+    negated = Not(EqualTo(("record_type",), "revisit"))
+    assert list(reader.pushFilters([negated, EqualTo(("record_type",), "response")])) == [negated]
+    assert reader.tests == [("record_type", "in", ("response",))]

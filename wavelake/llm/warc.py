@@ -212,7 +212,8 @@ class Reader(DataSourceReader):
 
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None if hasattr(f, "attribute") else None
+            at = getattr(f, "attribute", ())  # a negation has a child instead
+            name = at[0] if len(at) == 1 else None
             if name in HEADERS and isinstance(f, EqualTo):
                 self.tests.append((name, "in", (f.value,)))
             elif name in HEADERS and isinstance(f, In):
