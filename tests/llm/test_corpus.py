@@ -186,29 +186,53 @@ def test_packing(width):
 def test_packed_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(BYTES)
-    lib.encode_special_tokens = True
+    lib = Tokenizer.from_file(BYTES)  # untouched: `<|endoftext|>` in a text is its id
     rng = random.Random(6)
-    rows = [(i, " ".join(words(rng, 300))) for i in range(40)] + [(100 + i, x) for i, x in enumerate(ODD)]
+    odd = [*ODD, "<|endoftext|>", "<|endoftext|><|endoftext|> x", " lead\t <|endoftext|>  \n trail ", "a\x1c b \x85 c\u00a0 d \u3000e \u2003", "it's  we'll\n\n x,y;z 3.14 ½²"]
+    rows = [(i, " ".join(words(rng, 300))) for i in range(40)] + [(100 + i, x) for i, x in enumerate(odd)]
     table = docs(spark, rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
     spark.dataSource.register(bitpack.PackedIds)
     for vocabulary in (50257, 100000):
         path = f"file://{tmp_path}/{vocabulary}"
-        table.select("doc_id", bitpack.encoded(F.col("text"), BYTES, 2).alias("ids")).write.format("packed_ids").option("path", path).option("vocabulary", vocabulary).mode("append").save()
-        got = spark.read.format("packed_ids").option("path", path).load().withColumn("crc", bitpack.crc_of(F.col("ids"))).orderBy("start").toPandas()
+        # encoded by the writer, or before it
+        source = table.select("doc_id", "text") if vocabulary == 50257 else table.select("doc_id", bitpack.encoded(F.col("text"), BYTES, 2).alias("ids"))
+        source.write.format("packed_ids").options(path=path, vocabulary=vocabulary, file_tokens=5000, **({"tokenizer": BYTES, "end_id": 2} if vocabulary == 50257 else {})).mode("append").save()
+        crc = spark.read.format("packed_ids").option("ids", "crc32").load(path).select(F.col("start").alias("at"), "ids_crc32")
+        got = spark.read.format("packed_ids").load(path).join(crc, F.col("start") == F.col("at")).orderBy("start").toPandas()
         start = 0
         for (i, x), r in zip(sorted(rows), got.itertuples(), strict=True):
             ids = [*lib.encode(x or "", add_special_tokens=False).ids, 2]
             assert (r.doc_id, r.start, r.n_tokens, list(r.ids)) == (i, start, len(ids), ids)
-            assert r.crc == zlib.crc32(np.array(ids, "<u4").tobytes())
+            assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
-    name = next(tmp_path.joinpath("100000").glob("*.bpk"))
-    with bitpack.PackedFile(f"file://{name}") as f:
+    files = list(tmp_path.joinpath("100000").glob("*.bpk"))
+    assert len(files) > 3  # rolled by size
+    with bitpack.PackedFile(f"file://{max(files, key=lambda f: f.stat().st_size)}") as f:
         whole = f.ids(0, f.head["tokens"])
-        assert (f.ids(4000, 5000) == whole[4000:5000]).all()
+        assert len(whole) > 4500 and (f.ids(4000, 4500) == whole[4000:4500]).all()
     none = f"file://{tmp_path}/none"
-    table.limit(0).select("doc_id", bitpack.encoded(F.col("text"), BYTES, 2).alias("ids")).write.format("packed_ids").option("path", none).option("vocabulary", 9).mode("append").save()
-    assert spark.read.format("packed_ids").option("path", none).load().count() == 0
+    table.limit(0).select("doc_id", "text").write.format("packed_ids").options(path=none, vocabulary=9, tokenizer=BYTES).mode("append").save()
+    assert spark.read.format("packed_ids").load(none).count() == 0
+
+
+def test_packed_files_append_and_overwrite(spark, tmp_path):
+    spark.dataSource.register(bitpack.PackedIds)
+    path = f"file://{tmp_path}/ids"
+
+    def save(ids, mode):
+        table = spark.createDataFrame([(i, [i, 7]) for i in ids], "doc_id long, ids array<int>").coalesce(2)
+        table.write.format("packed_ids").options(path=path, vocabulary=1000).mode(mode).save()
+
+    def load():
+        return [(r["doc_id"], r["start"], list(r["ids"])) for r in spark.read.format("packed_ids").load(path).orderBy("start").collect()]
+
+    save(range(6), "append")
+    save(range(10, 16), "append")
+    rows = load()
+    assert [r[0] for r in rows] == [*range(6), *range(10, 16)] and [r[1] for r in rows] == list(range(0, 24, 2)) and all(r[2] == [r[0], 7] for r in rows)
+    save([None, 5, 5], "overwrite")
+    assert sorted(load(), key=str) == sorted([(None, load()[0][1], load()[0][2]), *load()[1:]], key=str) and len(load()) == 3
+    assert len(list((tmp_path / "ids").glob("*.bpk"))) <= 2
 
 
 def jaccard(a, b):

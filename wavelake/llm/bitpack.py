@@ -2,17 +2,24 @@
 
 A file holds the documents of one range of ids in ascending order. Layout, little-endian:
 
-    b"BPK1", u32 header length, JSON header {width, block, docs, tokens, doc_bytes, offsets}
-    packed ids: blocks of `block` ids, each id in `width` bits, every block starting at a byte (offset in the header)
+    b"BPK2"
+    packed ids: blocks of `block` ids, each id in `width` bits, every block starting at a byte (offset in the footer)
     zlib of int64 doc ids and int64 ends (ids of this file up to and with each document)
+    JSON footer {width, block, docs, tokens, doc_at, doc_bytes, offsets}, u32 footer length, b"BPK2"
 
 width is the least number of bits that holds the vocabulary's largest id, so an id's place is arithmetic: any block
-unpacks with a few numpy operations and any range of ids reads only its blocks. The writer's tasks write files named by
-partition and attempt; the driver's commit, which alone sees which attempts won, writes the manifest with every file's
-first id, and readers plan from the manifest. A lost executor costs its task only.
-
-Defined results: null texts encode as empty; every document has at least its end id; documents of one id keep one order
-(text breaks ties), rows with a null id stand first; an empty table makes an empty manifest.
+unpacks with a few numpy operations and any range of ids reads only its blocks. (A width of 16, as for a vocabulary of
+50,257, makes a block plain shorts: same bytes, read as such.) Writers stream: a block goes out when it is full, a task
+holds 16 bytes a document besides, and a new file begins after `file_tokens` ids.
+
+Rows to write are (doc_id, ids), or (doc_id, text) with options `tokenizer` (a file of the tokenizers library) and
+`end_id`; then the writing task encodes. Files are named by job, partition and attempt; the driver's commit, which
+alone sees which attempts won, deletes this job's losers and writes the manifest with every file's first id, and readers
+plan from the manifest. A lost executor costs its task only. Mode append adds after what a manifest lists; overwrite
+replaces it. Reading with option `ids` = `crc32` gives a checksum of each document's ids in place of them.
+
+Defined results: null texts encode as empty; with an end id every document has at least that; documents keep the order
+of their rows; rows with a null id come back null; an empty table makes an empty manifest.
 """
 
 from __future__ import annotations
@@ -20,24 +27,28 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import Memo, slabs
+from .common import Lists, slabs
 
-MAGIC = b"BPK1"
+MAGIC = b"BPK2"
 BLOCK = 4096
-KEEP_CHUNKS, KEEP_WORDS = 150_000, 250_000
-#: A plain word that the library takes whole, with what follows not a letter nor the mark of a contraction.
-WORD = re.compile(r"[A-Za-z]+(?=[.,;:!?\-%$&#*|)\n])")
-SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"
+FILE_TOKENS = 1 << 26
+#: Parts of texts whose ids a worker keeps.
+KEEP_PARTS = 300_000
+#: A space that may belong to a run of white space: one before white space (or before what a regular expression may take for such), or a text's last.
+GLUED = " ($|[\\s\\x1c-\\x1f\\x{85}\\x{180e}\\p{Z}])"
+APART = re.compile(r" (?=[^\s\u180e])")
 NO_ID = -(1 << 63)
 
 
@@ -77,70 +88,97 @@ def filesystem(path: str):
 
 
 class Encoder:
-    """The tokenizers library over texts, with the parts it has seen kept.
+    """The tokenizers library over texts, with the ids of the parts it has seen kept.
 
-    The library's splitting always cuts before a space that a non-space follows, so a text is the sum of such parts.
-    A part not seen yet, if it is ASCII, is cut further into a plain word and what follows it, as the library would.
+    Byte-level vocabularies with their usual splitting always cut before a space that a non-space follows, so a text is
+    the sum of such parts: a batch's different parts are found by Arrow, those not seen yet are encoded together, and
+    the ids of all parts are gathered at once. Strings of added tokens are found first, as the library does. Other
+    kinds of vocabularies take whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known, self.words = Memo(KEEP_CHUNKS), Memo(KEEP_WORDS)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def parts(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of parts with a space before them."""
-        cut = {}
-        for c in new:
-            m = WORD.match(c)
-            cut[c] = (" " + m[0], c[m.end() :]) if m else (" " + c, "")
-        words = self.words
-        ask = [w for w in {w for pair in cut.values() for w in pair if w} if w not in words]
-        extra = dict(zip(ask, self.whole(ask), strict=True)) if ask else {}
-        for w, ids in extra.items():
-            words.keep(w, ids)
-        look = lambda w: words[w] if w in words else extra[w]
-        return {c: look(a) + look(b) if b else look(a) for c, (a, b) in cut.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts as unsigned 32-bit bytes."""
-        lists = []
-        for text in texts:
-            chunks = text.split(" ")
-            if any(not c or c[0].isspace() for c in chunks[1:]):
-                glued, chunks = chunks, [chunks[0]]
-                for c in glued[1:]:  # a space before a space or a line's end belongs to the run it stands in
-                    if not c or c[0].isspace():
-                        chunks[-1] += " " + c
-                    else:
-                        chunks.append(c)
-            lists.append(chunks)
-        known, first = self.known, self.whole([c[0] for c in lists])
-        new = [c for c in set().union(*(c[1:] for c in lists)) if c not in known]
-        extra = self.parts(new)
-        if len(known) + len(extra) <= known.most:
-            known.update(extra)
-            return [f + b"".join(map(known.__getitem__, c[1:])) for f, c in zip(first, lists, strict=True)]
-        for c, ids in extra.items():
-            known.keep(c, ids)
-        return [f + b"".join([known[x] if x in known else extra[x] for x in c[1:]]) for f, c in zip(first, lists, strict=True)]
+        setup = json.loads(self.lib.to_str())
+        split = setup.get("pre_tokenizer") or {}
+        added = setup.get("added_tokens") or []
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added if not t["special"])
+        self.by_part = not setup.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plain
+        self.added = {t["content"]: t["id"] for t in added}
+        self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        names = self.lib.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.spaced[[i for x, i in names.items() if x.startswith("\u0120") and x not in self.added]] = True
+        self.known = Lists(KEEP_PARTS, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, new: list[str], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, each with a space before it, one after another, and where each part's end."""
+        out, ends, done = [], [], 0
+        for low in range(0, len(new), 256):
+            run = new[low : low + 256]
+            ids = self.whole([" " + " ".join(run)])[0] if simple else None
+            cuts = np.flatnonzero(self.spaced[ids]) if simple else []
+            if len(cuts) == len(run):  # each part's first id alone begins with a space
+                cuts = np.append(cuts[1:], len(ids))
+            else:
+                each = self.whole([" " + x for x in run])
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            out.append(ids)
+            ends.append(cuts + done)
+            done += len(ids)
+        return np.concatenate(out), np.concatenate(ends)
+
+    def gathered(self, lists, simple: bool) -> list[np.ndarray]:
+        """The ids of texts cut into parts; simple: no part but a text's first has a space in it or begins with white space."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets -= offsets[0]
+        first = self.whole(flat.take(pa.array(offsets[:-1])).to_pylist())
+        rest = np.ones(len(flat), bool)
+        rest[offsets[:-1]] = False
+        ids, total = self.known.joined(flat.filter(pa.array(rest)), lambda new: self.parts(new, simple))
+        cuts = total[offsets - np.arange(len(offsets))]
+        return [np.concatenate([f, ids[i:j]]) for f, i, j in zip(first, cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        if not self.by_part:
+            return [ids for run in slabs(texts) for ids in self.whole(run)]
+        column = pa.array(texts, pa.large_string())
+        glued = pc.match_substring_regex(column, GLUED).to_numpy(zero_copy_only=False)
+        named = np.zeros(len(texts), bool)
+        for x in self.added:
+            named |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        plain = np.flatnonzero(~glued & ~named)
+        if len(plain):
+            for i, ids in zip(plain, self.gathered(pc.split_pattern(column.take(pa.array(plain)), " "), True), strict=True):
+                out[i] = ids
+        glued = np.flatnonzero(glued & ~named)
+        if len(glued):
+            for i, ids in zip(glued, self.gathered(pa.array([APART.split(texts[i]) for i in glued], pa.large_list(pa.large_string())), False), strict=True):
+                out[i] = ids
+        for i in np.flatnonzero(named):
+            pieces = self.special.split(texts[i])
+            ids = dict(zip(range(0, len(pieces), 2), self.encode(pieces[::2]), strict=True))
+            out[i] = np.concatenate([ids[j] if j in ids else np.array([self.added[x]], np.uint32) for j, x in enumerate(pieces)])
+        return out
 
 
 def encoded(text: Column, path: str, end_id: int | None = None) -> Column:
     """array<int> of each whole text's ids, with end_id after them."""
-    tail = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lib = Encoder(path)
         for batch in batches:
-            found = [ids + tail for slab in slabs(batch.to_pylist()) for ids in lib.encode(slab)]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.uint32).astype(np.int32)))
+            found = [np.concatenate([ids, tail]) for slab in slabs(batch.to_pylist(), 1 << 22) for ids in lib.encode(slab)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found or [tail[:0]]).astype(np.int32)))
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -148,71 +186,123 @@ def encoded(text: Column, path: str, end_id: int | None = None) -> Column:
 @dataclass
 class Written(WriterCommitMessage):
     partition: int
-    name: str
-    docs: int
-    tokens: int
-    low: int
+    files: list[dict] = field(default_factory=list)
+
+
+class PackingFile:
+    """One file being written: ids are added, full blocks go out."""
+
+    def __init__(self, fs, path: str, name: str, width: int):
+        self.name, self.width = name, width
+        self.out = fs.open_output_stream(f"{path}/{name}")
+        self.out.write(MAGIC)
+        self.tail, self.size, self.offsets, self.tokens = np.zeros(0, np.uint32), len(MAGIC), [], 0
+        self.doc_ids: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> self.width:
+            raise ValueError(f"an id needs more than {self.width} bits")
+        self.doc_ids.append(doc_ids.astype("<i8"))
+        self.ends.append(self.tokens + np.cumsum(lengths, dtype="<i8"))
+        self.tokens += len(ids)
+        self.tail = np.concatenate([self.tail, ids])
+        self.flush(len(self.tail) // BLOCK * BLOCK)
+
+    def flush(self, n: int) -> None:
+        if n:
+            data, offsets = pack_blocks(self.tail[:n], self.width)
+            self.offsets += [self.size + x for x in offsets]
+            self.out.write(data)
+            self.size += len(data)
+            self.tail = self.tail[n:]
+
+    def close(self) -> dict:
+        self.flush(len(self.tail))
+        docs = zlib.compress(b"".join(x.tobytes() for x in self.doc_ids + self.ends), 1)
+        n = sum(map(len, self.doc_ids))
+        foot = json.dumps({"width": self.width, "block": BLOCK, "docs": n, "tokens": self.tokens, "doc_at": self.size, "doc_bytes": len(docs), "offsets": self.offsets}).encode()
+        self.out.write(docs + foot + struct.pack("<I", len(foot)) + MAGIC)
+        self.out.close()
+        return {"name": self.name, "docs": n, "tokens": self.tokens}
 
 
 class Packer(DataSourceArrowWriter):
-    """Rows (doc_id, ids) come range-partitioned and sorted; a task writes one file."""
+    """Rows come range-partitioned and sorted; a task writes a file, or more of them by size."""
 
-    def __init__(self, path: str, width: int, overwrite: bool):
-        self.path, self.width = path.rstrip("/"), width
+    def __init__(self, path: str, width: int, overwrite: bool, tokenizer: str | None, end_id: int | None, file_tokens: int):
+        self.path, self.width, self.overwrite, self.tokenizer, self.end_id, self.file_tokens = path.rstrip("/"), width, overwrite, tokenizer, end_id, file_tokens
+        self.job = uuid.uuid4().hex[:12]
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(doc ids, lengths, ids) of a few documents at a time."""
+        lib = Encoder(self.tokenizer) if self.tokenizer else None
+        tail = np.array([] if self.end_id is None else [self.end_id], np.uint32)
+        for batch in batches:
+            doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            if lib is None:
+                column = batch.column("ids").cast(pa.list_(pa.int32()))
+                yield doc_ids, column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+                continue
+            at = 0
+            for run in slabs(batch.column("text").to_pylist(), 1 << 22):
+                found = [x for ids in lib.encode(run) for x in (ids, tail)]
+                yield doc_ids[at : at + len(run)], np.array([len(x) + len(tail) for x in found[::2]]), np.concatenate(found)
+                at += len(run)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.bpk"
         fs, at = filesystem(self.path)
         fs.create_dir(at, recursive=True)
-        tail, packed, ids, ends, tokens, size, offsets = np.zeros(0, np.uint32), [], [], [], 0, 0, []
-        block_bytes = (BLOCK * self.width + 7) // 8
-        for batch in batches:
-            column = batch.column("ids").cast(pa.list_(pa.int32()))
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-            if len(flat) and int(flat.max()) >> self.width:
-                raise ValueError(f"an id needs more than {self.width} bits")
-            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids.append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
-            ends.append(tokens + np.cumsum(lengths, dtype=np.int64))
-            tokens += len(flat)
-            tail = np.concatenate([tail, flat])
-            whole = len(tail) // BLOCK * BLOCK
-            if whole:
-                packed.append(pack_blocks(tail[:whole], self.width)[0])
-                tail = tail[whole:]
-        if len(tail):
-            packed.append(pack_blocks(tail, self.width)[0])
-        size = sum(map(len, packed))
-        offsets = list(range(0, size, block_bytes))
-        all_ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        docs = zlib.compress(all_ids.astype("<i8").tobytes() + (np.concatenate(ends) if ends else np.zeros(0, np.int64)).astype("<i8").tobytes(), 1)
-        header = json.dumps({"width": self.width, "block": BLOCK, "docs": len(all_ids), "tokens": tokens, "doc_bytes": len(docs), "offsets": offsets}).encode()
-        if len(all_ids):
-            with fs.open_output_stream(f"{at}/{name}") as out:
-                out.write(MAGIC + struct.pack("<I", len(header)) + header)
-                for x in packed:
-                    out.write(x)
-                out.write(docs)
-        return Written(ctx.partitionId(), name, len(all_ids), tokens, int(all_ids[0]) if len(all_ids) else 0)
+        done, file = Written(ctx.partitionId()), None
+        for doc_ids, lengths, ids in self.rows(batches):
+            ends, i = np.cumsum(lengths, dtype=np.int64), 0
+            while i < len(doc_ids):
+                file = file or PackingFile(fs, at, f"part-{self.job}-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{len(done.files):04d}.bpk", self.width)
+                low = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, low + self.file_tokens - file.tokens, "right")))
+                file.add(doc_ids[i:j], lengths[i:j], ids[low : ends[j - 1]])
+                if j < len(doc_ids) or file.tokens >= self.file_tokens:
+                    done.files.append(file.close())
+                    file = None
+                i = j
+        if file:
+            done.files.append(file.close())
+        return done
+
+    def mine(self, fs, at: str) -> list:
+        from pyarrow import fs as pfs
+
+        return [f for f in fs.get_file_info(pfs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith(f"part-{self.job}-")]
 
     def commit(self, messages: list) -> None:
+        from pyarrow import fs as pfs
+
         fs, at = filesystem(self.path)
         fs.create_dir(at, recursive=True)
-        start, files = 0, []
-        for m in sorted((m for m in messages if m and m.docs), key=lambda m: m.partition):
-            files.append({"name": m.name, "start": start, "docs": m.docs, "tokens": m.tokens})
-            start += m.tokens
-        with fs.open_output_stream(f"{at}/manifest.json") as out:
+        old = {"files": [], "tokens": 0, "width": self.width}
+        if fs.get_file_info(f"{at}/manifest.json").type == pfs.FileType.File:
+            with fs.open_input_stream(f"{at}/manifest.json") as f:
+                old = json.loads(f.read())
+        files, start = ([], 0) if self.overwrite else (old["files"], old["tokens"])
+        for m in sorted((m for m in messages if m), key=lambda m: m.partition):
+            for f in m.files:
+                files.append(f | {"start": start})
+                start += f["tokens"]
+        kept = {f["name"] for f in files}
+        with fs.open_output_stream(f"{at}/manifest.{self.job}") as out:
             out.write(json.dumps({"width": self.width, "tokens": start, "files": files}).encode())
+        fs.move(f"{at}/manifest.{self.job}", f"{at}/manifest.json")
+        for name in [f.base_name for f in self.mine(fs, at)] + [f["name"] for f in old["files"]]:
+            if name not in kept:
+                fs.delete_file(f"{at}/{name}")
 
     def abort(self, messages: list) -> None:
         fs, at = filesystem(self.path)
-        for m in messages:
-            if m and m.docs:
-                fs.delete_file(f"{at}/{m.name}")
+        for f in self.mine(fs, at):
+            fs.delete_file(f.path)
 
 
 @dataclass
@@ -222,8 +312,8 @@ class FilePart(InputPartition):
 
 
 class Unpacker(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, digest: bool):
+        self.path, self.digest = path.rstrip("/"), digest
 
     def manifest(self) -> dict:
         fs, at = filesystem(self.path)
@@ -239,18 +329,19 @@ class Unpacker(DataSourceReader):
         with PackedFile(f"{self.path}/{part.name}") as f:
             doc_ids, ends = f.documents()
             starts = np.append(0, ends[:-1])
-            for i in range(0, len(doc_ids), 1024):
-                j = min(i + 1024, len(doc_ids))
-                ids = f.ids(int(starts[i]), int(ends[j - 1])).astype(np.int32)
+            # documents of about a million ids at a time
+            cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, max(f.head["tokens"], 1), 1 << 20)), len(doc_ids)))
+            for i, j in zip(np.append(0, cuts[:-1])[cuts > 0], cuts[cuts > 0], strict=True):
+                ids = f.ids(int(starts[i]), int(ends[j - 1]))
                 offsets = np.append(starts[i], ends[i:j]) - starts[i]
+                if self.digest:
+                    raw = ids.astype("<u4").tobytes()
+                    last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids[i:j], mask=doc_ids[i:j] == NO_ID),
-                        pa.array(part.start + starts[i:j]),
-                        pa.array(ends[i:j] - starts[i:j]),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array(doc_ids[i:j], mask=doc_ids[i:j] == NO_ID), pa.array(part.start + starts[i:j]), pa.array(ends[i:j] - starts[i:j]), last],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32" if self.digest else "ids"],
                 )
 
 
@@ -260,14 +351,14 @@ class PackedFile:
     def __init__(self, path: str):
         fs, at = filesystem(path)
         self.file = fs.open_input_file(at)
-        magic, size = struct.unpack("<4sI", self.file.read(8))
+        whole = self.file.size()
+        self.file.seek(max(0, whole - 8))
+        size, magic = struct.unpack("<I4s", self.file.read(8))
         if magic != MAGIC:
             raise ValueError(f"{path} is no file of packed ids")
+        self.file.seek(whole - 8 - size)
         self.head = json.loads(self.file.read(size))
-        self.first = 8 + size
-        block_bytes = (self.head["block"] * self.head["width"] + 7) // 8
-        whole, rest = divmod(self.head["tokens"], self.head["block"])
-        self.block_bytes, self.size = block_bytes, whole * block_bytes + (rest * self.head["width"] + 7) // 8
+        self.block_bytes = (self.head["block"] * self.head["width"] + 7) // 8
 
     def __enter__(self) -> PackedFile:
         return self
@@ -276,7 +367,7 @@ class PackedFile:
         self.file.close()
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
-        self.file.seek(self.first + self.size)
+        self.file.seek(self.head["doc_at"])
         both = np.frombuffer(zlib.decompress(self.file.read(self.head["doc_bytes"])), "<i8")
         return both[: self.head["docs"]], both[self.head["docs"] :]
 
@@ -284,11 +375,14 @@ class PackedFile:
         """The file's ids low .. high - 1."""
         if high <= low:
             return np.zeros(0, np.int64)
-        block, width = self.head["block"], self.head["width"]
+        block, width, tokens = self.head["block"], self.head["width"], self.head["tokens"]
         i, j = low // block, -(-high // block)
-        self.file.seek(self.first + self.head["offsets"][i])
-        data = self.file.read(min(self.size, j * self.block_bytes) - i * self.block_bytes)
-        out = [unpack(data[k : k + self.block_bytes], width, min(block, self.head["tokens"] - (i * block + k // self.block_bytes * block))) for k in range(0, len(data), self.block_bytes)]
+        first = self.head["offsets"][i]
+        self.file.seek(first)
+        data = self.file.read(min(self.head["doc_at"], first + (j - i) * self.block_bytes) - first)
+        if width == 16:
+            return unpack(data, 16, min(tokens, j * block) - i * block)[low - i * block : high - i * block]
+        out = [unpack(data[k * self.block_bytes : (k + 1) * self.block_bytes], width, min(block, tokens - (i + k) * block)) for k in range(j - i)]
         return np.concatenate(out)[low - i * block : high - i * block]
 
 
@@ -300,20 +394,11 @@ class PackedIds(DataSource):
         return "packed_ids"
 
     def schema(self) -> str:
-        return SCHEMA
+        return "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if self.options.get("ids") == "crc32" else "ids array<int>")
 
     def reader(self, schema) -> DataSourceReader:
-        return Unpacker(self.options["path"])
+        return Unpacker(self.options["path"], self.options.get("ids") == "crc32")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return Packer(self.options["path"], width_for(int(self.options["vocabulary"])), overwrite)
-
-
-def crc_of(ids: Column) -> Column:
-    """Unsigned crc32 of each list's ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else 0 for x in batch], pa.int64())
-
-    return F.arrow_udf(run, "bigint")(ids)
+        end_id = self.options.get("end_id")
+        return Packer(self.options["path"], width_for(int(self.options["vocabulary"])), overwrite, self.options.get("tokenizer"), None if end_id is None else int(end_id), int(self.options.get("file_tokens", FILE_TOKENS)))

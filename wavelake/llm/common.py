@@ -6,16 +6,20 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows from now on in this session: texts of a few KB make batches of a few MB, not tens of them."""
+    """Arrow batches of at most `rows` rows and 16 MB from now on in this session, so that a worker holds little at once, however long texts or lists are."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +116,34 @@ class Memo(dict):
             self[key] = value
 
 
+class Lists:
+    """A list of numbers for each name. The first `most` names stay known across batches; others are computed for their batch only."""
+
+    def __init__(self, most: int, dtype):
+        self.most, self.known = most, {}
+        self.pool, self.ends = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def joined(self, names: pa.Array, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of all names one after another, and where each ends (with a 0 before). compute gives the same for names not known."""
+        coded = names.dictionary_encode()
+        each = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.known.get, each, repeat(-1)), np.int64, len(each))
+        pool, ends, new = self.pool, self.ends, np.flatnonzero(at < 0)
+        if len(new):
+            values, cuts = compute([each[i] for i in new])
+            at[new] = np.arange(len(ends) - 1, len(ends) - 1 + len(new))
+            pool, ends = np.concatenate([pool, values]), np.concatenate([ends, cuts + len(pool)])
+            keep = min(len(new), self.most - len(self.known))
+            if keep > 0:  # frequent names come first
+                self.known.update(zip([each[i] for i in new[:keep]], at[new[:keep]].tolist(), strict=True))
+                self.ends = ends[: len(self.known) + 1].copy()
+                self.pool = pool[: self.ends[-1]].copy()
+        use = at[coded.indices.to_numpy()]
+        begin, length = ends[use], ends[use + 1] - ends[use]
+        total = np.append(0, np.cumsum(length))
+        return pool[np.repeat(begin - total[:-1], length) + np.arange(total[-1])], total
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table (a, b), both long: rows (node, component), component the smallest id.
 
