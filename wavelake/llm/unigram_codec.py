@@ -7,7 +7,8 @@ marker that no piece covers is the byte piece of a space, a literal `▁` is spe
 
 The public file's stored scores are merge ranks, not logarithms; `log_scores` therefore takes -log(rank + 10), and a
 true unigram file's scores as they are. No usable piece has a marker but at its start, so a text falls apart at markers
-into units with no piece across them: Viterbi on each unit is Viterbi on the text, and workers keep units they know.
+into units with no piece across them: Viterbi on each unit is Viterbi on the text. A batch's different units, but for
+long ones, go through the trie and through Viterbi together, a byte position at a time; workers keep units they know.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; ties take the longest last piece; equal
 texts get equal ids; every other column passes.
@@ -20,13 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Lists
 
 MARK = "▁"
-KEEP_UNITS, KEEP_RUNS = 120_000, 200_000
+KEEP_UNITS = 300_000
+#: Units of more bytes go through Viterbi alone.
+LONG = 256
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -39,7 +43,8 @@ def load(path: str) -> tuple[list[str], np.ndarray]:
     pieces = [sp.id_to_piece(i) for i in range(n)]
     raw = np.array([sp.get_score(i) for i in range(n)])
     usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) and MARK not in pieces[i][1:] and raw[i] > -1e8 for i in range(n)])
-    return pieces, np.where(usable, log_scores(raw), -np.inf)
+    # multiples of 2^-20 add up exactly, so equal paths have equal scores in whatever order they are summed
+    return pieces, np.where(usable, np.round(log_scores(raw) * (1 << 20)) / (1 << 20), -np.inf)
 
 
 def log_scores(raw: np.ndarray) -> np.ndarray:
@@ -98,13 +103,14 @@ class Codec:
     """Viterbi encoding of units and decoding of ids."""
 
     def __init__(self, pieces: list[str], scores: np.ndarray, trie: DoubleArray):
-        self.pieces, self.units, self.runs = pieces, Memo(KEEP_UNITS), Memo(KEEP_RUNS)
+        self.pieces, self.known, self.trie, self.weights = pieces, Lists(KEEP_UNITS, np.int32), trie, scores
         self.pairs = {p[i : i + 2] for p, x in zip(pieces, scores, strict=True) if x > -np.inf for i in range(len(p) - 1)}
         self.base, self.check, self.value = trie.base.tolist(), trie.check.tolist(), trie.value.tolist()
         self.scores = scores.tolist()
         self.bytes = {int(m[1], 16): i for i, p in enumerate(pieces) if (m := BYTE.fullmatch(p))}
+        self.byte_ids = np.array([self.bytes.get(i, -1) for i in range(256)], np.int32)
         self.poor = min(x for x in self.scores if x > -np.inf) - 10.0
-        self.raw = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
+        self.raw = pa.array([bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces], pa.large_binary())
 
     @classmethod
     def load(cls, path: str) -> tuple[list[str], np.ndarray, DoubleArray]:
@@ -142,44 +148,144 @@ class Codec:
             n = i
         return ids[::-1]
 
-    def unit(self, word: str) -> bytes:
-        """Ids, as int32 bytes, of a marker and a word without spaces."""
+    def unit(self, word: str) -> np.ndarray:
+        """Ids of a marker and a word without spaces."""
         text, out, low = MARK + word, [], 0
         # no piece holds two neighbours that are in no piece together: the best path passes between them
         for i in [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.pairs] + [len(text)]:
-            run = text[low:i]
-            ids = self.runs.get((run, low > 0))
-            if ids is None:
-                ids = np.array(self.viterbi(run.encode("utf-8", "replace"), low > 0), np.int32).tobytes()
-                self.runs.keep((run, low > 0), ids)
-            out.append(ids)
+            out += self.viterbi(text[low:i].encode("utf-8", "replace"), low > 0)
             low = i
-        return b"".join(out)
+        return np.array(out, np.int32)
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units (as UTF-8 with their marker) one after another, and where each unit's end: Viterbi on all at once."""
+        data = np.frombuffer(b"\xff".join(words) + b"\xff\xff", np.uint8).astype(np.int64)  # no piece holds the byte between them
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(size + 1) - size - 1
+        local = np.full(len(data), -1)
+        inside = np.ones(len(data), bool)
+        inside[np.append(first + size, len(data) - 1)] = False
+        local[inside] = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        mark = np.zeros(len(data), bool)
+        mark[:-2] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        begins = inside & (data & 0xC0 != 0x80)
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        at = np.flatnonzero(begins & ~(mark & (local > 0)))  # a literal marker inside a word begins no piece
+        state, starts, ends, ids, reach = np.zeros(len(at), np.int64), [], [], [], 0
+        base, check, value = self.trie.base.astype(np.int64), self.trie.check, self.trie.value
+        while len(at):
+            to = base[state] + data[at + reach] + 1
+            ok = check[to] == state
+            at, state, reach = at[ok], to[ok], reach + 1
+            found = value[state]
+            hit = np.flatnonzero(found >= 0)
+            starts.append(at[hit])
+            ends.append(at[hit] + reach)
+            ids.append(found[hit])
+        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, ids))
+        whole = np.zeros(len(data), bool)
+        whole[start[end - start == width[start]]] = True
+        bare = np.flatnonzero(begins & ~whole)
+        start, end, piece = np.concatenate([start, bare]), np.concatenate([end, bare + width[bare]]), np.concatenate([piece, np.full(len(bare), -1)])
+        score = np.where(piece >= 0, self.weights[piece], self.poor)
+        order = np.argsort(local[start], kind="stable")
+        cuts = np.searchsorted(local[start][order], np.arange(size.max() + 1))
+        best, back = np.full(len(data), -np.inf), np.full(len(data), -1)
+        best[first] = 0.0
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            edge = order[i:j]
+            gain = best[start[edge]] + score[edge]
+            better = gain > best[end[edge]]  # of equal paths that with the earlier start, which came first, stays
+            edge, gain = edge[better], gain[better]
+            best[end[edge]], back[end[edge]] = gain, edge
+        used, place = [], first + size
+        while len(place):
+            edge = back[place]
+            used.append(edge)
+            place = start[edge]
+            place = place[local[place] > 0]
+        used = np.concatenate(used)
+        used = used[np.argsort(start[used])]
+        spelt = piece[used] < 0
+        opening = spelt & (local[start[used]] == 0)  # the marker itself, as a space
+        n = np.where(spelt & ~opening, end[used] - start[used], 1)
+        out = np.repeat(piece[used], n).astype(np.int32)
+        again = np.repeat(spelt, n)
+        offset = np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
+        out[again] = np.where(np.repeat(opening, n)[again], self.byte_ids[32], self.byte_ids[data[np.repeat(start[used], n)[again] + offset[again]]])
+        return out, np.cumsum(np.bincount(np.repeat(np.searchsorted(first, start[used], "right") - 1, n), minlength=len(words)))
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units without their marker, one after another, and where each unit's end."""
+        raw = [(MARK + w).encode("utf-8", "replace") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list = [None] * len(raw)
+        for i in np.flatnonzero(size > LONG):
+            out[i] = self.unit(words[i])
+        short = np.flatnonzero(size <= LONG)
+        for run in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) >> 16)) + 1):
+            if len(run):
+                ids, ends = self.together([raw[i] for i in run])
+                for i, x in zip(run, np.split(ids, ends[:-1]), strict=True):
+                    out[i] = x
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and where each text's end (with a 0 before); a null or empty text has none."""
+        texts = texts.cast(pa.large_string())
+        has = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        lists = pc.split_pattern(texts.filter(has), " ")
+        offsets = lists.offsets.to_numpy()
+        ids, total = self.known.joined(lists.values.slice(offsets[0], offsets[-1] - offsets[0]), self.segment)
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[has.to_numpy(zero_copy_only=False)] = np.diff(total[offsets - offsets[0]])
+        return ids, np.append(0, np.cumsum(lengths))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words, known = text.split(" "), self.units
-        for w in set(words):
-            if w not in known:
-                known.keep(w, self.unit(w))
-        if len(known) < known.most:
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known[w] if w in known else self.unit(w) for w in words])
+        """A text's ids as int32 bytes."""
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+    def decode_all(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids (null: null)."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        taken = self.raw.take(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        place = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1][offsets - offsets[0]].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [str(data[i + 1 : j], "utf-8", "replace") if ok else None for i, j, ok in zip(place[:-1], place[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
+#: A worker's codecs, with the units they know, by what they are made of.
+CODECS: dict[int, Codec] = {}
+
+
+def codec_of(parts: tuple) -> Codec:
+    key = hash((tuple(parts[0]), parts[1].tobytes()))
+    if key not in CODECS:
+        CODECS.clear()
+        CODECS[key] = Codec(*parts)
+    return CODECS[key]
+
+
+def runs(batch: pa.Array, sizes: np.ndarray, most: int) -> Iterator[pa.Array]:
+    """A batch in slices of about `most` bytes or numbers."""
+    cuts = np.append(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, len(batch))
+    for i, j in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+        if j > i:
+            yield batch.slice(i, j - i)
 
 
 def encoded(text: Column, parts: tuple) -> Column:
     """array<int> of each whole text's piece ids."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*parts)
+        codec = codec_of(parts)
         for batch in batches:
-            found = [codec.encode(x.as_py()) for x in batch]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            ids, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+            for some in runs(batch, pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), 1 << 22):
+                found, cuts = codec.encode_all(some)
+                ids.append(found)
+                ends.append(ends[-1][-1] + cuts[1:])
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -188,8 +294,8 @@ def decoded(ids: Column, parts: tuple) -> Column:
     """The text of each list of ids (null: null)."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(*parts)
+        codec = codec_of(parts)
         for batch in batches:
-            yield pa.array([None if x is None or not x.is_valid else codec.decode(x.values.to_numpy(zero_copy_only=False)) for x in batch], pa.string())
+            yield pa.array([x for some in runs(batch, pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False), 1 << 20) for x in codec.decode_all(some)], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
