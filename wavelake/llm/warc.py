@@ -2,22 +2,28 @@
 
 Reading: the driver lists files and packs them into partitions of about `partition_bytes`. A task inflates or reads a
 record up to the end of its headers, parses those, and tests the pushed predicates (equality, membership and prefixes
-on record_type, record_id, target_uri, refers_to and payload_digest); a record that fails is skipped, by a seek in
-plain files, without decoding its block. Option `payload` is `all` (default), `verify` (digests are checked, payloads
-not returned) or `none`.
+on record_type, record_id, target_uri, refers_to and payload_digest; others are left to Spark); a record that fails is
+skipped by a seek, without decoding its block: in plain files by its length, in gzip members that tell their length in
+the header's `sl` (skip lengths) field by that, as those written here do, and only in other members by inflating. Option
+`payload` is `all` (default), `verify` (digests are checked, payloads not returned) or `none` (payloads are skipped, but
+for the HTTP head).
 
-Writing: each task writes one archive (a gzip member for each record) under a name with its attempt; commit removes
-files of attempts that did not win, so a lost executor leaves no second copy.
+Writing: each task writes one archive (a gzip member for each record) under a name with its job and attempt; commit
+removes files of this job's attempts that did not win, so a lost executor leaves no second copy. Mode append adds
+archives, overwrite removes those that were there.
 
 Defined results: null payloads are empty; records of a null id have the id `<urn:page:>`, come back null and, if others
 share their payload, revisit them; rows that repeat an id and its payload are all written; a null url has no header; an
-empty table writes no file and reads as no record.
+empty table writes no file and reads as no record. payload_bytes is the length of what follows a response's HTTP head,
+and what a revisit's HTTP head tells, if it does (null if not).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -82,6 +88,17 @@ def page_of(urn):
     return F.regexp_extract(urn, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
 
 
+def member(raw: bytes, level: int) -> bytes:
+    """A gzip member whose header tells its own length and the data's (extra field `sl`)."""
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = squeeze.compress(raw) + squeeze.flush()
+    size = 24 + len(body) + 8
+    if max(size, len(raw)) >= 1 << 32:  # too long for the field
+        squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return squeeze.compress(raw) + squeeze.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(raw)) + body + struct.pack("<II", zlib.crc32(raw), len(raw))
+
+
 @dataclass
 class Archive(WriterCommitMessage):
     name: str
@@ -89,14 +106,14 @@ class Archive(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, date: str, level: int):
-        self.path, self.date, self.level = path.rstrip("/"), date, level
+    def __init__(self, path: str, date: str, level: int, overwrite: bool):
+        self.path, self.date, self.level, self.overwrite, self.job = path.rstrip("/"), date, level, overwrite, uuid.uuid4().hex[:12]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        name = f"part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.gz"
+        name = f"part-{self.job}-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.gz"
         fs, at = filesystem(self.path)
         fs.create_dir(at, recursive=True)
         n, out = 0, None
@@ -104,32 +121,28 @@ class Writer(DataSourceArrowWriter):
             for batch in batches:
                 for row in batch.to_pylist():
                     out = out or fs.open_output_stream(f"{at}/{name}", compression=None)
-                    raw = record(row["record_type"], row["record_id"], row["target_uri"], row["refers_to"], row["payload"] or b"", self.date)
-                    gz = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                    out.write(gz.compress(raw) + gz.flush())
+                    out.write(member(record(row["record_type"], row["record_id"], row["target_uri"], row["refers_to"], row["payload"] or b"", self.date), self.level))
                     n += 1
         finally:
             if out:
                 out.close()
         return Archive(name, n)
 
-    def commit(self, messages: list) -> None:
+    def remove(self, unwanted) -> None:
         from pyarrow import fs as pfs
 
         fs, at = filesystem(self.path)
         fs.create_dir(at, recursive=True)
-        won = {m.name for m in messages if m}
-        mine = {f"part-{i:06d}" for i in range(len(messages))}
         for f in fs.get_file_info(pfs.FileSelector(at)):
-            base = f.base_name
-            if base.endswith(".warc.gz") and base[:11] in mine and base not in won:
+            if f.base_name.endswith((".warc", ".warc.gz")) and unwanted(f.base_name):
                 fs.delete_file(f.path)
 
+    def commit(self, messages: list) -> None:
+        won = {m.name for m in messages if m}
+        self.remove(lambda name: name not in won and (self.overwrite or name.startswith(f"part-{self.job}-")))
+
     def abort(self, messages: list) -> None:
-        fs, at = filesystem(self.path)
-        for m in messages:
-            if m and m.records:
-                fs.delete_file(f"{at}/{m.name}")
+        self.remove(lambda name: name.startswith(f"part-{self.job}-"))
 
 
 @dataclass
@@ -141,25 +154,51 @@ class Source:
     """Bytes of an archive in order, plain or in gzip members."""
 
     def __init__(self, file, gz: bool):
-        self.file, self.gz, self.held, self.inflate = file, gz, b"", zlib.decompressobj(31) if gz else None
-        self.raw = b""
+        self.file, self.gz, self.held, self.inflate = file, gz, b"", None
+        self.raw, self.at = b"", 0  # bytes read from the file and not yet used, and their place in it
+        self.size = self.length = None  # what the member tells of itself: its length, and that of its data
+        self.begin = self.produced = 0
 
-    def more(self) -> bool:
-        if not self.gz:
+    def fill(self, n: int) -> bool:
+        while len(self.raw) < n:
             got = self.file.read(1 << 16)
-            self.held += got
-            return bool(got)
+            if not got:
+                return False
+            self.raw += got
+        return True
+
+    def used(self, n: int) -> None:
+        self.raw, self.at = self.raw[n:], self.at + n
+
+    def seek(self, to: int) -> None:
+        if to <= self.at + len(self.raw):
+            self.used(to - self.at)
+        else:
+            self.file.seek(to)
+            self.raw, self.at = b"", to
+
+    def open_member(self) -> None:
+        self.inflate, self.begin, self.produced, self.size, self.length = zlib.decompressobj(31), self.at, 0, None, None
+        if self.fill(24) and self.raw[:4] == b"\x1f\x8b\x08\x04" and self.raw[10:16] == struct.pack("<H2sH", 12, b"sl", 8):
+            self.size, self.length = struct.unpack("<II", self.raw[16:24])
+
+    def more(self, most: int = 1 << 16) -> bool:
+        if not self.gz:
+            if not self.fill(1):
+                return False
+            self.held += self.raw
+            self.used(len(self.raw))
+            return True
         while True:
-            if not self.raw:
-                self.raw = self.file.read(1 << 16)
-                if not self.raw:
-                    return False
-            if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
-            got = self.inflate.decompress(self.raw, 1 << 20)
-            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if not self.fill(1):
+                return False
+            if self.inflate is None or self.inflate.eof:
+                self.open_member()
+            got = self.inflate.decompress(self.raw, most)
+            self.used(len(self.raw) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail))
             if got:
                 self.held += got
+                self.produced += len(got)
                 return True
 
     def headers(self) -> dict[str, str] | None:
@@ -169,7 +208,7 @@ class Source:
             end = self.held.find(b"\r\n\r\n")
             if end >= 0:
                 break
-            if not self.more():
+            if not self.more(1 << 11):  # little of a record that may be skipped
                 if self.held.strip():
                     raise ValueError("an archive ends inside a record's headers")
                 return None
@@ -190,11 +229,15 @@ class Source:
         return b"".join(pieces)
 
     def skip(self, n: int) -> None:
-        """Past n bytes: a seek in plain files; inflated and let go in gzip members."""
+        """Past n bytes: by a seek in plain files, and in gzip members that tell their length if nothing but line ends follow; else inflated and let go."""
         if not self.gz and n > len(self.held):
-            self.file.seek(n - len(self.held), 1)
+            self.seek(self.at + n - len(self.held))
             self.held = b""
             return
+        if self.gz and self.size and n > len(self.held) and 0 <= self.length - (self.produced - len(self.held) + n) <= 4:
+            self.seek(self.begin + self.size)
+            self.held, self.inflate = b"", None
+            return
         while n > len(self.held):
             n -= len(self.held)
             self.held = b""
@@ -202,6 +245,20 @@ class Source:
                 raise ValueError("an archive ends inside a record")
         self.held = self.held[n:]
 
+    def upto(self, mark: bytes, n: int) -> bytes:
+        """At most n bytes, up to and with the first mark."""
+        got = b""
+        while len(got) < n:
+            if not self.held and not self.more(1 << 11):
+                raise ValueError("an archive ends inside a record")
+            take = self.held[: n - len(got)]
+            at = (got + take).find(mark)
+            take = take if at < 0 else take[: at + len(mark) - len(got)]
+            got, self.held = got + take, self.held[len(take) :]
+            if at >= 0:
+                break
+        return got
+
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
@@ -276,22 +333,19 @@ class Reader(DataSourceReader):
         if not head.get("content-type", "").startswith("application/http"):
             body = source.take(size) if self.payload != "none" else source.skip(size)
             return {"payload": body if self.payload == "all" else None, "payload_bytes": size}
-        if self.payload == "none":
-            http = source.take(min(size, 4096))
-            rest = size - len(http)
-        else:
-            http, rest = source.take(size), 0
-        top, _, body = http.partition(b"\r\n\r\n")
-        said = next((int(x.partition(b":")[2]) for x in top.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-        length = said if said is not None else len(body) + rest
-        source.skip(rest)
-        if self.payload == "none":
-            return {"payload": None, "payload_bytes": length}
+        http = source.upto(b"\r\n\r\n", size)
+        rest = size - len(http)
         if row["record_type"] == "revisit":
-            return {"payload": None, "payload_bytes": length}
+            source.skip(rest)
+            said = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+            return {"payload": None, "payload_bytes": said}
+        if self.payload == "none":
+            source.skip(rest)
+            return {"payload": None, "payload_bytes": rest}
+        body = source.take(rest)
         if self.payload == "verify" and row["payload_digest"] and digest(body) != row["payload_digest"]:
             raise ValueError(f"the payload of {row['record_id']} doesn't match its digest")
-        return {"payload": body if self.payload == "all" else None, "payload_bytes": len(body)}
+        return {"payload": body if self.payload == "all" else None, "payload_bytes": rest}
 
 
 class Warc(DataSource):
@@ -308,7 +362,7 @@ class Warc(DataSource):
         return Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return Writer(self.options["path"], self.options.get("date", "2024-01-01T00:00:00Z"), int(self.options.get("level", 1)))
+        return Writer(self.options["path"], self.options.get("date", "2024-01-01T00:00:00Z"), int(self.options.get("level", 1)), overwrite)
 
 
 def register(spark) -> None:
