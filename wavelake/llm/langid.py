@@ -2,11 +2,13 @@
 
 Each language has a probability for every piece of a public sentencepiece vocabulary. A word's probability is the sum
 over all its segmentations into pieces, found by a forward pass; a text's is the product over its words. A word is a
-run of letters, lower-cased, with the marker of a word's start before it; no piece is longer than the marker's word, so
-words are independent and their results are kept by each worker.
+run of letters (Unicode's category L), lower-cased, with the marker of a word's start before it; no piece is longer than
+the marker's word, so words are independent and their results are kept by each worker. A run of any length is one word:
+the forward pass carries its sums on over windows of WINDOW letters.
 
 Training is one pass over all training texts: a forward-backward pass under equal piece probabilities gives every
-piece's expected count in every word, and Spark sums them by language. Nothing is sampled.
+piece's expected count in every word, and Spark sums them by language. Nothing is sampled; counts of a run of more than
+WINDOW letters are taken window by window.
 
 Defined results: a null text, an empty one or one without letters is `und` with score 0; with no training rows every
 text is `und`. Rows with a null language are not learned from; equal texts get equal results; extra columns pass.
@@ -15,6 +17,7 @@ text is `und`. Rows with a null language are not learned from; equal texts get e
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import Memo, parts, slabs
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that a regular expression's \\w takes besides letters, decimal digits and `_`: other numbers, such as fractions.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(f"[^\\W\\d_{NUMBERS}]+")
 MARK = "▁"
-#: Longer runs of letters are scored in parts of this length.
-LONGEST = 64
+WINDOW = 4096
+#: Longer words are not kept by the workers.
+KEEP_LETTERS = 64
 KEEP_WORDS = 200_000
 #: The multiplier of the runs' polynomial hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -100,22 +106,23 @@ class Lattice:
         seen = {c: p[self.bytes[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]].prod(0) for c in {words[r][end - 1] for r in rows}}
         return np.array([seen[words[r][end - 1]] for r in rows])
 
-    def forward(self, words: list[str], places: list, p: np.ndarray) -> np.ndarray:
-        """Logarithms of the prefix sums [position, word, language]."""
-        n = len(words[0])
-        a = np.zeros((n + 1, len(words), p.shape[1]))
+    def forward(self, words: list[str], places: list, p: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Logarithms of the prefix sums [position, word, language]; `before` holds those of the first positions, where a window goes on."""
+        n, done = len(words[0]), 0 if before is None else len(before) - 1
         by_end: dict[int, list] = {}
         for end, *place in places:
             by_end.setdefault(end, []).append(place)
         scale = np.zeros((n + 1, len(words), p.shape[1]))
-        for end in range(1, n + 1):
+        if before is not None:
+            scale[: done + 1] = before
+        for end in range(done + 1, n + 1):
             top = np.maximum.reduce(scale[max(0, end - self.longest) : end], axis=0)
+            sums = np.zeros((len(words), p.shape[1]))
             for k, rows, ids in by_end.get(end, ()):
                 back = end - max(k, 1)
                 step = p[ids] if k else self.spelt(words, end, rows, p)
-                a[end, rows] += np.exp(scale[back, rows] - top[rows]) * step
-            a[end] = np.maximum(a[end], 1e-300)
-            scale[end] = top + np.log(a[end])
+                sums[rows] += np.exp(scale[back, rows] - top[rows]) * step
+            scale[end] = top + np.log(np.maximum(sums, 1e-300))
         return scale
 
     def likelihood(self, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -123,9 +130,20 @@ class Lattice:
         out = np.zeros((len(words), p.shape[1]))
         for rows in grouped(words):
             same = [words[r] for r in rows]
-            out[rows] = self.forward(same, self.places(same), p)[-1]
+            out[rows] = self.forward(same, self.places(same), p)[-1] if len(same[0]) <= WINDOW else [self.carried(w, p) for w in same]
         return out
 
+    def carried(self, word: str, p: np.ndarray) -> np.ndarray:
+        """log P(word) of a long word: each window begins with the last sums of the one before it."""
+        before, low = np.zeros((1, 1, p.shape[1])), 0
+        while True:
+            window = [word[low : low + WINDOW]]
+            scale = self.forward(window, self.places(window), p, before)
+            if low + WINDOW >= len(word):
+                return scale[-1, 0]
+            low += WINDOW - self.longest
+            before = scale[-self.longest - 1 :]
+
     def expected(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word number, piece id, expected count) under equal piece probabilities, over all segmentations."""
         p = np.full((self.size, 1), 1.0 / self.size)
@@ -162,13 +180,7 @@ def grouped(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for part in parts(text):
-        found = WORD.findall(part.lower())
-        if found and max(map(len, found)) > LONGEST:
-            found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-        out += found
-    return out
+    return [w for part in parts(text) for w in WORD.findall(part.lower())]
 
 
 def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", smooth: float = 0.05, most_langs: int = 500) -> tuple[list[str], np.ndarray]:
@@ -189,8 +201,8 @@ def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang"
         for batch in batches:
             for one, x in zip(batch["lang"], batch["text"], strict=True):
                 tally = seen.setdefault(one, Counter())
-                for part in parts(x or ""):
-                    tally.update(words_of(part))
+                for w in words_of(x or ""):
+                    tally.update([w] if len(w) <= WINDOW else (w[i : i + WINDOW] for i in range(0, len(w), WINDOW)))
                 if sum(map(len, seen.values())) > KEEP_WORDS:
                     flush()
         flush()
@@ -227,10 +239,10 @@ def predict(text: Column, model: tuple[list[str], np.ndarray], vocab_path: str)
             pred, score, nats, by_byte = [], [], [], []
             for slab in slabs(batch):
                 lists = [words_of(x) for x in slab]
-                new = [w for w in set().union(*lists) if w not in known]
+                new = sorted((w for w in set().union(*lists) if w not in known), key=lambda w: len(w) > KEEP_LETTERS)
                 base = len(known)
                 fresh = lattice.likelihood([MARK + w for w in new], p) if new and langs else np.zeros((0, len(langs)))
-                room = max(0, min(len(new), KEEP_WORDS - base)) if langs else 0
+                room = max(0, min(sum(len(w) <= KEEP_LETTERS for w in new), KEEP_WORDS - base)) if langs else 0
                 for i, w in enumerate(new[:room]):
                     known[w] = base + i
                 table[base : base + room] = fresh[:room]
