@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 
 
+def numbered(rows: DataFrame, by: list[str], time: str, order: list[str], span: str = "hour") -> DataFrame:
+    """rows with n, their place from 0 within `by` in an order that begins with a time.
+
+    Rows are numbered within spans of time (hours here), and each span starts where the counts of those before it end:
+    a task holds a span of a channel, and only the counts of spans meet by channel.
+    """
+    cell = F.date_trunc(span, F.col(time).cast("timestamp")).alias("span")
+    rows = rows.withColumn("span", cell)
+    counts = rows.groupBy(*by, "span").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "span", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    within = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by, "span").orderBy(*order)) - 1)
+    same = [within[c].eqNullSafe(starts[c]) for c in [*by, "span"]]
+    keep = [within[c] for c in rows.columns if c != "span"]
+    return within.join(starts, same).select(*keep, (within["n"] + starts["before"]).alias("n"))
+
+
 def average_reference(rec: DataFrame) -> DataFrame:
     """Each sample less its mean over channels: one shuffle by sample, means are combined before it."""
     means = rec.groupBy("n").agg(F.avg("v").alias("m"))
@@ -56,14 +73,26 @@ def windows(rec: DataFrame, size: int, step: int) -> DataFrame:
     return out.where(F.col("size") == size).drop("size")
 
 
-def artifacts(features: DataFrame, baseline_windows: int, limit: float = 6.0) -> DataFrame:
-    """features with z scores against each channel's first windows (all of them if there are none), and a flag."""
+def artifacts(features: DataFrame, baseline_windows: int, limit: float = 6.0, low: float | None = None, least_channels: int = 1) -> DataFrame:
+    """features with z scores against each channel's first windows (all of them if there are none), and a flag of the channel's window.
+
+    window_bad holds where at least `least_channels` channels are bad in one window; `low` flags windows that are too quiet as well.
+    """
     names = ["ptp", "rms", "kurtosis"]
     long = features.unpivot(["channel", "w"], names, "feature", "x")
-    base = long.where(F.col("w") < baseline_windows)
+    use = long.withColumn("early", F.col("w") < baseline_windows)
+    some = use.groupBy("channel").agg(F.bool_or("early").alias("some"))
+    base = use.join(some, "channel").where("early or not some")
     z = long.join(robust(base, ["channel", "feature"], "x", scalar.artifact_scale), ["channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
     wide = z.groupBy("channel", "w").agg(*(F.max(F.when(F.col("feature") == n, F.col("z"))).alias(f"{n}_z") for n in names))
-    return wide.withColumn("bad", (F.col("ptp_z") > limit) | (F.col("rms_z") > limit) | (F.col("kurtosis_z") > limit))
+    bad = (F.col("ptp_z") > limit) | (F.col("rms_z") > limit) | (F.col("kurtosis_z") > limit)
+    if low is not None:
+        bad = bad | (F.col("ptp_z") < -low) | (F.col("rms_z") < -low)
+    wide = wide.withColumn("bad", bad)
+    if least_channels <= 1:
+        return wide
+    windows = wide.groupBy("w").agg(F.count_if("bad").alias("n_bad"))
+    return wide.join(windows, "w").withColumn("window_bad", F.col("n_bad") >= least_channels)
 
 
 def quality(stats: DataFrame, scales: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0) -> DataFrame:
@@ -108,11 +137,19 @@ def resample(rec: DataFrame, length: int, hold: bool = False) -> DataFrame:
     return both.select("channel", F.col("j").alias("n"), value.alias("v"))
 
 
-def frames(last: Column, size: int, step: int, burst: bool) -> Column:
-    """Ends (samples so far) of the online frames up to `last` samples. With burst, steps counted while the window fills are paid out one by one: frame j ends at max(size + j - 1, j * step)."""
-    if not burst:
-        return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.floor(last / step), F.lit(1))), lambda j: j * step), lambda n: (n >= size) & (n <= last))
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda j: F.greatest(j + (size - 1), j * step)), lambda n: n <= last)
+def frames(rows: DataFrame, last: str, size: int, step: int, burst: bool, chunk: int = 8192) -> DataFrame:
+    """rows with end_n, the ends (samples so far) of the online frames up to `last` samples, exploded a chunk at a time.
+
+    With burst, steps counted while the window fills are paid out one by one: frame j ends at max(size + j - 1, j * step).
+    """
+    first = F.lit(1) if burst else F.lit(-(-size // step))
+    top = F.floor(F.col(last) / step)
+    top = F.least(top, F.col(last) - size + 1) if burst else top
+    some = rows.withColumn("low", first.cast("long")).withColumn("high", top.cast("long")).where("high >= low")
+    some = some.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / chunk)))).withColumn("from", F.col("low") + F.col("at") * chunk)
+    some = some.withColumn("j", F.explode(F.sequence("from", F.least("high", F.col("from") + (chunk - 1)))))
+    end = F.greatest(F.col("j") + (size - 1), F.col("j") * step) if burst else F.col("j") * step
+    return some.select(*rows.columns, end.cast("long").alias("end_n"))
 
 
 def topomap(values: DataFrame, montage: DataFrame, size: int, power: float = 2.0, eps: float = 1e-6) -> DataFrame:

@@ -1,40 +1,45 @@
-"""Welch spectra and what is read off them, without Python on the executors.
+"""Welch spectra and what is read off them.
 
-A spectrum is a long table (channel, k, freq, p). The transform is a join with a broadcast basis of nperseg x bins rows
-and a sum, which Spark combines before its only shuffle by (channel, segment, k).
+A spectrum is a long table (channel, k, freq, p). Samples meet in their segments by one shuffle; Arrow batches of whole
+segments go through numpy's transform, and all else is column expressions over its few numbers.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def basis(spark: SparkSession, nperseg: int, nfft: int) -> DataFrame:
-    """Windowed cosines and sines (symmetric Hann): a table of fixed size."""
-    k, i = F.col("k"), F.col("i")
-    angle = 2 * math.pi * k * i / nfft
-    hann = 0.5 - 0.5 * F.cos(2 * math.pi * i / (nperseg - 1))
-    return spark.range(nfft // 2 + 1).select(F.col("id").alias("k")).crossJoin(spark.range(nperseg).select(F.col("id").alias("i"))).select("k", "i", (hann * F.cos(angle)).alias("c"), (hann * F.sin(angle)).alias("s"))
-
-
 def segments(signal: DataFrame, nperseg: int, hop: int) -> DataFrame:
-    """(channel, seg, i, v) of all complete segments, less their means; signal is (channel, n, v), n from 0."""
+    """(channel, seg, x) of all complete segments; signal is (channel, n, v), n from 0."""
     copies = -(-nperseg // hop)
     first = F.floor(F.col("n") / hop)
-    rows = signal.withColumn("seg", F.explode(F.sequence(F.greatest(first - (copies - 1), F.lit(0)), first))).withColumn("i", F.col("n") - F.col("seg") * hop).where(F.col("i") < nperseg)
-    w = Window.partitionBy("channel", "seg")
-    rows = rows.withColumn("m", F.avg("v").over(w)).withColumn("size", F.count(F.lit(1)).over(w)).where(F.col("size") == nperseg)
-    return rows.select("channel", "seg", "i", (F.col("v") - F.col("m")).alias("v"))
+    rows = signal.select("channel", "n", "v", F.explode(F.sequence(F.greatest(first - (copies - 1), F.lit(0)), first)).alias("seg")).withColumn("i", F.col("n") - F.col("seg") * hop).where(F.col("i") < nperseg)
+    packed = rows.groupBy("channel", "seg").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))  # a segment's samples
+    return packed.where(F.size("x") == nperseg).select("channel", "seg", F.col("x.v").alias("x"))
+
+
+def rfft(nperseg: int):
+    """The transform (re, im) of segments less their means under a symmetric Hann window, padded to a power of two."""
+    nfft, window = 1 << (nperseg - 1).bit_length(), np.hanning(nperseg)
+
+    def run(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, nperseg)
+        out = np.fft.rfft((rows - rows.mean(1, keepdims=True)) * window, nfft)
+        ends = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(part.ravel())) for part in (out.real.copy(), out.imag.copy())], names=["re", "im"])
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "re array<double>, im array<double>")
 
 
 def transforms(signal: DataFrame, nperseg: int, hop: int) -> DataFrame:
-    """(channel, seg, k, re, im)."""
-    nfft = 1 << (nperseg - 1).bit_length()
-    b = basis(signal.sparkSession, nperseg, nfft)
-    return segments(signal, nperseg, hop).join(F.broadcast(b), "i").groupBy("channel", "seg", "k").agg(F.sum(F.col("v") * F.col("c")).alias("re"), (-F.sum(F.col("v") * F.col("s"))).alias("im"))
+    """(channel, seg, re, im): arrays over bins."""
+    return segments(signal, nperseg, hop).select("channel", "seg", rfft(nperseg)("x").alias("t")).select("channel", "seg", "t.re", "t.im")
 
 
 def _scale(fs: float, nperseg: int) -> float:
@@ -45,8 +50,9 @@ def welch(signal: DataFrame, fs: float, nperseg: int, hop: int) -> DataFrame:
     """One-sided power spectral density: all but the first and last bin count twice."""
     nfft = 1 << (nperseg - 1).bit_length()
     side = F.when((F.col("k") == 0) | (F.col("k") == nfft // 2), 1.0).otherwise(2.0)
-    power = F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    return transforms(signal, nperseg, hop).groupBy("channel", "k").agg(power.alias("p")).select("channel", "k", (F.col("k") * (fs / nfft)).alias("freq"), (F.col("p") * side * _scale(fs, nperseg)).alias("p"))
+    power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
+    bins = transforms(signal, nperseg, hop).select("channel", F.posexplode(power).alias("k", "p"))
+    return bins.groupBy("channel", F.col("k").cast("long").alias("k")).agg(F.avg("p").alias("p")).select("channel", "k", (F.col("k") * (fs / nfft)).alias("freq"), (F.col("p") * side * _scale(fs, nperseg)).alias("p"))
 
 
 def intervals(psd: DataFrame) -> DataFrame:
@@ -65,11 +71,13 @@ def band_power(psd: DataFrame, bands: list[tuple[str, float, float]]) -> DataFra
     return x.groupBy("channel", "band").agg(F.sum(0.5 * (at(a) + at(b)) * (b - a)).alias("power"))
 
 
-def relative(power: DataFrame, psd: DataFrame, bands: list[tuple[str, float, float]]) -> DataFrame:
-    """power with its share of the range that the bands span, and the logarithm of power."""
-    total = band_power(psd, [("total", min(b[1] for b in bands), max(b[2] for b in bands))]).select("channel", F.col("power").alias("total"))
+def relative(psd: DataFrame, bands: list[tuple[str, float, float]], total: tuple[float, float] | None = None) -> DataFrame:
+    """(channel, band, power, rel, log_power): each band's power, its share of a range (that which the bands span) and its logarithm; the range is one more band of the same pass."""
+    lo, hi = total or (min(b[1] for b in bands), max(b[2] for b in bands))
+    power = band_power(psd, [*bands, ("", lo, hi)])
+    whole = F.max(F.when(F.col("band") == "", F.col("power"))).over(Window.partitionBy("channel"))
     share = F.when(F.col("total") > 1e-20, F.col("power") / F.col("total")).otherwise(0.0)
-    return power.join(total, "channel").select("channel", "band", "power", share.alias("rel"), F.log10(F.greatest("power", F.lit(1e-20))).alias("log_power"))
+    return power.withColumn("total", whole).where("band <> ''").select("channel", "band", "power", share.alias("rel"), F.log10(F.greatest("power", F.lit(1e-20))).alias("log_power"))
 
 
 def band_ratios(power: DataFrame, ratios: list[tuple[str, str, str]], eps: float = 1e-20) -> DataFrame:
@@ -92,9 +100,10 @@ def entropy(psd: DataFrame, lo: float, hi: float) -> DataFrame:
 def coherence(signal: DataFrame, nperseg: int, hop: int, eps: float = 1e-24) -> DataFrame:
     """(channel_a, channel_b, k, msc, imcoh): each channel is transformed once, pairs meet by segment and bin."""
     t = transforms(signal, nperseg, hop)
-    a = t.select("seg", "k", F.col("channel").alias("channel_a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
-    b = t.select("seg", "k", F.col("channel").alias("channel_b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
-    pair = a.join(b, ["seg", "k"]).where("channel_a < channel_b")
+    a = t.select("seg", F.col("channel").alias("channel_a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
+    b = t.select("seg", F.col("channel").alias("channel_b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
+    both = a.join(b, "seg").where("channel_a < channel_b").select("channel_a", "channel_b", F.posexplode(F.arrays_zip("ra", "ia", "rb", "ib")).alias("k", "x"))
+    pair = both.select("channel_a", "channel_b", F.col("k").cast("long").alias("k"), "x.*")
     sums = pair.groupBy("channel_a", "channel_b", "k").agg(
         F.sum(F.col("ra") * F.col("rb") + F.col("ia") * F.col("ib")).alias("re"),
         F.sum(F.col("ia") * F.col("rb") - F.col("ra") * F.col("ib")).alias("im"),

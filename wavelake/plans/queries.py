@@ -21,8 +21,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(channel, n, v): events carry no sample number, so they are numbered by channel in time order."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), (F.row_number().over(w) - 1).alias("n"), F.col("value").alias("v"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), "ts", "event_id", F.col("value").alias("v"))
+    return recordings.numbered(rows, ["channel"], "ts", ["ts", "event_id"]).select("channel", "n", "v")
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,7 @@ def band_power(spark, sf_dir):
 
 
 def relative_power(spark, sf_dir):
-    p = psd(spark, sf_dir)
-    return r6(spectra.relative(spectra.band_power(p, specs.bands()), p, specs.bands()).select("channel", "band", "rel", "log_power"), "rel", "log_power")
+    return r6(spectra.relative(psd(spark, sf_dir), specs.bands()).select("channel", "band", "rel", "log_power"), "rel", "log_power")
 
 
 def band_ratio(spark, sf_dir):
@@ -60,8 +59,7 @@ def band_ratio(spark, sf_dir):
 
 
 def alpha_zscore(spark, sf_dir):
-    p = psd(spark, sf_dir)
-    alpha = spectra.relative(spectra.band_power(p, specs.bands()), p, specs.bands()).where("band = 'alpha'").select("channel", "band", F.col("rel").alias("v"))
+    alpha = spectra.relative(psd(spark, sf_dir), specs.bands()).where("band = 'alpha'").select("channel", "band", F.col("rel").alias("v"))
     return r6(tables.z_scores(alpha, tables.reference(alpha, ["band"]), ["band"]).select("channel", F.col("v").alias("rel"), "z"), "rel", "z")
 
 
@@ -231,12 +229,12 @@ def resample_hold(spark, sf_dir):
 
 def frames_rule_a(spark, sf_dir):
     sizes = signal(spark, sf_dir).groupBy("channel").agg(F.max("n").alias("n"))
-    return sizes.select("channel", F.explode(recordings.frames(F.col("n") + 1, 100, 13, True)).alias("end_n")).withColumn("end_n", F.col("end_n").cast("long"))
+    return recordings.frames(sizes.withColumn("n", F.col("n") + 1), "n", 100, 13, True).select("channel", "end_n")
 
 
 def frames_rule_b(spark, sf_dir):
     sizes = signal(spark, sf_dir).groupBy("channel").agg(F.max("n").alias("n"))
-    return sizes.select("channel", F.explode(recordings.frames(F.col("n") + 1, 100, 13, False)).alias("end_n")).withColumn("end_n", F.col("end_n").cast("long"))
+    return recordings.frames(sizes.withColumn("n", F.col("n") + 1), "n", 100, 13, False).select("channel", "end_n")
 
 
 def reward_rate(spark, sf_dir):
