@@ -16,7 +16,7 @@ def rows(found):
 def test_queries_equal_sql(spark):
     import duckdb
 
-    from wavelake.plans.queries import ORACLES, QUERIES
+    from wavelake.contract import ORACLES, QUERIES
 
     con = duckdb.connect()
     for t in TABLES:

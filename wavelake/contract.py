@@ -10,10 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans.queries import ORACLES, QUERIES
+from .plans.more import MORE, MORE_SQL
+from .plans.queries import ORACLES as FIRST_SQL
+from .plans.queries import QUERIES as FIRST
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "ship", "shipped"]
+QUERIES, ORACLES = FIRST | MORE, FIRST_SQL | MORE_SQL
 
+__all__ = ["ORACLES", "QUERIES", "flagship", "ship", "shipped"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,13 @@ def micros(seconds: Column) -> Column:
     return F.when(finite(seconds), F.round(seconds * 1e6).cast("long")).otherwise(0)
 
 
+def iso_millis(text: Column) -> Column:
+    """Milliseconds since 1970 in UTC of an ISO 8601 time, which is UTC if it names no offset; null where it is none."""
+    t = F.trim(text)
+    zoned = F.when(t.rlike(r"(Z|z|[+-][0-9]{2}(:?[0-9]{2})?)$") & t.rlike("[Tt ]"), t).otherwise(F.concat(t, F.lit("Z")))
+    return F.unix_millis(F.try_to_timestamp(zoned))
+
+
 def samples(seconds: Column | float, fs: float):
     """Seconds as samples, half away from zero."""
     return F.round(seconds * fs).cast("long") if isinstance(seconds, Column) else int(abs(seconds * fs) + 0.5) * (1 if seconds >= 0 else -1)

@@ -63,6 +63,42 @@ def zero_phase(x: np.ndarray, stages: list[np.ndarray]) -> np.ndarray:
     return sections(sections(wide, stages)[::-1], stages)[::-1][pad : pad + len(x)].copy()
 
 
+def zero_phase_rows(x: np.ndarray, stages: list[np.ndarray]) -> np.ndarray:
+    """zero_phase for rows of one length."""
+    x = np.asarray(x, np.float32)
+    pad = min(6 * len(stages), x.shape[1] - 1)
+    if pad < 1 or not stages:
+        return sections(x, stages)
+    wide = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
+    return sections(sections(wide, stages)[:, ::-1], stages)[:, ::-1][:, pad : pad + x.shape[1]]
+
+
+def covered(freqs: np.ndarray, lo: float, hi: float) -> float:
+    return max(0.0, min(hi, float(freqs[-1])) - max(lo, float(freqs[0])))
+
+
+def area(freqs: np.ndarray, values: np.ndarray, lo: float, hi: float) -> float:
+    """The area under a curve from lo to hi, linear between points, within the points."""
+    lo, hi = max(lo, float(freqs[0])), min(hi, float(freqs[-1]))
+    if hi <= lo:
+        return 0.0
+    inside = (freqs > lo) & (freqs < hi)
+    f = np.concatenate([[lo], freqs[inside], [hi]])
+    v = np.concatenate([[np.interp(lo, freqs, values)], values[inside], [np.interp(hi, freqs, values)]])
+    return float((0.5 * (v[1:] + v[:-1]) * np.diff(f)).sum())
+
+
+def coherence(x: np.ndarray, y: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(freqs, magnitude-squared coherence, size of the imaginary coherency), both from 0 to 1, 0 where there is no power."""
+    nperseg = int(min(max(8, nperseg), len(x)))
+    hop, nfft, w = max(1, nperseg - int(nperseg * overlap)), 1 << (nperseg - 1).bit_length(), np.hanning(nperseg)
+    a, b = (np.fft.rfft((s - s.mean(1, keepdims=True)) * w, nfft) for s in (np.lib.stride_tricks.sliding_window_view(v, nperseg)[::hop] for v in (x, y)))
+    cross, den = (a * np.conj(b)).mean(0), (np.abs(a) ** 2).mean(0) * (np.abs(b) ** 2).mean(0)
+    ok = den > 1e-24
+    safe = np.where(ok, den, 1.0)
+    return np.arange(len(den)) * fs / nfft, np.where(ok, np.clip(np.abs(cross) ** 2 / safe, 0, 1), 0.0), np.where(ok, np.clip(np.abs(cross.imag) / np.sqrt(safe), 0, 1), 0.0)
+
+
 def bandpass(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
     stages = ([biquad("highpass", fs, lo, np.sqrt(0.5))] if lo > 0 else []) + ([biquad("lowpass", fs, hi, np.sqrt(0.5))] if 0 < hi < fs / 2 else [])
     return zero_phase(x, stages)

@@ -37,12 +37,12 @@ def field_power(rec: DataFrame) -> DataFrame:
 
 
 def peaks(series: DataFrame, value: str, order: str, chunk: int = 65536) -> DataFrame:
-    """Interior local maxima of a series (strictly above both neighbours); chunks with one row of overlap keep tasks bounded."""
+    """Interior local maxima of a series (above the value before, not below that after); chunks with one row of overlap keep tasks bounded."""
     at = F.floor(F.col(order) / chunk)
     edge = F.when(F.col(order) % chunk == chunk - 1, F.array(at, at + 1)).when(F.col(order) % chunk == 0, F.array(at, at - 1)).otherwise(F.array(at))
     w = Window.partitionBy("chunk").orderBy(order)
     rows = series.withColumn("chunk", F.explode(edge)).withColumn("before", F.lag(value).over(w)).withColumn("after", F.lead(value).over(w))
-    return rows.where((F.col("chunk") == at) & (F.col(value) > F.col("before")) & (F.col(value) > F.col("after"))).drop("chunk", "before", "after")
+    return rows.where((F.col("chunk") == at) & (F.col(value) > F.col("before")) & (F.col(value) >= F.col("after"))).drop("chunk", "before", "after")
 
 
 def statistics(rec: DataFrame) -> DataFrame:

@@ -313,7 +313,7 @@ ORACLES = {
     "line_noise": f"WITH {PSD} SELECT channel, round(avg(p) FILTER (abs(freq - 50) <= 1) / avg(p) FILTER (abs(freq - 50) BETWEEN 1.5 AND 5), 6) AS ratio FROM psd GROUP BY channel",
     "car": f"WITH {MATRIX} SELECT channel, n, round(v - avg(v) OVER (PARTITION BY n), 6) AS v FROM m",
     "gfp": f"WITH {MATRIX} SELECT n, round(stddev_pop(v), 6) AS gfp FROM m GROUP BY n",
-    "gfp_peaks": f"WITH {MATRIX}, g AS (SELECT n, stddev_pop(v) AS gfp FROM m GROUP BY n), l AS (SELECT *, lag(gfp) OVER (ORDER BY n) AS b, lead(gfp) OVER (ORDER BY n) AS a FROM g) SELECT n, round(gfp, 6) AS gfp FROM l WHERE gfp > b AND gfp > a",
+    "gfp_peaks": f"WITH {MATRIX}, g AS (SELECT n, stddev_pop(v) AS gfp FROM m GROUP BY n), l AS (SELECT *, lag(gfp) OVER (ORDER BY n) AS b, lead(gfp) OVER (ORDER BY n) AS a FROM g) SELECT n, round(gfp, 6) AS gfp FROM l WHERE gfp > b AND gfp >= a",
     "channel_stats": f"WITH {SIGNAL} SELECT channel, count(v) AS n, 0 AS n_bad, round(min(v), 6) AS min_v, round(max(v), 6) AS max_v, round(max(v) - min(v), 6) AS ptp, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd_pop, round(stddev_samp(v), 6) AS sd_samp FROM sig GROUP BY channel",
     "robust_scale": f"WITH {SIGNAL}, md AS (SELECT channel, median(v) AS md FROM sig GROUP BY channel) SELECT channel, round(any_value(md), 6) AS median, round(1.4826 * median(abs(v - md)), 6) AS scale FROM sig JOIN md USING (channel) GROUP BY channel",
     "artifact_windows": f"WITH {WINDOWS} SELECT channel, w, round(ptp, 6) AS ptp, round(rms, 6) AS rms, round(kurtosis, 6) AS kurtosis FROM win",
