@@ -25,6 +25,23 @@ def numbered(rows: DataFrame, by: list[str], time: str, order: list[str], span:
     return within.join(starts, same).select(*keep, (within["n"] + starts["before"]).alias("n"))
 
 
+def numbered_within(rows: DataFrame, block: str, order: str) -> DataFrame:
+    """rows with n, their place from 0 by blocks and then by an order within them, as a file's splits have their lines."""
+    counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias("_held"))
+    starts = counts.select(block, F.coalesce(F.sum("_held").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each split
+    within = rows.withColumn("n", F.row_number().over(Window.partitionBy(block).orderBy(order)) - 1)
+    return within.join(F.broadcast(starts), block).withColumn("n", F.col("n") + F.col("_before")).drop("_before")
+
+
+def filled(rows: DataFrame, by: list[str], block: str, order: str, value: str) -> DataFrame:
+    """As forward_fill, within blocks; a block's first nulls take the last value of the blocks before it."""
+    w = Window.partitionBy(*by, block).orderBy(order)
+    last = rows.groupBy(*by, block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    carry = last.select(*by, block, F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    out = rows.withColumn(value, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).join(carry, [*by, block])
+    return out.withColumn(value, F.coalesce(value, "_carry", F.lit(0.0))).drop("_carry")
+
+
 def average_reference(rec: DataFrame) -> DataFrame:
     """Each sample less its mean over channels: one shuffle by sample, means are combined before it."""
     means = rec.groupBy("n").agg(F.avg("v").alias("m"))
