@@ -1,16 +1,19 @@
 """Document fingerprints from closed syncmers, with DataFrame and SQL functions only.
 
-A text's symbols are its runs of up to 12 characters without white space (words, and parts of longer ones). Runs of s
-symbols are hashed; a run of k symbols is a closed syncmer if the least hash among its inner runs stands at its first
-or last place. Whether it is one depends on those k symbols only, so a shared passage keeps its anchors wherever it
-stands.
+A text's symbols are words, numbers and single other characters: runs of letters, runs of digits, each character of a
+script that is written without spaces, and each sign. Where a symbol begins and ends follows from the characters around
+it, so an edit changes the symbols that it touches and no others, with or without spaces. Runs of s symbols are hashed;
+a run of k symbols is a closed syncmer if the least hash among its inner runs stands at its first or last place. Whether
+it is one depends on those k symbols only, so a shared passage keeps its anchors wherever it stands; `positions` gives
+them with their places, for matching.
 
 The fingerprint is a sketch of all anchors: the `size` least different hashes in ascending order, as hexadecimal
 numbers. Two fingerprints' likeness is the share of the least `size` hashes of both together that both hold, an
 estimate of the Jaccard similarity of the two texts' anchors.
 
 Symbols are words, not characters: the same selection over characters took 1.6 us a character natively (about 1,600
-CPU seconds a GB of text for one pass), over words about a sixth.
+CPU seconds a GB of text for one pass), over words about a sixth. With 64 values, a likeness of J has a standard error
+of sqrt(J (1 - J) / 64), 0.06 at most.
 
 Defined results: a null text is empty; a text of fewer than k symbols has the hash of itself as its only anchor, an
 empty text too; equal texts have equal fingerprints and a likeness of 1. Memory grows with the longest single text.
@@ -24,6 +27,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 K, S, SIZE = 4, 2, 64
+#: Scripts written without spaces: their characters are symbols one by one.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+SYMBOL = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def let(value: Column, f) -> Column:
@@ -46,28 +52,42 @@ def _runs(h: Column, s: int) -> Column:
 
 def _least(h: Column, reach: int) -> Column:
     """Minima of each `reach` neighbouring values, by doubling."""
+
+    def pairs(step: int):  # a lambda of two arguments would be given an index
+        return lambda h: F.zip_with(*_shifted(h, step), lambda x, y: F.least(x, y))
+
     width = 1
     while width < reach:
         step = min(width, reach - width)
-        h = let(h, lambda h, step=step: F.zip_with(*_shifted(h, step), lambda x, y: F.least(x, y)))
+        h = let(h, pairs(step))
         width += step
     return h
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The values of all closed syncmers of a text; k is at most 2 s, so the first and last inner runs cover the k symbols."""
+def symbols(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(0)), lambda x: F.hash(x))
+
+
+def chosen(h: Column, k: int, s: int) -> Column:
+    """Of hashes of runs of s symbols, the value of each run of k symbols that is a closed syncmer, null for others; k is at most 2 s, so the first and last inner runs cover the k symbols."""
     assert s <= k <= 2 * s
+    first, last = _shifted(h, k - s)
+    ends = F.zip_with(first, last, lambda a, b: F.struct(F.least(a, b).alias("least"), F.hash(a, b).alias("value")))
+    return F.zip_with(ends, _least(h, k - s + 1), lambda e, m: F.when(e["least"] == m, e["value"]))
 
-    def chosen(h: Column) -> Column:
-        first, last = _shifted(h, k - s)
-        ends = F.zip_with(first, last, lambda a, b: F.struct(F.least(a, b).alias("least"), F.hash(a, b).alias("value")))
-        return F.filter(F.zip_with(ends, _least(h, k - s + 1), lambda e, m: F.when(e["least"] == m, e["value"])), lambda x: x.isNotNull())
 
-    symbols = F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,12}"), F.lit(0)), lambda x: F.hash(x))
-    found = let(_runs(symbols, s), chosen)
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """The values of all closed syncmers of a text."""
+    found = let(_runs(symbols(text), s), lambda h: F.filter(chosen(h, k, s), lambda x: x.isNotNull()))
     return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.hash(text))))
 
 
+def positions(text: Column, k: int = K, s: int = S) -> Column:
+    """All closed syncmers of a text as (at, value), at counting symbols from 0."""
+    found = let(_runs(symbols(text), s), lambda h: chosen(h, k, s))
+    return let(found, lambda x: F.filter(F.transform(x, lambda v, i: F.struct(i.alias("at"), v.alias("value"))), lambda a: a["value"].isNotNull()))
+
+
 def sketch(values: Column, size: int = SIZE) -> Column:
     """The least different values."""
     return F.slice(F.array_distinct(F.sort_array(values)), 1, size)
