@@ -89,11 +89,67 @@ def band_ratios(power: DataFrame, ratios: list[tuple[str, str, str]], eps: float
     return out.select("channel", "name", F.when(F.abs("b") > eps, F.col("a") / F.col("b")).alias("ratio"))
 
 
+def pieces(psd: DataFrame, lo: float, hi: float) -> DataFrame:
+    """(channel, a, b, pa, pb, area): the intervals of a spectrum cut to a range."""
+    x = intervals(psd).withColumn("a", F.greatest("f0", F.lit(lo))).withColumn("b", F.least("f1", F.lit(hi))).where("b > a")
+    at = lambda f: F.col("p0") + (F.col("p1") - F.col("p0")) * (f - F.col("f0")) / (F.col("f1") - F.col("f0"))
+    x = x.withColumn("pa", at(F.col("a"))).withColumn("pb", at(F.col("b")))
+    return x.select("channel", "a", "b", "pa", "pb", (0.5 * (F.col("pa") + F.col("pb")) * (F.col("b") - F.col("a"))).alias("area"))
+
+
+def features(psd: DataFrame, lo: float, hi: float, edge: float = 0.95, eps: float = 1e-20) -> DataFrame:
+    """Per channel, of a spectrum that is linear between bins: total_power, entropy, mean_freq, bandwidth, skewness, kurtosis (excess), flatness, edge_freq, peak_freq, peak_refined, peak_db and fwhm.
+
+    Three Gauss points an interval give its moments up to the fourth exactly. A width at half the peak needs a crossing
+    on either side; without one it is null. Sums are partial ones before their shuffle; windows hold a channel's bins.
+    """
+    x = pieces(psd, lo, hi)
+    half, mid = (F.col("b") - F.col("a")) / 2, (F.col("a") + F.col("b")) / 2
+    nodes = [(-math.sqrt(0.6), 5 / 9), (0.0, 8 / 9), (math.sqrt(0.6), 5 / 9)]
+
+    def moment(k: int):
+        return F.sum(sum(w * half * F.pow(mid + half * t, F.lit(k)) * ((F.col("pa") + F.col("pb")) / 2 + (F.col("pb") - F.col("pa")) / 2 * t) for t, w in nodes))
+
+    w = Window.partitionBy("channel")
+    x = x.withColumn("total", F.sum("area").over(w)).withColumn("sum", F.sum("area").over(w.orderBy("a")))
+    q = F.when(F.col("area") > 0, F.col("area") / F.col("total"))
+    log = F.sum(0.5 * (F.log(F.greatest("pa", F.lit(eps))) + F.log(F.greatest("pb", F.lit(eps)))) * (F.col("b") - F.col("a")))
+    target = edge * F.col("total")
+    slope, rem = (F.col("pb") - F.col("pa")) / (F.col("b") - F.col("a")), target - (F.col("sum") - F.col("area"))
+    dx = F.when(F.abs(slope) < 1e-15, rem / F.greatest("pa", F.lit(eps))).otherwise((F.sqrt(F.greatest(F.col("pa") * F.col("pa") + 2 * slope * rem, F.lit(0.0))) - F.col("pa")) / slope)
+    cross = F.when((F.col("sum") >= target) & (F.col("sum") - F.col("area") < target), F.col("a") + F.least(F.greatest(dx, F.lit(0.0)), F.col("b") - F.col("a")))
+    sums = x.groupBy("channel").agg(
+        F.first("total").alias("total_power"), (-F.sum(q * F.log(q)) / F.nullif(F.log(F.count(q).cast("double")), F.lit(0.0))).alias("entropy"),
+        *(moment(k).alias(f"m{k}") for k in range(1, 5)), log.alias("log"), F.sum(F.col("b") - F.col("a")).alias("width"), F.min(cross).alias("edge_freq"),
+    )
+    m = [None, *(F.col(f"m{k}") / F.col("total_power") for k in range(1, 5))]
+    var = m[2] - m[1] * m[1]
+    third, fourth = m[3] - 3 * m[1] * m[2] + 2 * F.pow(m[1], F.lit(3)), m[4] - 4 * m[1] * m[3] + 6 * m[1] * m[1] * m[2] - 3 * F.pow(m[1], F.lit(4))
+    moments = sums.select(
+        "channel", "total_power", F.coalesce("entropy", F.lit(0.0)).alias("entropy"), m[1].alias("mean_freq"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("bandwidth"),
+        F.when(var > eps, third / (F.sqrt(var) * var)).otherwise(0.0).alias("skewness"), F.when(var > eps, fourth / (var * var) - 3).otherwise(0.0).alias("kurtosis"),
+        F.least(F.lit(1.0), F.exp(F.col("log") / F.col("width")) / (F.col("total_power") / F.col("width"))).alias("flatness"), "edge_freq",
+    )
+    by_bin = w.orderBy("k")
+    bins = psd.withColumn("y", F.log10(F.greatest("p", F.lit(eps)))).withColumns({"y0": F.lag("y").over(by_bin), "y2": F.lead("y").over(by_bin), "g0": F.lag("freq").over(by_bin), "g2": F.lead("freq").over(by_bin)})
+    top = bins.where((F.col("freq") >= lo) & (F.col("freq") <= hi)).groupBy("channel").agg(F.max_by(F.struct("freq", "p", "y0", "y", "y2", "g0", "g2"), F.struct("p", -F.col("freq"))).alias("t")).select("channel", "t.*")
+    bend = F.col("y0") - 2 * F.col("y") + F.col("y2")
+    shift = 0.5 * (F.col("y0") - F.col("y2")) / bend
+    inside = (F.col("g0") >= lo) & (F.col("g2") <= hi) & (F.abs(bend) >= 1e-18) & (F.abs(shift) <= 1)
+    refined = F.when(F.coalesce(inside, F.lit(False)), F.col("freq") + shift * (F.col("g2") - F.col("g0")) / 2).otherwise(F.col("freq"))
+    peaks = top.select("channel", F.col("freq").alias("peak_freq"), refined.alias("peak_refined"), F.when(F.col("p") > 0, 10 * F.log10(F.greatest("p", F.lit(eps)))).alias("peak_db"), (F.col("p") / 2).alias("half"))
+    both = x.select("channel", "a", "b", "pa", "pb").join(peaks.select("channel", "peak_freq", "half"), "channel").where((F.col("pa") - F.col("half")) * (F.col("pb") - F.col("half")) <= 0)
+    at = F.col("a") + F.when(F.abs(F.col("pb") - F.col("pa")) < 1e-30, 0.0).otherwise((F.col("half") - F.col("pa")) / (F.col("pb") - F.col("pa"))) * (F.col("b") - F.col("a"))
+    sides = both.groupBy("channel").agg(F.max(F.when(F.col("b") <= F.col("peak_freq"), at)).alias("left"), F.min(F.when(F.col("a") >= F.col("peak_freq"), at)).alias("right"))
+    return moments.join(peaks.drop("half"), "channel").join(sides.select("channel", (F.col("right") - F.col("left")).alias("fwhm")), "channel", "left")
+
+
 def entropy(psd: DataFrame, lo: float, hi: float) -> DataFrame:
     """(channel, total_power, entropy, mean_freq): Shannon entropy of the intervals' powers over the logarithm of their number."""
     x = intervals(psd).where((F.col("f0") >= lo) & (F.col("f1") <= hi)).withColumn("a", 0.5 * (F.col("p0") + F.col("p1")) * (F.col("f1") - F.col("f0"))).where("a > 0")
     x = x.withColumn("q", F.col("a") / F.sum("a").over(Window.partitionBy("channel")))
-    mid = F.sum(F.col("q") * (F.col("f0") + F.col("f1")) / 2)
+    # the mean of f under a line from p0 to p1 lies at the middle, moved by a sixth of the width times the line's relative tilt
+    mid = F.sum(F.col("q") * ((F.col("f0") + F.col("f1")) / 2 + (F.col("f1") - F.col("f0")) * (F.col("p1") - F.col("p0")) / (6 * (F.col("p0") + F.col("p1")))))
     return x.groupBy("channel").agg(F.sum("a").alias("total_power"), (-F.sum(F.col("q") * F.log("q")) / F.log(F.count(F.lit(1)).cast("double"))).alias("entropy"), mid.alias("mean_freq"))
 
 

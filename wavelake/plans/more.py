@@ -119,6 +119,12 @@ def column_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", matrices.column_name(F.concat(F.col("p_size"), F.lit(" "), "p_type")).alias("name"))
 
 
+def spectral_features(spark, sf_dir):
+    f = spectra.features(psd(spark, sf_dir), 3.0, 41.0)
+    names = [c for c in f.columns if c not in ("channel", "total_power")]
+    return r6(f.withColumn("total_power", F.log10("total_power")), "total_power", *names)
+
+
 def spectrogram_db(spark, sf_dir):
     s = signals.spectrogram(signal(spark, sf_dir), FS, SEG, HOP).where("k BETWEEN 4 AND 6")
     return r6(s.select("channel", "t", "freq", signals.in_db(F.col("p")).alias("db")), "t", "db")
@@ -213,7 +219,7 @@ def json_values(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
-MORE = {f.__name__: f for f in (events_normalize, events_first_kept, events_merge, slice_samples, event_overlaps, frame_gates, true_segments, marker_events, segment_events, trigger_events, trigger_scores, epoch_means, roi_metrics, roi_banded, matrix_cells, triangle_stats, edge_filter, wide_matrix, column_names, spectrogram_db, spectrogram_limits, band_coherence, line_noise_decision, mean_correlation, downsampled, quality_flags, masked, artifact_channels, bad_window_counts, microstate_stats, microstate_segments, top_peaks, online_bandpower, online_ratio, online_artifacts, rolling_quantile, iso_times, json_values)}
+MORE = {f.__name__: f for f in (events_normalize, events_first_kept, events_merge, slice_samples, event_overlaps, frame_gates, true_segments, marker_events, segment_events, trigger_events, trigger_scores, epoch_means, roi_metrics, roi_banded, matrix_cells, triangle_stats, edge_filter, wide_matrix, column_names, spectral_features, spectrogram_db, spectrogram_limits, band_coherence, line_noise_decision, mean_correlation, downsampled, quality_flags, masked, artifact_channels, bad_window_counts, microstate_stats, microstate_segments, top_peaks, online_bandpower, online_ratio, online_artifacts, rolling_quantile, iso_times, json_values)}
 
 OWN = "own AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE round(value, 1) END AS onset, greatest(event_id % 4 - 1, 0)::DOUBLE AS duration, event_type AS text FROM events)"
 STATES = SIGNAL + ", st AS (SELECT channel, n, CASE WHEN v > 60 THEN -1 ELSE floor(v / 7)::INT % 4 END AS label, v / 100 AS corr, v AS gfp FROM sig)"
@@ -256,6 +262,7 @@ MORE_SQL = {
     "edge_filter": f"WITH {EDGES} SELECT a, b, round(w, 6) AS w FROM ed WHERE w BETWEEN 50 AND 5000",
     "wide_matrix": "SELECT 'n' || l_suppkey % 5 AS a, 'n' || l_partkey % 5 AS b, sum(l_quantity) AS w FROM lineitem WHERE l_suppkey % 5 < l_partkey % 5 GROUP BY 1, 2",
     "column_names": "SELECT p_partkey, 'r_' || regexp_replace(p_size || ' ' || p_type, '[^A-Za-z0-9_]', '_', 'g') AS name FROM part",
+    "spectral_features": f"WITH {PSD}, x0 AS (SELECT channel, greatest(f0, 3) AS a, least(f1, 41) AS b, f0, f1, p0, p1 FROM iv WHERE f1 > 3 AND f0 < 41), x AS (SELECT channel, a, b, p0 + (p1 - p0) * (a - f0) / (f1 - f0) AS pa, p0 + (p1 - p0) * (b - f0) / (f1 - f0) AS pb FROM x0), y AS (SELECT *, 0.5 * (pa + pb) * (b - a) AS area, (pb - pa) / (b - a) AS s, pa - (pb - pa) / (b - a) * a AS c FROM x), z AS (SELECT *, sum(area) OVER (PARTITION BY channel) AS t, sum(area) OVER (PARTITION BY channel ORDER BY a) AS u FROM y), g AS (SELECT channel, any_value(t) AS t, -sum(area / t * ln(area / t)) / ln(count(*)) AS entropy, sum(c * (b ** 2 - a ** 2) / 2 + s * (b ** 3 - a ** 3) / 3) / any_value(t) AS e1, sum(c * (b ** 3 - a ** 3) / 3 + s * (b ** 4 - a ** 4) / 4) / any_value(t) AS e2, sum(c * (b ** 4 - a ** 4) / 4 + s * (b ** 5 - a ** 5) / 5) / any_value(t) AS e3, sum(c * (b ** 5 - a ** 5) / 5 + s * (b ** 6 - a ** 6) / 6) / any_value(t) AS e4, exp(sum(0.5 * (ln(pa) + ln(pb)) * (b - a)) / 38) / (any_value(t) / 38) AS flat, min(CASE WHEN u >= 0.95 * t AND u - area < 0.95 * t THEN a + (sqrt(pa * pa + 2 * s * (0.95 * t - u + area)) - pa) / s END) AS edge FROM z GROUP BY channel), n AS (SELECT channel, freq, p, lag(log10(p)) OVER w AS y0, log10(p) AS y1, lead(log10(p)) OVER w AS y2 FROM psd WINDOW w AS (PARTITION BY channel ORDER BY k)), k AS (SELECT channel, freq AS pf, p, CASE WHEN freq - 2 >= 3 AND freq + 2 <= 41 THEN freq + (y0 - y2) / (y0 - 2 * y1 + y2) ELSE freq END AS pr FROM n WHERE freq BETWEEN 3 AND 41 QUALIFY row_number() OVER (PARTITION BY channel ORDER BY p DESC, freq) = 1), h AS (SELECT channel, max(CASE WHEN b <= pf THEN a + (p / 2 - pa) / (pb - pa) * (b - a) END) AS l, min(CASE WHEN a >= pf THEN a + (p / 2 - pa) / (pb - pa) * (b - a) END) AS r FROM y JOIN k USING (channel) WHERE (pa - p / 2) * (pb - p / 2) <= 0 GROUP BY channel) SELECT channel, round(log10(t), 6) AS total_power, round(entropy, 6) AS entropy, round(e1, 6) AS mean_freq, round(sqrt(e2 - e1 * e1), 6) AS bandwidth, round((e3 - 3 * e1 * e2 + 2 * e1 ** 3) / (e2 - e1 * e1) ** 1.5, 6) AS skewness, round((e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1 ** 4) / (e2 - e1 * e1) ** 2 - 3, 6) AS kurtosis, round(flat, 6) AS flatness, round(edge, 6) AS edge_freq, pf::DOUBLE AS peak_freq, round(pr, 6) AS peak_refined, round(10 * log10(p), 6) AS peak_db, round(r - l, 6) AS fwhm FROM g JOIN k USING (channel) LEFT JOIN h USING (channel)",
     "spectrogram_db": f"WITH {SPECTRUM} SELECT channel, round((seg * 32 + 32) / 128.0, 6) AS t, k * 2.0::DOUBLE AS freq, round(10 * log10(greatest(p, 1e-20)), 6) AS db FROM sp WHERE k BETWEEN 4 AND 6",
     "spectrogram_limits": f"WITH {SPECTRUM} SELECT channel, round(quantile_cont(10 * log10(greatest(p, 1e-20)), 0.05), 6) AS lo, round(quantile_cont(10 * log10(greatest(p, 1e-20)), 0.95), 6) AS hi FROM sp GROUP BY channel",
     "band_coherence": f"WITH {TRANSFORM}, c AS (SELECT a.channel AS channel_a, b.channel AS channel_b, k, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.im * b.re - a.re * b.im), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS v FROM tr a JOIN tr b USING (seg, k) WHERE a.channel < b.channel GROUP BY ALL), i AS (SELECT *, k * 2.0 AS f0, k * 2.0 + 2 AS f1, lead(v) OVER (PARTITION BY channel_a, channel_b ORDER BY k) AS w FROM c), x AS (SELECT *, greatest(f0, lo) AS s, least(f1, hi) AS t FROM i, (VALUES ('alpha', 8.0, 12.0), ('beta', 13.0, 30.0)) b(band, lo, hi) WHERE w IS NOT NULL AND f1 > lo AND f0 < hi) SELECT channel_a, channel_b, band, round(sum(0.5 * (2 * v + (w - v) / 2 * (s - f0 + t - f0)) * (t - s)) / sum(t - s), 6) AS mean FROM x GROUP BY ALL",

@@ -308,7 +308,7 @@ ORACLES = {
     "relative_power": f"WITH {PSD} SELECT channel, band, round(rel, 6) AS rel, round(log10(power), 6) AS log_power FROM bp",
     "band_ratio": f"WITH {PSD}, rt(name, num, den) AS (VALUES ('theta_beta', 'theta', 'beta'), ('alpha_theta', 'alpha', 'theta')) SELECT a.channel, name, round(a.power / b.power, 6) AS ratio FROM rt JOIN bp a ON a.band = num JOIN bp b ON b.band = den AND a.channel = b.channel",
     "alpha_zscore": f"WITH {PSD} SELECT channel, round(rel, 6) AS rel, round((rel - avg(rel) OVER ()) / stddev_samp(rel) OVER (), 6) AS z FROM bp WHERE band = 'alpha'",
-    "spectral_entropy": f"WITH {PSD}, ar AS (SELECT channel, f0, f1, 0.5 * (p0 + p1) * (f1 - f0) AS a FROM iv), q AS (SELECT *, a / sum(a) OVER (PARTITION BY channel) AS q FROM ar WHERE a > 0) SELECT channel, round(log10(sum(a)), 6) AS log_total, round(-sum(q * ln(q)) / ln(count(*)), 6) AS entropy, round(sum(q * (f0 + f1) / 2), 6) AS mean_freq FROM q GROUP BY channel",
+    "spectral_entropy": f"WITH {PSD}, ar AS (SELECT channel, f0, f1, 0.5 * (p0 + p1) * (f1 - f0) AS a, (p0 * (2 * f0 + f1) + p1 * (f0 + 2 * f1)) * (f1 - f0) / 6 AS fa FROM iv), q AS (SELECT *, a / sum(a) OVER (PARTITION BY channel) AS q FROM ar WHERE a > 0) SELECT channel, round(log10(sum(a)), 6) AS log_total, round(-sum(q * ln(q)) / ln(count(*)), 6) AS entropy, round(sum(fa) / sum(a), 6) AS mean_freq FROM q GROUP BY channel",
     "coherence_pairs": f"WITH {TRANSFORM}, pr AS (SELECT a.channel AS channel_a, b.channel AS channel_b, k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.im * b.re - a.re * b.im) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM tr a JOIN tr b USING (seg, k) WHERE a.channel < b.channel GROUP BY ALL) SELECT channel_a, channel_b, k, round((re * re + im * im) / (pa * pb), 6) AS msc, round(abs(im) / sqrt(pa * pb), 6) AS imcoh FROM pr",
     "line_noise": f"WITH {PSD} SELECT channel, round(avg(p) FILTER (abs(freq - 50) <= 1) / avg(p) FILTER (abs(freq - 50) BETWEEN 1.5 AND 5), 6) AS ratio FROM psd GROUP BY channel",
     "car": f"WITH {MATRIX} SELECT channel, n, round(v - avg(v) OVER (PARTITION BY n), 6) AS v FROM m",
