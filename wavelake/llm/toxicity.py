@@ -15,7 +15,6 @@ score is 0; equal texts get equal scores; ties in ids only change which rows are
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +54,19 @@ class Bags:
         return np.bincount(self.flat, g[self.row], size)
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk under the logistic loss: that of positives, and what is left of the unlabelled ones as negatives, which counts from 0 on."""
+    return prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+
+
+def slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The risk's derivatives by the margins of positives and unlabelled; where the second part is below 0, minus that part's alone."""
+    gn_p, gn_u = -prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
+    if risk(fp, fu, prior)[1] >= 0:
+        return -prior * sigmoid(-fp) / len(fp) + gn_p, gn_u
+    return -gn_p, -gn_u
+
+
 def train(positive: Bags, unlabelled: Bags, size: int, prior: float, steps: int = 140, rate: float = 0.25, sparse: float = 0.25) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk, with a proximal L1 step.
 
@@ -66,12 +78,7 @@ def train(positive: Bags, unlabelled: Bags, size: int, prior: float, steps: int
     shrink = sparse * prior / np.sqrt(positive.n)
     for t in range(1, steps + 1):
         fp, fu = positive.margin(w, b), unlabelled.margin(w, b)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gn_p, gn_u = -prior * sigmoid(fp) / positive.n, sigmoid(fu) / unlabelled.n
-        if negative >= 0:
-            gp, gu = -prior * sigmoid(-fp) / positive.n + gn_p, gn_u
-        else:
-            gp, gu = -gn_p, -gn_u
+        gp, gu = slopes(fp, fu, prior)
         g = np.append(positive.pull(gp, size) + unlabelled.pull(gu, size), gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         pace = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
