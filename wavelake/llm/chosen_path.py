@@ -4,14 +4,24 @@ Texts become sets of five-word shingles; texts of one set are a class, so copies
 sketch of 64 minima of its set (each the shingle that one random order samples first). From the root of each run, a
 class follows every sampled token (i, minimum i) whose hash under the node's own function falls below 1 / (t * 64);
 classes that share a chosen token meet in a child node (Christiani and Pagh, 2017; Christiani et al., 2018). Nodes of
-at most `small` classes are compared in full. In a larger node every class is compared with the node's first class:
-those nearly equal to it are represented by it and leave, the others follow tokens again; a node that is still large
-after `depth` levels counts as alike as a whole. Runs repeat independently, as many as the target recall needs.
+at most `small` classes are compared in full. In a larger node every class is compared with one of them, drawn by a hash:
+those nearly equal to it leave, as whatever resembles them resembles it too; the others follow tokens again, each with
+1.25 times the chance. A pair that shares t * 64 minima is brought together by a run with a probability of 0.63 in a small
+root node, and 0.51, 0.45, 0.41, 0.38 in nodes one to four levels below (never less than 0.31): ten runs find it with
+0.99 or more down to the fourth level. Classes less alike than 1 / (1.25 * 1.25) lose more children than they have, so
+the levels of a large cluster of such shrink.
+
+What is far from the drawn class (`loose` below what could be alike to a class that is linked to it) goes on apart from
+what is linked to it, and classes between go on with both. Linked classes are one group from then on, and nodes whose
+classes are all of one group are passed over: so a large group of copies is left as soon as nothing that may still join
+it is about. One run of little depth goes before the others, whose groups hold for them. A class that is within
+1 - `same` of a class that stays is left out of later runs altogether; its links are those of its representative, found
+at the looser similarity.
 
 What the walk gives are candidates for grouping, at a looser similarity. Then all pairs inside each group of candidates
 are compared exactly, in blocks of classes, so that a group of any size is spread over tasks, and each block gives
 numbers of links and a spanning forest, never its pairs. Links below the threshold are thus never reported, and one is
-missed only if no run brings its two classes into one group.
+missed only if no run brings its two classes into one group. A node still large after `depth` levels is one group.
 
 Defined results: words are lower-cased runs without white space; a text of fewer than five words is one shingle; a null
 text or one without words links with nothing; a null id keeps its row (no links, null class); repeated rows count as
@@ -29,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, remove, written
 from .shingles import GOLD, kmers, mix, word_hashes
 
 #: White space as Java's \\s has it, so that both sides agree on which texts have words.
@@ -51,15 +61,28 @@ def set_name(items: np.ndarray) -> bytes:
 
 def sketch(items: np.ndarray) -> np.ndarray:
     """The high halves of 64 minima, each under its own multiplier."""
-    out = np.empty(SIZE, np.uint32)
+    out = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for i, salt in enumerate(SALTS):
-            out[i] = ((items * salt) ^ (items >> np.uint64(29))).min() >> np.uint64(32)
-    return out
+        for i in range(0, len(items), 2048):
+            some = items[i : i + 2048]
+            hashed = SALTS[:, None] * some
+            hashed ^= some >> np.uint64(29)
+            np.minimum(out, hashed.min(1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def planes(minima: np.ndarray) -> bytes:
+    """A sketch's lowest bytes, then the next ones and so on: its first 64 bytes alone will do for a comparison."""
+    return minima.view(np.uint8).reshape(SIZE, 4).T.tobytes()
 
 
 def sketches(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SIZE)
+    flat = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 4, SIZE)
+    return np.ascontiguousarray(flat.transpose(0, 2, 1)).view(np.uint32).reshape(-1, SIZE)
+
+
+def briefs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SIZE)
 
 
 def children(paths: np.ndarray, tokens: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -71,33 +94,43 @@ def children(paths: np.ndarray, tokens: np.ndarray, rate: float) -> tuple[np.nda
     return rows, mix(keys[rows, cols]).view(np.int64)
 
 
-def runs_for(recall: float, once: float = 0.5) -> int:
+def runs_for(recall: float, once: float = 0.38) -> int:
     """Runs until a pair at the threshold, met in one run with probability `once` or more, is met with probability `recall`."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
-def candidates(classes: DataFrame, threshold: float, recall: float, small: int = 32, depth: int = 8, loose: float = 0.2, near: float = 0.92) -> DataFrame:
-    """Links (a, b) between classes (cls, sketch) that may be similar."""
-    rate, runs = 1 / (threshold * SIZE), runs_for(recall)
-    limit = threshold - loose
+def candidates(classes: DataFrame, threshold: float, recall: float, small: int = 512, depth: int = 12, step: float = 1.25, loose: float = 0.2, near: float = 0.9, same: float = 0.95) -> DataFrame:
+    """(node, component): classes, given as (cls, sketch), that may be similar to others, by group."""
+    rate, total, limit = 1 / (threshold * SIZE), runs_for(recall), threshold - loose
+    far = limit - (1 - threshold) - 0.05
+    used: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        used.append(path)
+        return out
 
-    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = mix(np.arange(1, runs + 1, dtype=np.uint64))
+    def roots(batches: Iterator[pd.DataFrame], runs: range) -> Iterator[pd.DataFrame]:
+        starts = mix(np.array(runs, np.uint64))
         for batch in batches:
-            tokens, cls = sketches(batch["sketch"]), batch["cls"].to_numpy(np.int64)
+            tokens, cls, grp = sketches(batch["sketch"]), batch["cls"].to_numpy(np.int64), batch["grp"].to_numpy(np.int64)
             for s in starts:
                 rows, path = children(np.full(len(cls), s), tokens, rate)
-                yield pd.DataFrame({"path": path, "cls": cls[rows]})
+                yield pd.DataFrame({"path": path, "cls": cls[rows], "grp": grp[rows]})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links to a node's drawn class (b is set), and the children of those that go on."""
         for batch in batches:
             own, first = sketches(batch["sketch"]), sketches(batch["first_sketch"])
-            cls, lead, path = batch["cls"].to_numpy(np.int64), batch["first"].to_numpy(np.int64), batch["path"].to_numpy(np.int64).view(np.uint64)
+            grp, cls, lead, path = batch["grp"].to_numpy(np.int64), batch["cls"].to_numpy(np.int64), batch["first"].to_numpy(np.int64), batch["path"].to_numpy(np.int64).view(np.uint64)
             alike = (own == first).mean(1)
             at = np.flatnonzero((alike >= limit) & (cls != lead))
-            go = np.flatnonzero(alike < near)
-            rows, path = children(path[go], own[go], rate)
-            yield pd.DataFrame({"path": np.concatenate([np.zeros(len(at), np.int64), path]), "cls": np.concatenate([cls[at], cls[go][rows]]), "other": pd.array(np.concatenate([lead[at], np.zeros(len(rows), np.int64)]), "Int64"), "link": np.arange(len(at) + len(rows)) < len(at)})
+            yield pd.DataFrame({"path": 0, "cls": cls[at], "grp": 0, "b": pd.array(lead[at], "Int64"), "same": alike[at] >= same})
+            joined = np.where(alike >= limit, batch["first_grp"].to_numpy(np.int64), grp)
+            # a class alike to a linked one is within 1 - threshold of it; the margin is a sketch's error
+            for side, go in enumerate((np.flatnonzero((alike < near) & (alike >= far)), np.flatnonzero(alike < limit)), 1):
+                rows, child = children(mix(path[go] + np.uint64(side)), own[go], step * rate)
+                yield pd.DataFrame({"path": child, "cls": cls[go][rows], "grp": joined[go][rows], "b": pd.array([None] * len(rows), "Int64"), "same": False})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted by path: each class with those after it in its node; a node cut by a batch's end waits for the next."""
@@ -113,19 +146,22 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             yield pairs(rest)
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of each node's similar pairs: at most a link for each row."""
+        """A spanning forest of each node's similar pairs, and each class's first nearly equal one: at most two links a row."""
         n = len(rows)
         if n < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        path, cls, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), sketches(rows["sketch"])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "same": np.zeros(0, bool)})
+        path, cls, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), briefs(rows["brief"])
+        left, right, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n)
         for d in range(1, small):
             at = np.flatnonzero(path[:-d] == path[d:])
             if not len(at):
                 break
-            hit = at[(tokens[at] == tokens[at + d]).mean(1) >= limit]
+            alike = (tokens[at] == tokens[at + d]).mean(1)
+            hit = at[alike >= limit]
             left.append(hit)
             right.append(hit + d)
+            equal = at[alike >= same]
+            lead[equal + d] = equal  # rows of a node are sorted by class, so the farthest is the least
         i, j, root = np.concatenate(left), np.concatenate(right), np.arange(n)
         while True:
             new = root.copy()
@@ -135,33 +171,54 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             if (new == root).all():
                 break
             root = new
-        tied = np.flatnonzero(root != np.arange(n))
-        return pd.DataFrame({"a": cls[tied], "b": cls[root[tied]]})
-
-    level = classes.select("cls", "sketch").mapInPandas(roots, "path long, cls long")
-    links = []
-    for at in range(depth):
-        rows, _ = written(level.distinct(), "paths")
-        nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
-        rows, _ = written(rows.join(nodes, "path").join(classes.select("cls", "sketch"), "cls"), "nodes")
-        few = rows.where(F.col("n") <= small).select("path", "cls", "sketch")
-        # the sort follows the exchange, so the nodes of a partition come one after another
-        links.append(few.repartition("path").sortWithinPartitions("path").mapInPandas(compare, "a long, b long"))
-        many = rows.where(F.col("n") > small)
-        if many.isEmpty():
-            break
-        lead = classes.select(F.col("cls").alias("first"), F.col("sketch").alias("first_sketch"))
-        walked, _ = written(many.join(lead, "first").select("path", "cls", "first", "sketch", "first_sketch").mapInPandas(walk, "path long, cls long, other long, link boolean"), "walked")
-        links.append(walked.where("link").select(F.col("cls").alias("a"), F.col("other").alias("b")))
-        level = walked.where("not link").select("path", "cls")
-    else:
-        left = level.distinct()
-        heads = left.groupBy("path").agg(F.min("cls").alias("b"))
-        links.append(left.join(heads, "path").select(F.col("cls").alias("a"), "b"))
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out.where("a <> b").distinct()
+        tied, equal = np.flatnonzero(root != np.arange(n)), np.flatnonzero(lead != np.arange(n))
+        return pd.DataFrame({"a": np.concatenate([cls[tied], cls[equal]]), "b": np.concatenate([cls[root[tied]], cls[lead[equal]]]), "same": np.arange(len(tied) + len(equal)) >= len(tied)})
+
+    def met(active: DataFrame, runs: range, depth: int, whole: bool) -> list[DataFrame]:
+        """The links (a, b, same) of some runs; whole: nodes that are still large in the end are linked too."""
+        out, level = [], active.select("cls", "sketch", "grp").mapInPandas(lambda x: roots(x, runs), "path long, cls long, grp long")
+        for _ in range(depth):
+            rows = kept(level, "paths")
+            nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").drop("g0", "g1")
+            shared = kept(rows.join(nodes, "path"), "nodes")
+            few = shared.where(F.col("n") <= small).select("path", "cls").join(active.select("cls", F.substring("sketch", 1, SIZE).alias("brief")), "cls")
+            # the sort follows the exchange, so the nodes of a partition come one after another; none has more than `small` rows
+            out.append(kept(few.repartition("path").sortWithinPartitions("path", "cls").mapInPandas(compare, "a long, b long, same boolean"), "links"))
+            many = shared.where(F.col("n") > small).select("path", "cls", "grp")
+            if many.isEmpty():
+                return out
+            large = kept(many.join(active.select("cls", "sketch"), "cls").select("path", "cls", "grp", "sketch"), "large")
+            lead = large.groupBy("path").agg(F.min_by(F.struct(F.col("cls").alias("first"), F.col("grp").alias("first_grp"), F.col("sketch").alias("first_sketch")), F.xxhash64("path", "cls")).alias("l")).select("path", "l.*")
+            both = large.join(lead, "path").select("path", "cls", "grp", "first", "first_grp", "sketch", "first_sketch")
+            walked = kept(both.mapInPandas(walk, "path long, cls long, grp long, b long, same boolean"), "walked")
+            out.append(walked.where("b is not null").select(F.col("cls").alias("a"), "b", "same"))
+            level = walked.where("b is null").select("path", "cls", "grp")
+        if whole:
+            heads = level.groupBy("path").agg(F.min("cls").alias("b"))
+            out.append(level.join(heads, "path").select(F.col("cls").alias("a"), "b", F.lit(False).alias("same")))
+        return out
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for x in tables[1:]:
+            out = out.unionByName(x)
+        return out
+
+    active, links = classes.select("cls", "sketch", F.col("cls").alias("grp")), None
+    for runs, deep in ((range(1, 2), 2), (range(2, total + 2), depth)):
+        begun = len(used)
+        found = union(met(active, runs, deep, deep == depth)).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "same").distinct()
+        links = written(found if links is None else found.unionByName(links), "candidates")[0]
+        groups = written(components(links), "groups")[0]
+        for path in used[begun:]:
+            remove(classes.sparkSession, path)
+        if deep < depth:
+            # a class leaves for one that has itself none to leave for
+            equal = links.where("same").select("a", "b")
+            gone = equal.join(equal.select(F.col("a").alias("b")).distinct(), "b", "left_anti").select(F.col("a").alias("cls")).distinct()
+            active = active.select("cls", "sketch").join(gone, "cls", "left_anti").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+            active = written(active.select("cls", "sketch", F.coalesce("component", "cls").alias("grp")), "active")[0]
+    return groups
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], most: int = 4096) -> np.ndarray:
@@ -189,10 +246,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], most: int = 4
     return out
 
 
-def exact(groups: DataFrame, threshold: float, block: int) -> DataFrame:
-    """From (grp, cls, weight, items): (id, links, root): a class's linked weight in one pair of blocks, and its tree's root there."""
-    sizes = groups.groupBy("grp").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("nb"))
-    rows = groups.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+def exact(groups: DataFrame, threshold: float) -> DataFrame:
+    """From (grp, cls, weight, nb, items): (id, links, root): a class's linked weight in one pair of blocks, and its tree's root there."""
+    rows = groups.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     spread = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "grp", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "cls", "weight", "items"
     )
@@ -225,32 +281,35 @@ def exact(groups: DataFrame, threshold: float, block: int) -> DataFrame:
     return spread.groupBy("grp", "bi", "bj").applyInPandas(run, "id long, links long, root long")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id reachable by links), n_links (other rows linked directly)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.99, block: int = 256, block_items: int = 1 << 19) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest id reachable by links), n_links (other rows linked directly), text_hash, and group_key, which rows reachable from each other share."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, x in zip(batch["id"], batch["text"], strict=True):
+            for i, x, t in zip(batch["id"], batch["text"], batch["t"], strict=True):
                 items = shingle_set(x, k)
                 if len(items):
-                    out.append((i, set_name(items), sketch(items).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "name", "sketch"])
+                    out.append((i, t, set_name(items), planes(sketch(items)), len(items)))
+            yield pd.DataFrame(out, columns=["id", "t", "name", "sketch", "n"])
 
-    marks, _ = written(rows.where("id is not null and text is not null").mapInPandas(mark, "id long, name binary, sketch binary").withColumn("cls", F.xxhash64("name")).drop("name"), "marks")
-    classes, _ = written(marks.groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch")), "classes")
-    groups = components(candidates(classes, threshold, recall)).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    sets = groups.join(classes.select("cls", "id", "weight"), "cls")
+    marks, _ = written(rows.where("id is not null and text is not null").mapInPandas(mark, "id long, t long, name binary, sketch binary, n long").withColumn("cls", F.xxhash64("name")).drop("name"), "marks")
+    classes, _ = written(marks.groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "classes")
+    groups = candidates(classes, threshold, recall).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    # blocks hold at most about `block` classes and `block_items` shingles
+    sets = groups.join(classes.select("cls", "id", "weight", "n"), "cls")
+    blocks = sets.groupBy("grp").agg(F.greatest(F.floor(F.count(F.lit(1)) / block) + 1, F.floor(F.sum("n") / block_items) + 1).cast("int").alias("nb"))
+    sets = sets.join(blocks, "grp").drop("n")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             items = [shingle_set(x, k) for x in batch["text"]]
-            yield pd.DataFrame({"grp": batch["grp"], "cls": batch["cls"], "weight": batch["weight"], "name": [set_name(x) for x in items], "items": [x.tobytes() for x in items]})
+            yield pd.DataFrame({"grp": batch["grp"], "cls": batch["cls"], "weight": batch["weight"], "nb": batch["nb"], "name": [set_name(x) for x in items], "items": [x.tobytes() for x in items]})
 
-    full = rows.join(sets, "id").select("grp", "cls", "weight", "text").mapInPandas(load, "grp long, cls long, weight long, name binary, items binary")
+    full = rows.drop("t").join(sets, "id").select("grp", "cls", "weight", "nb", "text").mapInPandas(load, "grp long, cls long, weight long, nb int, name binary, items binary")
     full = full.where(F.xxhash64("name") == F.col("cls")).drop("name")  # an id may stand on rows of several texts
-    found, _ = written(exact(full, threshold, block), "links")
+    found, _ = written(exact(full, threshold), "links")
     reach = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     per = (
         classes.select("cls", "id", "weight")
@@ -259,7 +318,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
         .withColumn("component", F.coalesce("component", "cls"))
     )
     least = per.groupBy("component").agg(F.min("id").alias("class_id"))
-    per = per.join(least, "component").select("cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    linked = marks.select("id", "cls").join(per, "cls").select(F.col("id").alias(doc_id), "class_id", "n_links")
+    per = per.join(least, "component").select("cls", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = marks.select("id", "t", "cls").join(per, "cls").select(F.col("id").alias(doc_id), "class_id", "n_links", F.col("t").alias("text_hash"), F.col("component").alias("group_key"))
     silent = rows.where(~F.coalesce(F.col("id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"), F.lit(False)))
-    return linked.unionByName(silent.select(F.col("id").alias(doc_id), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return linked.unionByName(silent.select(F.col("id").alias(doc_id), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("t").alias("text_hash"), F.lit(None).cast("long").alias("group_key")))

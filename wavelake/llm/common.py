@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,9 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Where paths are noted while a caller wants to know them.
+NOTED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list of the paths that scratch gives out meanwhile."""
+    NOTED.append([])
+    try:
+        yield NOTED[-1]
+    finally:
+        NOTED.pop()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for x in NOTED:
+        x.append(path)
     atexit.register(remove, spark, path)
     return path
 

@@ -56,7 +56,7 @@ def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, class_id, n_links (five-word shingles, Jaccard of 0.8 or more)."""
-    return chosen_path.join(table(spark, sf_dir, "documents"))
+    return chosen_path.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,14 @@ QUERIES = {
 }
 #: DuckDB's forms; the tests hold the other operators against brute force.
 ORACLES: dict[str, str] = {}
+ORACLES["op8_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0 AND list_max([abs(e) FOR e IN embedding]) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT a AS id, a AS c FROM p UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.c, vec_id) AS component_id, vec_id = coalesce(m.c, vec_id) AS kept
+FROM embeddings LEFT JOIN m ON m.id = vec_id LEFT JOIN n ON n.id = vec_id"""
 ORACLES["op3_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
