@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -61,6 +62,27 @@ def test_toxicity_learns_and_scores(spark):
     assert got.between(0, 1).all() and got[1000] == got[1001] < 0.5
 
 
+def test_toxicity_risk_and_slopes():
+    rng = np.random.default_rng(15)
+    for prior, shift in ((0.3, 0.0), (0.9, -4.0)):
+        fp, fu = rng.normal(size=7), rng.normal(size=11) + shift
+
+        def total(fp, fu):
+            loss = lambda z: np.log1p(np.exp(-z))
+            plus, minus = prior * loss(fp).mean(), loss(-fu).mean() - prior * loss(-fp).mean()
+            assert np.allclose((plus, minus), toxicity.risk(fp, fu, prior))
+            return plus + minus if minus >= 0 else -minus
+
+        gp, gu = toxicity.slopes(fp, fu, prior)
+        for g, x, at in ((gp, fp, 0), (gu, fu, 1)):
+            for i in range(len(x)):
+                up, down = [fp.copy(), fu.copy()], [fp.copy(), fu.copy()]
+                up[at][i] += 1e-5
+                down[at][i] -= 1e-5
+                assert abs((total(*up) - total(*down)) / 2e-5 - g[i]) < 1e-6
+    assert toxicity.risk(fp, fu, 0.9)[1] < 0  # the second case took the reversed step
+
+
 def test_toxicity_without_positives(spark):
     table = docs(spark, [(1, "a b")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -86,7 +108,41 @@ def test_forward_sums_all_segmentations():
 
     tested = ["▁the", "▁wörldß", "▁中文字", "▁𐌰𐌱x", "▁internationalisation", "▁a"]
     assert np.allclose(lattice.likelihood(tested, p), [brute(w) for w in tested])
-    assert abs(sum(w.sum() for _, ids, w in lattice.expected(["▁cat"])) - sum(w.sum() for _, _, w in lattice.expected(["▁cat"]))) < 1e-12
+    # a run longer than a window: the sums are carried on
+    long = "▁" + "".join(random.Random(1).choice("abehint") for _ in range(2 * langid.WINDOW + 77))
+    assert np.allclose(lattice.likelihood([long], p), [lattice.forward([long], lattice.places([long]), p)[-1, 0]])
+
+
+def test_expected_counts_are_over_all_segmentations():
+    lattice = langid.Lattice(PIECES)
+
+    def cuts(w):
+        if not w:
+            yield []
+        for e in range(1, len(w) + 1):
+            if w[:e] in lattice.ids:
+                yield from ([lattice.ids[w[:e]], *rest] for rest in cuts(w[e:]))
+        if w and w[0] not in lattice.ids:
+            yield from ([*lattice.bytes[np.frombuffer(w[0].encode(), np.uint8)], *rest] for rest in cuts(w[1:]))
+
+    words = ["▁cat", "▁there", "▁wörld", "▁a", "▁𐌰b"]
+    got = np.zeros((len(words), lattice.size))
+    for rows, ids, w in lattice.expected(words):
+        np.add.at(got, (rows, ids), w)
+    for i, word in enumerate(words):
+        want, total = np.zeros(lattice.size), 0.0
+        for path in cuts(word):
+            weight = float(lattice.size) ** -len(path)
+            total += weight
+            np.add.at(want, path, weight)
+        assert np.allclose(got[i], want / total), word
+
+
+def test_letters_are_category_l():
+    assert langid.words_of("½² Ⅷ ٣ 12 _ a½b Ça 中文² ªº") == ["a", "b", "ça", "中文", "ªº"]
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c).startswith("L")]
+    assert "".join(langid.words_of(" ".join(letters))) == "".join(c for c in "".join(letters).lower() if c.isalpha())
+    assert not langid.words_of(" ".join(c for c in map(chr, range(0x110000)) if not c.isalpha() and not 0xD800 <= ord(c) < 0xE000 and not c.lower().isalpha()))
 
 
 def test_language_id(spark):
@@ -121,6 +177,27 @@ def test_syncmers(spark):
     assert syncmers.edited(docs(spark, [(1, "a b c d e"), (1, "a b c d e"), (2, None)])).count() == 3
 
 
+def test_syncmers_are_closed_and_context_free(spark):
+    rng = random.Random(14)
+    texts = [" ".join(words(rng, 60)), "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(80)), "aB3/" * 3 + "x9Z=" + "q1,w2;e3 r4(t5)"]
+    table = spark.createDataFrame([(x,) for x in texts], "text string")
+    runs = table.select(syncmers._runs(syncmers.symbols(F.col("text")), syncmers.S).alias("h"), syncmers.positions(F.col("text")).alias("p"), syncmers.anchors(F.col("text")).alias("a")).collect()
+    inner = syncmers.K - syncmers.S + 1
+    for r in runs:
+        h = r["h"]
+        want = [i for i in range(len(h) - inner + 1) if min(h[i], h[i + inner - 1]) == min(h[i : i + inner])]
+        assert [x["at"] for x in r["p"]] == want and [x["value"] for x in r["p"]] == r["a"]
+    # a passage keeps its anchors wherever it stands, in scripts without spaces too, but for those that reach over its ends
+    for x in texts[:2]:
+        for before in ("", "two words ", "一二三 "):
+            got = spark.createDataFrame([(before + x + " end",)], "text string").select(syncmers.anchors(F.col("text"))).first()[0]
+            own = next(r["a"] for r, t in zip(runs, texts, strict=True) if t == x)
+            assert set(own) <= set(got)
+    far = [texts[1][:40] + "一" + texts[1][40:]]
+    got = set(spark.createDataFrame([(x,) for x in far], "text string").select(syncmers.anchors(F.col("text"))).first()[0])
+    assert len(got & set(runs[1]["a"])) > 0.8 * len(set(runs[1]["a"]))
+
+
 def test_warc_round_trip(spark):
     warc.register(spark)
     rows = [(1, "http://a", "x" * 100), (2, "http://b", "x" * 100), (3, None, ""), (4, "u\r\nv", None), (5, "http://c", "é" * 70000), (None, "n", "x" * 100), (2, "http://b", "x" * 100)]
@@ -177,6 +254,17 @@ def test_mixing_follows_brute_force(spark):
         mixing.mix(table, {"a": 1})
 
 
+def test_mixing_keeps_clashing_columns_and_long_periods(spark):
+    table = spark.createDataFrame([(i % 50, "ab"[i % 3 == 0], i, i, i, i) for i in range(300)], "doc_id long, source string, block int, _pf int, mix_rank int, position int")
+    out = mixing.mix(table, {"a": 20011, "b": 9973}, block=1)
+    assert out.columns == [*table.columns, "_block", "slot", "_position"]
+    got = out.toPandas()
+    assert sorted(got["mix_rank"]) == list(range(300)) and (got["block"] == got["mix_rank"]).all() and sorted(got["_position"]) == list(range(300))
+    ahead = got.sort_values("_position")["source"].eq("b").cumsum().to_numpy()[:250] - np.arange(1, 251) * 9973 / 29984
+    assert (abs(ahead) < 1).all()
+    assert mixing.mix(table, {"a": 2 * 10**9, "b": 10**9}, block=1).count() == 300
+
+
 @pytest.mark.parametrize("width", [1, 7, 15, 16, 17, 31])
 def test_packing(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 10000)
@@ -270,6 +358,26 @@ def test_join_finds_all_links(spark):
     assert chosen_path.join(docs(spark, [])).count() == 0
 
 
+def test_join_in_deep_nodes(spark):
+    """Texts made mostly of one frequent passage: large nodes of texts that aren't alike, with alike pairs among them."""
+    rng = random.Random(17)
+    common = words(rng, 90, 10**6)
+    rows, pairs = [], []
+    for i in range(0, 1400, 2):
+        own = words(rng, 80, 10**6)
+        rows.append((i, common + own))
+        if i % 20 == 0:
+            w = common + own
+            for _ in range(2):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((i + 1, w))
+            pairs.append((i, i + 1))
+    got = {r["doc_id"]: r["class_id"] for r in chosen_path.join(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    alike = [(a, b) for a, b in pairs if jaccard(*({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (dict(rows)[a], dict(rows)[b]))) >= 0.8]
+    assert len(alike) > 60 and sum(got[a] == got[b] for a, b in alike) >= 0.99 * len(alike)
+    assert sum(c != i for i, c in got.items()) <= len(pairs)
+
+
 def test_codec_is_viterbi_and_lossless(spark):
     pieces, scores, trie = unigram_codec.Codec.load(PIECES)
     codec = unigram_codec.Codec(pieces, scores, trie)
@@ -318,6 +426,11 @@ def test_embedding_dedup(spark, cell_rows):
     want = groups(links, list(got.index))
     assert got.n_links.to_dict() == n and got.component_id.to_dict() == want
     assert got.kept.to_dict() == {i: c == i for i, c in want.items()}
+    # an id on different vectors: each row is a vector of its own
+    x, y = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    again = spark.createDataFrame([(5, x, 1), (5, y, 1), (6, [1.0, 0.01, 0.2], 1), (7, y, 1), (8, y, 1), (8, [0.01, 1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.dedup(again).collect())
+    assert got == [(5, 1, 5), (5, 3, 5), (6, 1, 5), (7, 3, 5), (8, 3, 5), (8, 3, 5)]
     assert embed_dedup.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
@@ -374,6 +487,51 @@ def test_chaining_finds_passages_of_pieces_seen_earlier(spark):
         assert r.ref_id < r.doc_id and by[r.doc_id][r.start : r.end] == by[r.ref_id][r.ref_start : r.ref_end]
 
 
+def test_chaining_covers_exact_runs_and_finds_edited_ones(spark):
+    rng = random.Random(16)
+    pool = [words(rng, 40 + 15 * i, 10**6) for i in range(8)]  # passages of 40 to 145 words
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.randrange(1, 5)):
+            w += words(rng, rng.randrange(0, 40), 10**6)
+            p = rng.choice(pool)
+            a, b = sorted((rng.randrange(0, len(p) // 2), rng.randrange(len(p) // 2, len(p) + 1)))
+            w += p[a:b] if rng.random() < 0.5 else p
+        rows.append((i, w))
+    found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+    by = dict(rows)
+    for r in found.itertuples():  # every row is what it says
+        assert r.ref_id < r.doc_id and by[r.doc_id][r.start : r.end][:1] == by[r.ref_id][r.ref_start : r.ref_end][:1]
+    covered = {i: np.zeros(len(w), bool) for i, w in rows}
+    for r in found.itertuples():
+        covered[r.doc_id][r.start : r.end] = True
+    seen: set = set()
+    for i, w in rows:  # by force: the words of all runs of 50 that an earlier document holds
+        runs = [j for j in range(len(w) - 49) if tuple(w[j : j + 50]) in seen]
+        need = np.zeros(len(w), bool)
+        for j in runs:
+            need[j : j + 50] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], need.astype(int), [0]])))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            assert covered[i][a + 10 : b - 10].all(), (i, a, b)
+        seen |= {tuple(w[j : j + 50]) for j in range(len(w) - 49)}
+    # passages of 100 words with a share of them changed
+    base, recall = words(rng, 100, 10**6), {}
+    for share in (0.05, 0.1, 0.15, 0.2):
+        rows = [(0, base + words(rng, 50, 10**6))]
+        for i in range(1, 61):
+            w = [f"x{rng.randrange(10**6)}" if rng.random() < share else x for x in base]
+            rows.append((i, words(rng, 30, 10**6) + w + words(rng, 30, 10**6)))
+        got = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+        best = {i: 0 for i in range(1, 61)}
+        for r in got.itertuples():
+            best[r.doc_id] = max(best[r.doc_id], min(r.end, 130) - max(r.start, 30))
+        recall[share] = np.mean([b >= 50 for b in best.values()])
+    print("recall by share of words changed", recall)
+    assert recall[0.05] == 1 and recall[0.1] > 0.95 and recall[0.15] > 0.7
+
+
 def test_chains_are_optimal_on_small_cases():
     rng = random.Random(10)
     for _ in range(60):
@@ -387,6 +545,8 @@ def test_chains_are_optimal_on_small_cases():
                     s = max(s, 5 + best[j] - cost * (seg[i][0] - seg[j][1] + seg[i][2] - seg[j][3]))
             best.append(s)
         first = chaining.chains(np.array(seg), cost, 10**6)[0]
+        near = chaining.chains(np.array([(0, 200, 0, 200), (260, 265, 260, 265), (270, 290, 270, 290)]), cost, 30)
+        assert sorted(near) == [[0], [1, 2]]  # the nearer predecessor, though a farther one scores more
         score = 5 * len(first) - sum(cost * (seg[b][0] - seg[a][1] + seg[b][2] - seg[a][3]) for a, b in zip(first, first[1:], strict=False))
         assert abs(score - max(best)) < 1e-9
 
@@ -408,6 +568,10 @@ def test_pipeline_stages(spark):
             kept = spark.createDataFrame(out.collect(), table.schema)
         sizes.append(out.count())
     assert sizes == [84, 83, 83, 83, 83]
+    # an id on two texts: the copy goes, the other stays; rows equal in id and text are one
+    near = spark.createDataFrame([(1, rows[0][1], "en", "s", 0), (2, rows[0][1], "en", "s", 0), (2, rows[1][1], "en", "s", 0), (3, rows[2][1], "en", "s", 0), (3, rows[2][1], "en", "s", 0), (None, "x", "en", "s", 0)], table.schema)
+    left = corpus_pipeline.near_duplicates(spark, near, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:9]) for r in left) == sorted([(0, "x"), (1, rows[0][1][:9]), (2, rows[1][1][:9]), (3, rows[2][1][:9])])
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert passage in texts[200] and passage not in texts[201] and 100 not in texts and 101 not in texts and 102 not in texts
 
@@ -440,3 +604,59 @@ def test_warc_leaves_negated_predicates_to_spark():
     negated = Not(EqualTo(("record_type",), "revisit"))
     assert list(reader.pushFilters([negated, EqualTo(("record_type",), "response")])) == [negated]
     assert reader.tests == [("record_type", "in", ("response",))]
+
+
+def pages_of(spark, rows):
+    return warc.planned(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+def test_warc_appends_and_overwrites(spark):
+    warc.register(spark)
+    path = scratch(spark, "warc")
+
+    def save(ids, mode):
+        pages_of(spark, [(i, f"http://{i}", f"page {i}") for i in ids]).repartition(2).write.format("warc").option("path", path).mode(mode).save()
+        return sorted(r["p"] for r in spark.read.format("warc").load(path).select(warc.page_of(F.col("record_id")).alias("p")).collect())
+
+    assert save(range(8), "append") == [*range(8)]
+    assert save(range(10, 18), "append") == [*range(8), *range(10, 18)]
+    assert save([20], "overwrite") == [20]
+
+
+def test_warc_filters_and_lengths(spark):
+    warc.register(spark)
+    path = scratch(spark, "warc")
+    rows = [(i, None if i % 5 == 0 else f"http://host{i % 3}/{i}", "same" if i % 2 else f"page {i} " * 3000) for i in range(40)]
+    pages_of(spark, rows).write.format("warc").option("path", path).mode("append").save()
+    whole = spark.read.format("warc").load(path).toPandas()
+    for payload in ("all", "verify", "none"):
+        back = spark.read.format("warc").option("payload", payload).load(path)
+        for where in ("record_type <> 'revisit'", "record_type = 'revisit' or record_id = '<urn:page:4>'", "record_type in ('revisit', 'x')", "target_uri like 'http://host1%'", "target_uri is not null and record_type = 'response'", "target_uri is null", "not (target_uri like 'http://host1%')", "payload_bytes > 100"):
+            got = back.where(where).select("record_id", "payload_bytes", "payload_digest").toPandas().sort_values("record_id").values.tolist()
+            want = spark.createDataFrame(whole).where(where).select("record_id", "payload_bytes", "payload_digest").toPandas().sort_values("record_id").values.tolist()
+            assert got == want and got, (payload, where)
+
+
+def test_warc_skips_members_unread(tmp_path):
+    import io
+
+    records = [warc.record("response", f"<urn:page:{i}>", "http://a", None, bytes(random.Random(i).randbytes(50_000)), "2024-01-01T00:00:00Z") for i in range(6)]
+    long = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Type: application/http; msgtype=response\r\n"
+    block = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 9000 + b"\r\nContent-Length: 7\r\n\r\n" + b"z" * 123
+    records.append(long + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n")
+    import gzip
+
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", b"".join(warc.member(x, 1) for x in records)), ("c.warc.gz", b"".join(gzip.compress(x) for x in records)), ("d.warc.gz", gzip.compress(b"".join(records)))):
+        (tmp_path / name).write_bytes(data)
+        if name[0] in "bc":
+            assert gzip.decompress(data) == b"".join(records)
+        reader = warc.Reader({"path": str(tmp_path / name), "payload": "none"})
+        (part,) = reader.partitions()
+        got = [r for batch in reader.read(part) for r in batch.to_pylist()]
+        assert [r["record_id"] for r in got] == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 4, 5, 9)] and [r["payload_bytes"] for r in got] == [50_000] * 6 + [123], name
+        file = io.BytesIO(data)
+        source, passed = warc.Source(file, name.endswith("gz")), []
+        while (head := source.headers()) is not None:
+            source.skip(int(head["content-length"]))
+            passed.append(head["warc-record-id"])
+        assert len(passed) == 7 and (name[0] != "b" or source.produced < 20_000)
