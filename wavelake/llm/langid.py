@@ -17,7 +17,6 @@ text is `und`. Rows with a null language are not learned from; equal texts get e
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, parts, slabs
 
-#: Characters that a regular expression's \\w takes besides letters, decimal digits and `_`: other numbers, such as fractions.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(f"[^\\W\\d_{NUMBERS}]+")
+#: Runs of letters and of what regular expressions take for such besides: numbers that are no decimal digits, as fractions.
+RUN = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 WINDOW = 4096
 #: Longer words are not kept by the workers.
@@ -180,7 +178,14 @@ def grouped(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    return [w for part in parts(text) for w in WORD.findall(part.lower())]
+    """Runs of letters (category L), in lower case."""
+    out = []
+    for part in parts(text):
+        found = RUN.findall(part.lower())
+        if not all(map(str.isalpha, found)):
+            found = [w for run in found for w in ("".join(c if c.isalpha() else " " for c in run).split() if not run.isalpha() else (run,))]
+        out += found
+    return out
 
 
 def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang", smooth: float = 0.05, most_langs: int = 500) -> tuple[list[str], np.ndarray]:
@@ -201,8 +206,10 @@ def fit(docs: DataFrame, vocab_path: str, text: str = "text", lang: str = "lang"
         for batch in batches:
             for one, x in zip(batch["lang"], batch["text"], strict=True):
                 tally = seen.setdefault(one, Counter())
-                for w in words_of(x or ""):
-                    tally.update([w] if len(w) <= WINDOW else (w[i : i + WINDOW] for i in range(0, len(w), WINDOW)))
+                found = words_of(x or "")
+                if found and max(map(len, found)) > WINDOW:
+                    found = [w[i : i + WINDOW] for w in found for i in range(0, len(w), WINDOW)]
+                tally.update(found)
                 if sum(map(len, seen.values())) > KEEP_WORDS:
                     flush()
         flush()
