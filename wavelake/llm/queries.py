@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, chaining, chosen_path, embed_dedup, langid, mixing, syncmers, toxicity, unigram_codec, warc
+from . import bitpack, chaining, chosen_path, embed_dedup, fill_middle, langid, mixing, periodic_runs, syncmers, token_counts, toxicity, unigram_codec, warc
 from .common import held_out, scratch, table
 
 #: The public vocabularies; another folder's files may be named instead.
@@ -84,9 +84,37 @@ def op10_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.find(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n_bytes, n_tokens, over_limit (1,024 tokens)."""
+    return token_counts.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, 1024).drop("text")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: n, form, prefix_chars, middle_chars, and digests of the output and of the text rebuilt from it."""
+    done = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document (every tenth id's text made periodic from some word on): its runs, the longest of them, and digests of all runs and of the collapsed text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words).alias("words"))
+    docs = docs.withColumn("a", F.expr("g % size(words)")).withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    edited = F.array_join(F.expr("transform(words, (w, i) -> if(i < a, w, get(words, int(a + (i - a) % p))))"), " ")
+    found = docs.select("doc_id", periodic_runs.analysed(F.when(F.col("a").isNull(), F.col("text")).otherwise(edited)).alias("r"))
+    best = F.array_max(F.transform("r.runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.array_join(F.transform("r.runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("r.runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_syncmers, op3_warc, op4_mixing, op5_bit_packed_ids, op6_ngram_jaccard_join, op7_sentencepiece, op8_embedding_dedup, op9_language_id, op10_chaining)
+    for f in (op1_toxicity, op2_syncmers, op3_warc, op4_mixing, op5_bit_packed_ids, op6_ngram_jaccard_join, op7_sentencepiece, op8_embedding_dedup, op9_language_id, op10_chaining, op11_token_counts, op12_fill_middle, op13_periodic_runs)
 }
 #: DuckDB's forms; the tests hold the other operators against brute force.
 ORACLES: dict[str, str] = {}
@@ -107,3 +135,13 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
   CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < first THEN first END AS refers_to
 FROM q"""
+ORACLES["op12_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+c AS (SELECT doc_id, x, u, len(u) AS n, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+b AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT doc_id, x, n, form, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM b)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p"""
