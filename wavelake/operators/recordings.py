@@ -25,12 +25,14 @@ def numbered(rows: DataFrame, by: list[str], time: str, order: list[str], span:
     return within.join(starts, same).select(*keep, (within["n"] + starts["before"]).alias("n"))
 
 
-def numbered_within(rows: DataFrame, block: str, order: str) -> DataFrame:
-    """rows with n, their place from 0 by blocks and then by an order within them, as a file's splits have their lines."""
-    counts = rows.groupBy(block).agg(F.count(F.lit(1)).alias("_held"))
-    starts = counts.select(block, F.coalesce(F.sum("_held").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each split
-    within = rows.withColumn("n", F.row_number().over(Window.partitionBy(block).orderBy(order)) - 1)
-    return within.join(F.broadcast(starts), block).withColumn("n", F.col("n") + F.col("_before")).drop("_before")
+def numbered_within(rows: DataFrame, block: str, order: str, by: str | None = None) -> DataFrame:
+    """rows with n, their place from 0 by blocks and then by an order within them, as a file's splits have their lines; `by`: each has its own count."""
+    keys = [by] if by else []
+    counts = rows.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_held"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = counts.select(*keys, block, F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
+    within = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, block).orderBy(order)) - 1)
+    return within.join(starts, [*keys, block]).withColumn("n", F.col("n") + F.col("_before")).drop("_before")
 
 
 def filled(rows: DataFrame, by: list[str], block: str, order: str, value: str) -> DataFrame:

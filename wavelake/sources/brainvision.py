@@ -1,4 +1,4 @@
-"""BrainVision recordings: a text header, a text marker file and a binary file of int16 or float32 samples."""
+"""The BrainVision format: a text header, a text marker file and a binary file of int16 or float32 samples. `records` reads and writes such files."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 UNITS = {"v": 1e6, "mv": 1e3, "µv": 1.0, "uv": 1.0, "": 1.0, "nv": 1e-3}
-SIGNALS = "path string, channel string, fs double, x array<double>"
-EVENTS = "path string, onset double, duration double, text string"
 
 
 def sections(text: str) -> dict[str, dict[str, str]]:
@@ -36,17 +34,6 @@ def channels(header: dict) -> list[tuple[str, float]]:
     return out
 
 
-def samples(header: dict, data: bytes) -> np.ndarray:
-    """Rows of channels, in microvolts."""
-    names = channels(header)
-    kind = "<f4" if "FLOAT" in header.get("binary infos", {}).get("binaryformat", "INT_16").upper() else "<i2"
-    x = np.frombuffer(data, kind)
-    n = len(x) // len(names)
-    flat = x[: n * len(names)]
-    rows = flat.reshape(len(names), n) if "VECTOR" in header["common infos"].get("dataorientation", "").upper() else flat.reshape(n, len(names)).T
-    return rows * np.array([s for _, s in names])[:, None]
-
-
 def markers(text: str, fs: float) -> list[tuple[float, float, str]]:
     """(onset, duration, text): places count from 1, lengths of a sample or less are points; comments have no type before them."""
     out = []
@@ -59,24 +46,10 @@ def markers(text: str, fs: float) -> list[tuple[float, float, str]]:
 
 
 def read(spark: SparkSession, header_path: str) -> tuple[DataFrame, DataFrame]:
-    """(signals, events) of a recording. The small texts settle on the driver; the samples are read by a task."""
-    text = "\n".join(r["value"] for r in spark.read.text(header_path).collect())
-    head = sections(text)
-    fs = 1e6 / float(head["common infos"]["samplinginterval"])
-    folder = header_path.rsplit("/", 1)[0]
-    names = [n for n, _ in channels(head)]
-
-    def decode(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(p, n, fs, x) for n, x in zip(names, samples(head, data), strict=True)], columns=["path", "channel", "fs", "x"])
+    """(path, channel, fs, x) and (path, onset, duration, text) of short recordings."""
+    from . import edf
 
-    signals = spark.read.format("binaryFile").load(f"{folder}/{head['common infos']['datafile']}").select("path", "content").mapInPandas(decode, SIGNALS)
-    marks = head["common infos"].get("markerfile")
-    found = markers("\n".join(r["value"] for r in spark.read.text(f"{folder}/{marks}").collect()), fs) if marks else []
-    return signals, spark.createDataFrame([(header_path, *m) for m in found], EVENTS)
+    return edf.read_signals(spark, header_path), edf.read_events(spark, header_path)
 
 
 def encode(stem: str, signals: list[tuple[str, np.ndarray]], fs: float, events: list[tuple[float, float, str]] = ()) -> dict[str, bytes]:

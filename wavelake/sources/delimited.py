@@ -125,25 +125,26 @@ def columns(head: list[str], sep: str, encoding: str) -> Layout:
 
 @dataclass
 class Recording:
-    samples: DataFrame  #: (channel, n, t, v)
-    events: DataFrame  #: (onset, duration, text)
+    samples: DataFrame  #: (recording, channel, n, t, v)
+    events: DataFrame  #: (recording, onset, duration, text)
     fs: float
 
 
 def read(spark: SparkSession, path: str, fs: float | None = None) -> Recording:
-    """A recording, its events and its rate (which must be given where the table has no usable time axis)."""
+    """A recording (or several files of one layout, each a recording), its events and its rate (which must be given where the table has no usable time axis)."""
     encoding = encoding_of("\n".join(lines(spark, path, "ISO-8859-1", 50)))
     first = lines(spark, path, encoding, 400)
     plan = layout(first, encoding)
     width = len(plan.names)
     schema = ", ".join(f"c{i} string" for i in range(width + 1))
     raw = reader(spark, encoding, any(x.endswith("\r") for x in first)).option("sep", plan.sep).option("comment", "#").option("mode", "PERMISSIVE").option("quote", '"').schema(schema).csv(path)
-    raw = raw.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    raw = raw.select("*", name.alias("recording"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
     cell = lambda i: tabular.number(F.col(f"c{i}"))
     clock = tabular.clock(F.col(f"c{plan.time}")) if plan.time is not None else None
     # the header and lines before it have no number where each row has one
     must = clock.isNotNull() if clock is not None else cell(plan.sample).isNotNull() if plan.sample is not None else F.coalesce(*(cell(i) for i in plan.channels)).isNotNull()
-    rows = recordings.numbered_within(raw.where(must).withColumn("clock", clock if clock is not None else F.lit(None).cast("double")), "block", "ord")
+    rows = recordings.numbered_within(raw.where(must).withColumn("clock", clock if clock is not None else F.lit(None).cast("double")), "block", "ord", "recording")
     scale = 1e-3 if plan.milliseconds else 1.0
     if plan.time is not None:
         dt = rows.select((F.col("clock") - F.lag("clock").over(Window.partitionBy("block").orderBy("n"))).alias("dt")).where("dt > 0")
@@ -157,16 +158,16 @@ def read(spark: SparkSession, path: str, fs: float | None = None) -> Recording:
     elif fs is None:
         raise ValueError("without a time axis a rate must be given")
     t = F.col("clock") * scale if plan.time is not None else F.col("n") / fs
-    wide = rows.select("block", "n", t.alias("t"), *(F.col(f"c{i}") for i in range(width)))
-    long = wide.select("block", "n", "t", *(F.col(f"c{i}").alias(plan.names[i]) for i in plan.channels)).unpivot(["block", "n", "t"], [plan.names[i] for i in plan.channels], "channel", "raw")
+    wide = rows.select("recording", "block", "n", t.alias("t"), *(F.col(f"c{i}") for i in range(width)))
+    long = wide.select("recording", "block", "n", "t", *(F.col(f"c{i}").alias(plan.names[i]) for i in plan.channels)).unpivot(["recording", "block", "n", "t"], [plan.names[i] for i in plan.channels], "channel", "raw")
     scales = F.create_map(*(F.lit(x) for i in plan.channels for x in (plan.names[i], plan.scales[i])))
-    samples = recordings.filled(long.select("block", "channel", "n", "t", (tabular.number(F.col("raw")) * F.element_at(scales, F.col("channel"))).alias("v")), ["channel"], "block", "n", "v")
-    found = [events.marker_events(wide.select("t", F.col(f"c{i}").alias("label")), [], "t", "label").withColumn("text", F.concat(F.lit(f"{plan.names[i]}:" if len(plan.markers) > 1 else ""), "text")) for i in plan.markers]
-    found += [events.segment_events(wide.select("t", F.col(f"c{i}").alias("label")), [], "t", "label", 1 / fs) for i in plan.segments]
-    table = spark.createDataFrame([], "onset double, duration double, text string")
+    samples = recordings.filled(long.select("recording", "block", "channel", "n", "t", (tabular.number(F.col("raw")) * F.element_at(scales, F.col("channel"))).alias("v")), ["recording", "channel"], "block", "n", "v")
+    found = [events.marker_events(wide.select("recording", "t", F.col(f"c{i}").alias("label")), ["recording"], "t", "label").withColumn("text", F.concat(F.lit(f"{plan.names[i]}:" if len(plan.markers) > 1 else ""), "text")) for i in plan.markers]
+    found += [events.segment_events(wide.select("recording", "t", F.col(f"c{i}").alias("label")), ["recording"], "t", "label", 1 / fs) for i in plan.segments]
+    table = spark.createDataFrame([], "recording string, onset double, duration double, text string")
     for f in found:
         table = table.unionByName(f)
-    return Recording(samples.select("channel", "n", "t", "v"), table, fs)
+    return Recording(samples.select("recording", "channel", "n", "t", "v"), table, fs)
 
 
 # Which reader a file's extension calls for.
@@ -182,33 +183,25 @@ def format_of(path: str) -> str:
 
 def read_any(spark: SparkSession, path: str, fs: float | None = None) -> Recording:
     """A recording by its file's extension; where a file has no events, those of its trigger channel."""
-    from . import brainvision, edf
+    from . import records
 
     kind = format_of(path)
     if kind == "delimited":
         out = read(spark, path, fs)
-    elif kind == "brainvision":
-        signals, table = brainvision.read(spark, path)
-        out = from_arrays(signals, table)
     else:  # the header tells 16 from 24 bits
-        out = from_arrays(edf.read_signals(spark, path), edf.read_events(spark, path))
+        out = of_files(records.read(spark, path, "samples"), records.read(spark, path, "events"), records.read(spark, path, "signals"))
     if out.events.isEmpty():
         best = events.trigger_channel(out.samples, 0).first()
         if best is not None:
             mask = 0xFFFF if key(best["channel"]).startswith("status") else 0
             rec = out.samples.where(F.col("channel") == best["channel"])
-            return Recording(out.samples, events.trigger_events(rec, ["channel"], out.fs, mask).select("onset", "duration", "text"), out.fs)
+            return Recording(out.samples, events.trigger_events(rec, ["recording", "channel"], out.fs, mask).select("recording", "onset", "duration", "text"), out.fs)
     return out
 
 
-def from_arrays(signals: DataFrame, table: DataFrame) -> Recording:
-    """Of signals (path, channel, fs, x) those at the highest rate as they are, others brought to it: held for trigger channels, else by lines."""
-    fs = signals.agg(F.max("fs")).first()[0]
-    own = signals.where(F.col("fs") == fs).select("channel", F.posexplode("x").alias("n", "v"))
-    rest = signals.where(F.col("fs") != fs)
-    if not rest.isEmpty():
-        size = signals.where(F.col("fs") == fs).agg(F.max(F.size("x"))).first()[0]
-        long = rest.select("channel", F.posexplode("x").alias("n", "v")).withColumn("n", F.col("n").cast("long"))
-        held = F.lower("channel").rlike("trig|status|stim|marker")
-        own = own.unionByName(recordings.resample(long.where(~held), size)).unionByName(recordings.resample(long.where(held), size, hold=True))
-    return Recording(own.select("channel", F.col("n").cast("long").alias("n"), (F.col("n") / fs).alias("t"), "v"), table.select("onset", "duration", "text"), fs)
+def of_files(samples: DataFrame, table: DataFrame, signals: DataFrame) -> Recording:
+    """Of recordings of one rate (that of the samples)."""
+    rates = [r["fs"] for r in samples.select("fs").distinct().limit(2).collect()] if signals.where("kind in ('signal', 'code')").select("fs").distinct().count() > 1 else [r["fs"] for r in signals.where("kind in ('signal', 'code')").select("fs").limit(1).collect()]
+    if len(rates) != 1:
+        raise ValueError("the recordings have no rate in common; read them apart")
+    return Recording(samples.select("recording", "channel", "n", (F.col("n") / F.col("fs")).alias("t"), "v"), table, rates[0])

@@ -1,56 +1,23 @@
-"""Recordings, BIDS sidecars and tables written by Spark: a file for each recording, made by the task that holds it."""
+"""Recordings, BIDS sidecars and tables written by Spark."""
 
 from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from . import brainvision, edf
-
-
-def packed(rec: DataFrame, events: DataFrame | None) -> DataFrame:
-    """(recording, channels, events): a recording's channels (name, fs, x) by name, and its events by onset."""
-    x = rec.groupBy("recording", "channel", "fs").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda s: s["v"]).alias("x"))
-    out = x.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("channel", "fs", "x"))).alias("channels"))
-    if events is None:
-        return out.withColumn("events", F.array().cast("array<struct<onset:double,duration:double,text:string>>"))
-    e = events.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("onset", "duration", "text"))).alias("events"))
-    return out.join(e, "recording", "left").withColumn("events", F.coalesce("events", F.array().cast("array<struct<onset:double,duration:double,text:string>>")))
-
-
-def write_recordings(rec: DataFrame, folder: str, kind: str = "edf", events: DataFrame | None = None) -> DataFrame:
-    """Writes (recording, channel, fs, n, v) as EDF, BDF or BrainVision files in a folder that all workers reach; gives (recording, file, bytes).
-
-    A file appears under its name when it is whole, so a task that is run again leaves no half file.
-    """
-
-    def files(name: str, signals: list, fs: float, marks: list) -> dict[str, bytes]:
-        if kind == "brainvision":
-            return brainvision.encode(name, signals, fs, marks)
-        return {f"{name}.{kind}": edf.encode(signals, int(round(fs)), marks, bdf=kind == "bdf")}
-
-    def run(batches):
-        from pyarrow import fs as pfs
-
-        fs, at = pfs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        fs.create_dir(at, recursive=True)
-        for batch in batches:
-            out = []
-            for name, channels, marks in zip(batch["recording"], batch["channels"], batch["events"], strict=True):
-                signals = [(c["channel"], np.asarray(c["x"], float)) for c in channels]
-                for file, data in files(name, signals, channels[0]["fs"], [(m["onset"], m["duration"], m["text"]) for m in marks]).items():
-                    with fs.open_output_stream(f"{at}/{file}.part") as f:
-                        f.write(data)
-                    fs.move(f"{at}/{file}.part", f"{at}/{file}")
-                    out.append((name, file, len(data)))
-            yield pd.DataFrame(out, columns=["recording", "file", "bytes"])
-
-    return packed(rec, events).mapInPandas(run, "recording string, file string, bytes long")
+from . import records
+
+
+def write_recordings(rec: DataFrame, folder: str, kind: str = "edf", events: DataFrame | None = None, **how) -> DataFrame:
+    """Writes (recording, channel, fs, n, v) as EDF, BDF or BrainVision files in a folder that all workers reach; gives (recording, file, bytes) of those of that kind that are there."""
+    records.write(rec, folder, kind, events, **how)
+    suffix = "eeg" if kind == "brainvision" else kind
+    files = rec.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(folder)
+    file = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_replace(file, r"\.[^.]*$", "").alias("recording"), file.alias("file"), F.col("length").alias("bytes"))
 
 
 def recording_table(rec: DataFrame, fs: float) -> DataFrame:
