@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans.more import MORE, MORE_SQL
 from .plans.queries import ORACLES as FIRST_SQL
 from .plans.queries import QUERIES as FIRST
+from .plans.recorded import RECORDED, RECORDED_SQL
 
-QUERIES, ORACLES = FIRST | MORE, FIRST_SQL | MORE_SQL
+QUERIES, ORACLES = FIRST | MORE | RECORDED, FIRST_SQL | MORE_SQL | RECORDED_SQL
 
 __all__ = ["ORACLES", "QUERIES", "flagship", "ship", "shipped"]
 

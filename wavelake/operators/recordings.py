@@ -1,4 +1,4 @@
-"""Recordings as long tables (channel, n, v): references, statistics, artifacts, quality, labels, resampling."""
+"""Recordings as long tables (channel, n, v), of several recordings with their key in `by`: references, statistics, artifacts, quality, labels, resampling."""
 
 from __future__ import annotations
 
@@ -44,15 +44,15 @@ def filled(rows: DataFrame, by: list[str], block: str, order: str, value: str) -
     return out.withColumn(value, F.coalesce(value, "_carry", F.lit(0.0))).drop("_carry")
 
 
-def average_reference(rec: DataFrame) -> DataFrame:
+def average_reference(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Each sample less its mean over channels: one shuffle by sample, means are combined before it."""
-    means = rec.groupBy("n").agg(F.avg("v").alias("m"))
-    return rec.join(means, "n").select("channel", "n", (F.col("v") - F.col("m")).alias("v"))
+    means = rec.groupBy(*by, "n").agg(F.avg("v").alias("m"))
+    return rec.join(means, [*by, "n"]).select(*by, "channel", "n", (F.col("v") - F.col("m")).alias("v"))
 
 
-def field_power(rec: DataFrame) -> DataFrame:
+def field_power(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(n, gfp): population deviation over channels."""
-    return rec.groupBy("n").agg(F.stddev_pop("v").alias("gfp"))
+    return rec.groupBy(*by, "n").agg(F.stddev_pop("v").alias("gfp"))
 
 
 def peaks(series: DataFrame, value: str, order: str, chunk: int = 65536) -> DataFrame:
@@ -64,11 +64,11 @@ def peaks(series: DataFrame, value: str, order: str, chunk: int = 65536) -> Data
     return rows.where((F.col("chunk") == at) & (F.col(value) > F.col("before")) & (F.col(value) >= F.col("after"))).drop("chunk", "before", "after")
 
 
-def statistics(rec: DataFrame) -> DataFrame:
+def statistics(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per channel, of finite values: n, min, max, ptp, mean, population and sample deviation; and how many are not finite."""
     ok = scalar.finite(F.col("v"))
     v = F.when(ok, F.col("v"))
-    return rec.groupBy("channel").agg(
+    return rec.groupBy(*by, "channel").agg(
         F.count(v).alias("n"), F.count_if(~ok).alias("n_bad"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), (F.max(v) - F.min(v)).alias("ptp"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd_pop"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd_samp")
     )
 
@@ -81,46 +81,47 @@ def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_
     return out.select(*by, "median", scale(*args).alias("scale"))
 
 
-def windows(rec: DataFrame, size: int, step: int) -> DataFrame:
+def windows(rec: DataFrame, size: int, step: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(channel, w, ptp, rms, kurtosis) of complete windows; kurtosis is excess, 0 where the variance is about 0."""
     last = F.floor(F.col("n") / step)
     first = F.greatest(F.ceil((F.col("n") - (size - 1)) / step), F.lit(0))
     rows = rec.withColumn("w", F.explode(F.when(first <= last, F.sequence(first, last))))
-    out = rows.groupBy("channel", "w").agg(
+    out = rows.groupBy(*by, "channel", "w").agg(
         F.count(F.lit(1)).alias("size"), (F.max("v") - F.min("v")).alias("ptp"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.when(F.var_pop("v") > 1e-24, F.kurtosis("v")).otherwise(0.0).alias("kurtosis")
     )
     return out.where(F.col("size") == size).drop("size")
 
 
-def artifacts(features: DataFrame, baseline_windows: int, limit: float = 6.0, low: float | None = None, least_channels: int = 1) -> DataFrame:
+def artifacts(features: DataFrame, baseline_windows: int, limit: float = 6.0, low: float | None = None, least_channels: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """features with z scores against each channel's first windows (all of them if there are none), and a flag of the channel's window.
 
     window_bad holds where at least `least_channels` channels are bad in one window; `low` flags windows that are too quiet as well.
     """
     names = ["ptp", "rms", "kurtosis"]
-    long = features.unpivot(["channel", "w"], names, "feature", "x")
+    long = features.unpivot([*by, "channel", "w"], names, "feature", "x")
     use = long.withColumn("early", F.col("w") < baseline_windows)
-    some = use.groupBy("channel").agg(F.bool_or("early").alias("some"))
-    base = use.join(some, "channel").where("early or not some")
-    z = long.join(robust(base, ["channel", "feature"], "x", scalar.artifact_scale), ["channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
-    wide = z.groupBy("channel", "w").agg(*(F.max(F.when(F.col("feature") == n, F.col("z"))).alias(f"{n}_z") for n in names))
+    some = use.groupBy(*by, "channel").agg(F.bool_or("early").alias("some"))
+    base = use.join(some, [*by, "channel"]).where("early or not some")
+    z = long.join(robust(base, [*by, "channel", "feature"], "x", scalar.artifact_scale), [*by, "channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
+    wide = z.groupBy(*by, "channel", "w").agg(*(F.max(F.when(F.col("feature") == n, F.col("z"))).alias(f"{n}_z") for n in names))
     bad = (F.col("ptp_z") > limit) | (F.col("rms_z") > limit) | (F.col("kurtosis_z") > limit)
     if low is not None:
         bad = bad | (F.col("ptp_z") < -low) | (F.col("rms_z") < -low)
     wide = wide.withColumn("bad", bad)
     if least_channels <= 1:
         return wide
-    windows = wide.groupBy("w").agg(F.count_if("bad").alias("n_bad"))
-    return wide.join(windows, "w").withColumn("window_bad", F.col("n_bad") >= least_channels)
+    windows = wide.groupBy(*by, "w").agg(F.count_if("bad").alias("n_bad"))
+    return wide.join(windows, [*by, "w"]).withColumn("window_bad", F.col("n_bad") >= least_channels)
 
 
-def quality(stats: DataFrame, scales: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0) -> DataFrame:
+def quality(stats: DataFrame, scales: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Per channel: flat and noisy flags against the typical scale, and reasons. There is a row for each channel only."""
-    typical = scales.agg(F.expr("percentile(scale, 0.5)").alias("t")).select(F.when(F.col("t") > 1e-12, F.col("t")).otherwise(1.0).alias("t"))
-    rows = stats.join(scales.select("channel", "scale"), "channel").crossJoin(F.broadcast(typical))
+    typical = scales.groupBy(*by).agg(F.expr("percentile(scale, 0.5)").alias("t")).select(*by, F.when(F.col("t") > 1e-12, F.col("t")).otherwise(1.0).alias("t"))
+    rows = stats.join(scales.select(*by, "channel", "scale"), [*by, "channel"])
+    rows = rows.join(typical, list(by)) if by else rows.crossJoin(F.broadcast(typical))
     is_flat = (F.col("ptp") < flat_ptp) | (F.col("scale") < flat * F.col("t"))
     is_noisy = F.col("scale") > noisy * F.col("t")
-    return rows.select("channel", "ptp", "scale", is_flat.alias("flatline"), is_noisy.alias("noisy"), (is_flat | is_noisy).alias("bad"), F.concat_ws(";", F.when(is_flat, "flatline"), F.when(is_noisy, "noisy")).alias("reasons"))
+    return rows.select(*by, "channel", "ptp", "scale", is_flat.alias("flatline"), is_noisy.alias("noisy"), (is_flat | is_noisy).alias("bad"), F.concat_ws(";", F.when(is_flat, "flatline"), F.when(is_noisy, "noisy")).alias("reasons"))
 
 
 def runs(rows: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
@@ -143,17 +144,17 @@ def forward_fill(rows: DataFrame, by: list[str], order: str, value: str) -> Data
     return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)))
 
 
-def resample(rec: DataFrame, length: int, hold: bool = False) -> DataFrame:
+def resample(rec: DataFrame, length: int, hold: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Each channel at `length` places, by linear interpolation or by holding."""
-    sizes = rec.groupBy("channel").agg((F.max("n") + 1).alias("size"))
+    sizes = rec.groupBy(*by, "channel").agg((F.max("n") + 1).alias("size"))
     grid = sizes.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     at = F.col("j") * ((F.col("size") - 1) / max(1, length - 1)) if not hold else F.floor(F.col("j") * F.col("size") / length)
     grid = grid.withColumn("x", at.cast("double")).withColumn("n", F.least(F.floor("x"), F.col("size") - 1))
-    nxt = rec.select("channel", (F.col("n") - 1).alias("n"), F.col("v").alias("v1"))
-    both = grid.join(rec, ["channel", "n"]).join(nxt, ["channel", "n"], "left")
+    nxt = rec.select(*by, "channel", (F.col("n") - 1).alias("n"), F.col("v").alias("v1"))
+    both = grid.join(rec, [*by, "channel", "n"]).join(nxt, [*by, "channel", "n"], "left")
     t = F.col("x") - F.col("n")
     value = F.col("v") if hold else F.col("v") + t * (F.coalesce("v1", "v") - F.col("v"))
-    return both.select("channel", F.col("j").alias("n"), value.alias("v"))
+    return both.select(*by, "channel", F.col("j").alias("n"), value.alias("v"))
 
 
 def frames(rows: DataFrame, last: str, size: int, step: int, burst: bool, chunk: int = 8192) -> DataFrame:

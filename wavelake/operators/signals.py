@@ -62,20 +62,20 @@ def filtered(rec: DataFrame, sections: list[np.ndarray], zero_phase: bool = True
     return rows.where(F.floor(F.col("n") / chunk) == F.col("_c")).select(*by, "n", F.col("y").alias("v"))
 
 
-def preprocessed(rec: DataFrame, fs: float, average: bool = True, notch: float = 0.0, low: float = 0.0, high: float = 0.0, notch_q: float = 30.0, zero_phase: bool = True) -> DataFrame:
+def preprocessed(rec: DataFrame, fs: float, average: bool = True, notch: float = 0.0, low: float = 0.0, high: float = 0.0, notch_q: float = 30.0, zero_phase: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Average reference, then the filters; causal (zero_phase false), a recording's pieces give what the whole gives."""
-    rec = recordings.average_reference(rec) if average else rec
-    return filtered(rec, stages(fs, notch, low, high, notch_q), zero_phase)
+    rec = recordings.average_reference(rec, by) if average else rec
+    return filtered(rec, stages(fs, notch, low, high, notch_q), zero_phase, (*by, "channel"))
 
 
-def spectrogram(rec: DataFrame, fs: float, nperseg: int, hop: int | None = None) -> DataFrame:
+def spectrogram(rec: DataFrame, fs: float, nperseg: int, hop: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(channel, frame, t, k, freq, p): the density of each complete segment; t is its middle."""
     hop = hop or max(1, nperseg // 2)
     nfft = 1 << (nperseg - 1).bit_length()
     side = F.when((F.col("k") == 0) | (F.col("k") == nfft // 2), 1.0).otherwise(2.0)
     power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
-    bins = spectra.transforms(rec, nperseg, hop).select("channel", F.col("seg").alias("frame"), F.posexplode(power).alias("k", "p"))
-    return bins.select("channel", "frame", ((F.col("frame") * hop + 0.5 * nperseg) / fs).alias("t"), F.col("k").cast("long").alias("k"), (F.col("k") * (fs / nfft)).alias("freq"), (F.col("p") * side * spectra._scale(fs, nperseg)).alias("p"))
+    bins = spectra.transforms(rec, nperseg, hop, by).select(*by, "channel", F.col("seg").alias("frame"), F.posexplode(power).alias("k", "p"))
+    return bins.select(*by, "channel", "frame", ((F.col("frame") * hop + 0.5 * nperseg) / fs).alias("t"), F.col("k").cast("long").alias("k"), (F.col("k") * (fs / nfft)).alias("freq"), (F.col("p") * side * spectra._scale(fs, nperseg)).alias("p"))
 
 
 def in_db(p: Column, least: float = 1e-20) -> Column:
@@ -111,26 +111,26 @@ def line_noise_decision(psd: DataFrame, channels: int = 8, least: float = 3.0) -
     return both.select("ratio_50", "ratio_60", F.when(found & (F.col("ratio_60") > F.col("ratio_50")), 60.0).when(found, 50.0).otherwise(0.0).alias("recommended_hz"), F.when(found, best).otherwise(0.0).alias("strength"))
 
 
-def mean_correlation(rec: DataFrame) -> DataFrame:
+def mean_correlation(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(channel, corr): the size of a channel's correlation with the mean over channels; 0 where either doesn't vary."""
-    means = rec.groupBy("n").agg(F.avg("v").alias("m"))
-    out = rec.join(means, "n").groupBy("channel").agg(F.var_pop("v").alias("a"), F.var_pop("m").alias("b"), F.covar_pop("v", "m").alias("c"))
+    means = rec.groupBy(*by, "n").agg(F.avg("v").alias("m"))
+    out = rec.join(means, [*by, "n"]).groupBy(*by, "channel").agg(F.var_pop("v").alias("a"), F.var_pop("m").alias("b"), F.covar_pop("v", "m").alias("c"))
     ok = (F.col("a") > 1e-18) & (F.col("b") > 1e-18)
-    return out.select("channel", F.when(ok, F.least(F.lit(1.0), F.abs("c") / F.sqrt(F.col("a") * F.col("b")))).otherwise(0.0).alias("corr"))
+    return out.select(*by, "channel", F.when(ok, F.least(F.lit(1.0), F.abs("c") / F.sqrt(F.col("a") * F.col("b")))).otherwise(0.0).alias("corr"))
 
 
-def downsampled(rec: DataFrame, most: int) -> DataFrame:
+def downsampled(rec: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Every ceil(n / most)-th sample of each channel."""
-    sizes = rec.groupBy("channel").agg(F.ceil((F.max("n") + 1) / most).alias("_stride"))
-    return rec.join(sizes, "channel").where("n % _stride = 0").drop("_stride")
+    sizes = rec.groupBy(*by, "channel").agg(F.ceil((F.max("n") + 1) / most).alias("_stride"))
+    return rec.join(sizes, [*by, "channel"]).where("n % _stride = 0").drop("_stride")
 
 
-def channel_quality(rec: DataFrame, flags: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0, often: float = 0.3, least_corr: float = 0.0) -> DataFrame:
+def channel_quality(rec: DataFrame, flags: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0, often: float = 0.3, least_corr: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Per channel: flatline, noisy, artifact_often_bad, corr_low, bad and reasons; flags has the bad windows of each channel."""
-    scales = recordings.robust(rec, ["channel"])
-    base = recordings.quality(recordings.statistics(rec), scales, flat_ptp, flat, noisy).drop("bad", "reasons")
-    share = flags.groupBy("channel").agg(F.avg(F.col("bad").cast("double")).alias("bad_fraction"))
-    out = base.join(share, "channel", "left").join(mean_correlation(rec), "channel", "left").fillna(0.0, ["bad_fraction"])
+    scales = recordings.robust(rec, [*by, "channel"])
+    base = recordings.quality(recordings.statistics(rec, by), scales, flat_ptp, flat, noisy, by).drop("bad", "reasons")
+    share = flags.groupBy(*by, "channel").agg(F.avg(F.col("bad").cast("double")).alias("bad_fraction"))
+    out = base.join(share, [*by, "channel"], "left").join(mean_correlation(rec, by), [*by, "channel"], "left").fillna(0.0, ["bad_fraction"])
     out = out.withColumn("artifact_often_bad", F.col("bad_fraction") >= often).withColumn("corr_low", (F.col("corr") < least_corr) if least_corr > 0 else F.lit(False))
     names = [("flatline", "flatline"), ("noisy", "noisy"), ("artifact_often_bad", "artifact_often_bad"), ("corr_low", "low_corr")]
     return out.withColumn("bad", F.greatest(*(F.col(c) for c, _ in names))).withColumn("reasons", F.concat_ws(";", *(F.when(F.col(c), n) for c, n in names)))
