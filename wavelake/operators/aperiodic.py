@@ -1,4 +1,4 @@
-"""The background of a spectrum and what stands out of it: robust log-log lines, two slopes, a knee, and their comparison."""
+"""A short form of the backgrounds of a spectrum given as two arrays: the fits and what stands out of the best one."""
 
 from __future__ import annotations
 
@@ -7,89 +7,24 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FEATURES = "intercept double, slope double, r2 double, rmse double, knee_hz double, slope_low double, slope_high double, knee double, exponent double, best string, periodic_power double, periodic_fraction double, peak_hz double, peak_db double"
-
-
-def huber_line(x: np.ndarray, y: np.ndarray, rounds: int = 8, reach: float = 1.345) -> tuple[float, float]:
-    """(intercept, slope) by reweighted least squares; residuals beyond reach x 1.4826 MAD count less."""
-    w = np.ones(len(x))
-    a = b = 0.0
-    for _ in range(rounds):
-        mx, my = np.average(x, weights=w), np.average(y, weights=w)
-        den = (w * (x - mx) ** 2).sum()
-        new_b = (w * (x - mx) * (y - my)).sum() / den if den > 0 else 0.0
-        new_a = my - new_b * mx
-        done = abs(new_a - a) + abs(new_b - b) < 1e-12
-        a, b = new_a, new_b
-        r = y - a - b * x
-        scale = 1.4826 * np.median(np.abs(r - np.median(r)))
-        if done or scale <= 1e-12:
-            break
-        w = np.minimum(1, reach * scale / np.maximum(np.abs(r), 1e-300))
-    return float(a), float(b)
-
-
-def two_slopes(x: np.ndarray, y: np.ndarray, least: int = 3) -> tuple[float, np.ndarray]:
-    """(place of the bend, coefficients of 1, x and max(0, x - bend)) with the least error, bends at sample points."""
-    best = (np.inf, float("nan"), np.zeros(3))
-    for k in x[least:-least]:
-        m = np.stack([np.ones(len(x)), x, np.maximum(0, x - k)], 1)
-        c = np.linalg.lstsq(m, y, rcond=None)[0]
-        rss = ((y - m @ c) ** 2).sum()
-        if rss < best[0]:
-            best = (rss, k, c)
-    return float(best[1]), best[2]
-
+from . import backgrounds as b
 
-def knee_model(f: np.ndarray, y: np.ndarray, slope: float) -> tuple[float, float, float]:
-    """(offset, knee, exponent) of offset - log10(knee + f^exponent): a coarse grid around the line's slope, then a fine one."""
-
-    def search(exponents: np.ndarray, knees: np.ndarray) -> tuple[float, float, float, float]:
-        best = (np.inf, 0.0, 0.0, 0.0)
-        for e in exponents:
-            shape = -np.log10(knees[:, None] + f[None, :] ** e)
-            offset = (y - shape).mean(1)
-            rss = ((y - shape - offset[:, None]) ** 2).sum(1)
-            i = int(rss.argmin())
-            if rss[i] < best[0]:
-                best = (float(rss[i]), float(offset[i]), float(knees[i]), float(e))
-        return best
-
-    near = abs(slope)
-    coarse = search(np.arange(max(0.1, near - 1.5), near + 1.5, 0.1), np.append(0.0, np.logspace(-2, 4, 40)))
-    around = np.append(0.0, coarse[2] * np.logspace(-0.2, 0.2, 21)) if coarse[2] > 0 else np.append(0.0, np.logspace(-4, -2, 20))
-    return search(np.arange(max(0.05, coarse[3] - 0.1), coarse[3] + 0.1, 0.02), around)[1:]
-
-
-def bic(rss: float, n: int, parameters: int) -> float:
-    return n * np.log(max(1e-24, rss / n)) + parameters * np.log(n)
+FEATURES = "intercept double, slope double, r2 double, rmse double, knee_hz double, slope_low double, slope_high double, knee double, exponent double, best string, periodic_power double, periodic_fraction double, peak_hz double, peak_db double"
+NAMES = {"loglog": "line", "two_slope": "two slopes", "knee": "knee"}
 
 
 def features(freqs: np.ndarray, p: np.ndarray, lo: float = 2.0, hi: float = 40.0) -> tuple:
-    """One row of FEATURES; not-a-number where there are fewer than eight usable bins."""
+    """One row of FEATURES; not-a-number where there are fewer than eight usable bins. The best model is that of the least BIC."""
     ok = (freqs >= lo) & (freqs <= hi) & (p > 0) & np.isfinite(p)
-    f, power = freqs[ok], p[ok]
-    if len(f) < 8:
-        nan = float("nan")
-        return (*[nan] * 9, None, *[nan] * 4)
-    x, y = np.log10(f), np.log10(power)
-    a, b = huber_line(x, y)
-    line = a + b * x
-    bend, c = two_slopes(x, y)
-    bent = np.stack([np.ones(len(x)), x, np.maximum(0, x - bend)], 1) @ c
-    offset, knee, exponent = knee_model(f, y, b)
-    curve = offset - np.log10(knee + f**exponent)
-    rss = [float(((y - m) ** 2).sum()) for m in (line, bent, curve)]
-    scores = [bic(r, len(f), k) for r, k in zip(rss, (2, 4, 3 if knee > 0 else 2), strict=True)]
-    best = int(np.argmin(scores))
-    back = (line, bent, curve)[best]
-    above = np.maximum(power - 10**back, 0)
-    area = lambda v: float((0.5 * (v[1:] + v[:-1]) * np.diff(f)).sum())
-    db = 10 * (y - back)
-    inner = np.flatnonzero((db[1:-1] > db[:-2]) & (db[1:-1] >= db[2:])) + 1
-    top = int(inner[db[inner].argmax()]) if len(inner) else -1
-    total = ((y - y.mean()) ** 2).sum()
-    return (a, b, 1 - rss[0] / total if total > 0 else 0.0, float(np.sqrt(rss[0] / len(f))), float(10**bend), float(c[1]), float(c[1] + c[2]), knee, exponent, ("line", "two slopes", "knee")[best], area(above), area(above) / max(area(power), 1e-300), float(f[top]) if top >= 0 else float("nan"), float(db[top]) if top >= 0 else float("nan"))
+    if ok.sum() < 8:
+        return (*[b.NAN] * 9, None, *[b.NAN] * 4)
+    s = b.Spectrum(freqs[ok], p[ok])
+    fits = {"loglog": b.line(s, lo, hi), "two_slope": b.two_slopes(s, lo, hi, least=4), "knee": b.knee(s, lo, hi)}
+    best = b.compared({m: f.scores()[1] for m, f in fits.items()})[0]
+    flat, two, bend = (f.parameters for f in fits.values())
+    power = b.periodic_power(s, fits[best], lo, hi)
+    peak = b.prominent_peak(s, fits[best], lo, hi) or (b.NAN, b.NAN, b.NAN)
+    return (flat["intercept"], flat["slope"], fits["loglog"].r2, fits["loglog"].plain, two["knee_hz"], two["slope_low"], two["slope_high"], bend["knee"], bend["exponent"], NAMES[best], power, power / max(float(b.areas(s.f, s.p).sum()), 1e-300), peak[0], peak[2])
 
 
 def of(freqs: Column, p: Column) -> Column:

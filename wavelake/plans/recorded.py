@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, specs
-from ..operators import recordings, signals, spectra
+from ..operators import backgrounds, recordings, signals, spectra
 from ..sources import records, shared
-from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, r6, read
+from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read
 
 BY = ("recording",)
 
@@ -81,7 +81,32 @@ def recording_signals(spark, sf_dir):
     return records.read(spark, files(spark, sf_dir), "signals").select("recording", "channel", "unit", "fs", "samples", "kind")
 
 
-RECORDED = {f.__name__: f for f in (subject_power, subject_coherence, subject_reference, subject_artifacts, subject_quality, subject_spectrogram, recording_files, recording_spans, recording_marks, recording_signals)}
+#: Least squares over 3 to 41 Hz without 23 to 27 Hz.
+PLAIN = backgrounds.Settings(3.0, 41.0, excluded=((23.0, 27.0),), knee_model=False, rounds=(0, 0, 0))
+
+
+def background_line(spark, sf_dir):
+    """The line through the bins, and what stands out of it."""
+    t = backgrounds.table(psd(spark, sf_dir), PLAIN)
+    names = ["aperiodic_slope", "aperiodic_offset", "aperiodic_r2", "aperiodic_rmse", "aperiodic_n_points", "aperiodic_aic", "aperiodic_bic", "periodic_rel", "prominent_peak_hz", "prominent_peak_prominence_db"]
+    return r6(t.select("channel", *names), *names)
+
+
+def background_two_slope(spark, sf_dir):
+    """Two lines that meet at a bin, and the two models' scores and weights."""
+    t = backgrounds.table(psd(spark, sf_dir), PLAIN)
+    names = ["aperiodic_knee_hz", "aperiodic_slope_low", "aperiodic_slope_high", "aperiodic_rmse_two_slope", "aperiodic_aic_two_slope", "aperiodic_delta_aic_loglog", "aperiodic_aic_weight_two_slope"]
+    return r6(t.select("channel", "aperiodic_best_model_bic", *names), *names)
+
+
+def spectral_table(spark, sf_dir):
+    """The whole feature table of every subject, with robust fits and the background of the least BIC."""
+    bands = tuple(specs.bands())
+    o = backgrounds.Settings(1.0, 60.0, 2.0, 58.0, edges=(0.9, 0.95), bands=bands, ratios=(("theta_beta", "theta", "beta"),), background="auto_bic")
+    return backgrounds.table(spectra.welch(subjects(spark, sf_dir), FS, SEG, HOP, BY), o, BY)
+
+
+RECORDED = {f.__name__: f for f in (background_line, background_two_slope, spectral_table, subject_power, subject_coherence, subject_reference, subject_artifacts, subject_quality, subject_spectrogram, recording_files, recording_spans, recording_marks, recording_signals)}
 
 SUBJECTS = "sig AS (SELECT 's' || (user_id % 3) || '/' || event_type AS channel, row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts, event_id) - 1 AS n, value AS v FROM events)"
 APART = "split_part(channel, '/', 1) AS recording, split_part(channel, '/', 2) AS channel"
@@ -93,7 +118,31 @@ def by_subject(text: str) -> str:
 
 
 CELLS = "c AS (SELECT split_part(channel, '/', 1) AS recording, split_part(channel, '/', 2) AS channel, n, round(v * 100) AS v FROM sig), z AS (SELECT recording, CAST(ceil((max(n) + 1) / 16) * 16 AS BIGINT) AS n_samples FROM c GROUP BY recording)"
+POINTS = PSD + """,
+pt AS (SELECT channel, freq AS f, p FROM psd WHERE freq > 3 AND freq < 41 UNION ALL SELECT channel, 3.0, avg(p) FROM psd WHERE k IN (1, 2) GROUP BY channel UNION ALL SELECT channel, 41.0, avg(p) FROM psd WHERE k IN (20, 21) GROUP BY channel),
+xy AS (SELECT channel, f, log10(f) AS x, log10(p) AS y, row_number() OVER (PARTITION BY channel ORDER BY f) AS i, count(*) OVER (PARTITION BY channel) AS n FROM pt WHERE f NOT BETWEEN 23 AND 27),
+ln AS (SELECT channel, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2 FROM xy GROUP BY channel),
+er AS (SELECT channel, any_value(n) AS n, avg(pow(y - a - b * x, 2)) AS mse FROM xy JOIN ln USING (channel) GROUP BY channel)"""
 RECORDED_SQL = {
+    "background_line": f"""WITH {POINTS},
+rs AS (SELECT channel, f, p, greatest(p - pow(10, a + b * log10(f)), 0) AS r, 10 * (log10(p) - a - b * log10(f)) AS d FROM pt JOIN ln USING (channel)),
+nx AS (SELECT *, lead(f) OVER w AS f1, lead(p) OVER w AS p1, lead(r) OVER w AS r1 FROM rs WINDOW w AS (PARTITION BY channel ORDER BY f)),
+ar AS (SELECT channel, sum((r + r1) * (f1 - f)) / sum((p + p1) * (f1 - f)) AS rel FROM nx GROUP BY channel),
+pk AS (SELECT channel, f, d FROM (SELECT channel, f, d, lag(d) OVER w AS d0, lead(d) OVER w AS d1 FROM rs WHERE f NOT IN (3, 41) WINDOW w AS (PARTITION BY channel ORDER BY f)) WHERE d >= d0 AND d >= d1),
+tp AS (SELECT channel, arg_max(f, d) AS hz, max(d) AS db FROM pk GROUP BY channel HAVING max(d) > 1e-12)
+SELECT channel, round(b, 6) AS aperiodic_slope, round(a, 6) AS aperiodic_offset, round(r2, 6) AS aperiodic_r2, round(sqrt(mse), 6) AS aperiodic_rmse, n::DOUBLE AS aperiodic_n_points,
+  round(n * ln(mse) + 4, 6) AS aperiodic_aic, round(n * ln(mse) + 2 * ln(n), 6) AS aperiodic_bic, round(rel, 6) AS periodic_rel, hz::DOUBLE AS prominent_peak_hz, round(db, 6) AS prominent_peak_prominence_db
+FROM ln JOIN er USING (channel) JOIN ar USING (channel) LEFT JOIN tp USING (channel)""",
+    "background_two_slope": f"""WITH {POINTS},
+cd AS (SELECT c.channel, c.f AS kf, c.x AS kx, v.x, v.y, least(v.x - c.x, 0) AS d1, greatest(v.x - c.x, 0) AS d2 FROM xy c JOIN xy v USING (channel) WHERE c.i BETWEEN 6 AND c.n - 5),
+sm AS (SELECT channel, kf, kx, count(*) AS n, sum(d1) AS s1, sum(d2) AS s2, sum(d1 * d1) AS s11, sum(d2 * d2) AS s22, sum(y) AS sy, sum(d1 * y) AS s1y, sum(d2 * y) AS s2y FROM cd GROUP BY ALL),
+lv AS (SELECT *, (sy - s1 * s1y / s11 - s2 * s2y / s22) / (n - s1 * s1 / s11 - s2 * s2 / s22) AS a FROM sm),
+sl AS (SELECT *, (s1y - s1 * a) / s11 AS b1, (s2y - s2 * a) / s22 AS b2 FROM lv),
+fe AS (SELECT channel, kf, any_value(b1) AS b1, any_value(b2) AS b2, avg(pow(y - a - b1 * d1 - b2 * d2, 2)) AS mse2 FROM cd JOIN sl USING (channel, kf) GROUP BY channel, kf),
+bs AS (SELECT channel, arg_min(kf, mse2) AS kf, arg_min(b1, mse2) AS b1, arg_min(b2, mse2) AS b2, min(mse2) AS mse2 FROM fe GROUP BY channel),
+sc AS (SELECT *, n * ln(mse) + 4 AS a1, n * ln(mse2) + 8 AS a2, n * ln(mse) + 2 * ln(n) AS q1, n * ln(mse2) + 4 * ln(n) AS q2 FROM bs JOIN er USING (channel))
+SELECT channel, CASE WHEN q1 <= q2 THEN 'loglog' ELSE 'two_slope' END AS aperiodic_best_model_bic, round(kf, 6) AS aperiodic_knee_hz, round(b1, 6) AS aperiodic_slope_low, round(b2, 6) AS aperiodic_slope_high, round(sqrt(mse2), 6) AS aperiodic_rmse_two_slope,
+  round(a2, 6) AS aperiodic_aic_two_slope, round(a1 - least(a1, a2), 6) AS aperiodic_delta_aic_loglog, round(exp(-0.5 * (a2 - least(a1, a2))) / (exp(-0.5 * (a1 - least(a1, a2))) + exp(-0.5 * (a2 - least(a1, a2)))), 6) AS aperiodic_aic_weight_two_slope FROM sc""",
     "subject_power": f"WITH {by_subject(PSD)} SELECT {APART}, band, round(rel, 6) AS rel, round(log10(power), 6) AS log_power FROM bp",
     "subject_coherence": f"WITH {by_subject(TRANSFORM)}, ta AS (SELECT {APART}, seg, k, re, im FROM tr), pr AS (SELECT a.recording, a.channel AS channel_a, b.channel AS channel_b, k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.im * b.re - a.re * b.im) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM ta a JOIN ta b USING (recording, seg, k) WHERE a.channel < b.channel GROUP BY ALL) SELECT recording, channel_a, channel_b, k, round((re * re + im * im) / (pa * pb), 6) AS msc, round(abs(im) / sqrt(pa * pb), 6) AS imcoh FROM pr",
     "subject_reference": f"WITH {SUBJECTS} SELECT {APART}, n, round(v - avg(v) OVER (PARTITION BY split_part(channel, '/', 1), n), 6) AS v FROM sig",
