@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming, scalar
+from . import scans
 
 
 def normalized(events: DataFrame) -> DataFrame:
@@ -76,10 +78,9 @@ def as_of(frames: DataFrame, gates: DataFrame, by: list[str], fs: float) -> Data
 
 def true_segments(frames: DataFrame, by: list[str], time: str, flag: str) -> DataFrame:
     """(by, onset, duration) of runs of true frames; a run ends at the first false frame after it, or at the last frame; runs without length go."""
-    w = Window.partitionBy(*by).orderBy(time)
-    rows = frames.withColumn("_was", F.coalesce(F.lag(flag).over(w), F.lit(False))).where(F.col(flag) != F.col("_was"))
+    rows = scans.neighbour(frames, by, time, flag, "_was", size=scans.SECONDS).where(F.col(flag) != F.coalesce("_was", F.lit(False)))
     last = frames.groupBy(*by).agg(F.max(time).alias("_last"))
-    edges = rows.withColumn("_next", F.lead(time).over(w)).where(F.col(flag)).join(last, by)
+    edges = scans.neighbour(rows, by, time, time, "_next", back=False, size=scans.SECONDS).where(F.col(flag)).join(last, by)
     out = edges.select(*by, F.col(time).alias("onset"), (F.coalesce("_next", "_last") - F.col(time)).alias("duration"))
     return out.where("duration > 0")
 
@@ -88,18 +89,15 @@ def marker_events(rows: DataFrame, by: list[str], time: str, label: str) -> Data
     """(by, onset, duration, text): a point event where a label changes into one that isn't empty (or 0)."""
     text = F.trim(F.coalesce(F.col(label).cast("string"), F.lit("")))
     text = F.when(text.rlike(r"^[+-]?0+(\.0*)?$"), "").otherwise(text)
-    before = F.coalesce(F.lag("_text").over(Window.partitionBy(*by).orderBy(time)), F.lit(""))
-    out = rows.withColumn("_text", text).withColumn("_before", before).where("_text <> '' and _text <> _before")
+    out = scans.neighbour(rows.withColumn("_text", text), by, time, "_text", "_before", size=scans.SECONDS).where("_text <> '' and _text <> coalesce(_before, '')")
     return out.select(*by, F.col(time).alias("onset"), F.lit(0.0).alias("duration"), F.col("_text").alias("text"))
 
 
 def segment_events(rows: DataFrame, by: list[str], time: str, label: str, step: float) -> DataFrame:
     """(by, onset, duration, text): an event from where a label begins to the sample after its last one."""
-    w = Window.partitionBy(*by).orderBy(time)
-    rows = rows.withColumn("_text", F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))))
-    rows = rows.withColumn("_new", (F.col("_text") != F.coalesce(F.lag("_text").over(w), F.lit(""))).cast("int")).withColumn("_run", F.sum("_new").over(w))
-    out = rows.where("_text <> ''").groupBy(*by, "_run", "_text").agg(F.min(time).alias("onset"), (F.max(time) - F.min(time) + step).alias("duration"))
-    return out.select(*by, "onset", "duration", F.col("_text").alias("text"))
+    rows = rows.select(*by, time, F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))).alias("_text"))
+    out = scans.runs(rows, by, time, "_text", scans.SECONDS).where("_text <> ''")
+    return out.select(*by, F.col("first").alias("onset"), (F.col("last") - F.col("first") + step).alias("duration"), F.col("_text").alias("text"))
 
 
 def codes(v: Column, mask: int = 0, zero: float = 0.5) -> Column:
@@ -111,11 +109,10 @@ def codes(v: Column, mask: int = 0, zero: float = 0.5) -> Column:
 
 def trigger_events(rec: DataFrame, by: list[str], fs: float, mask: int = 0, ignore_zero: bool = True) -> DataFrame:
     """(by, onset, duration, text) of runs of one code in (by, n, v); the run at sample 0 is a state, no event."""
-    w = Window.partitionBy(*by).orderBy("n")
     rows = rec.withColumn("_code", codes(F.col("v"), mask))
-    starts = rows.withColumn("_was", F.lag("_code").over(w)).where("_was is null or _was <> _code")
+    starts = scans.neighbour(rows, by, "n", "_code", "_was").where("_was is null or _was <> _code")
     total = rec.groupBy(*by).agg((F.max("n") + 1).alias("_total"))
-    runs = starts.withColumn("_end", F.lead("n").over(w)).join(total, by).where("n > 0")
+    runs = scans.neighbour(starts, by, "n", "n", "_end", back=False).join(total, by).where("n > 0")
     runs = runs.where("_code <> 0") if ignore_zero else runs
     return runs.select(*by, (F.col("n") / fs).alias("onset"), ((F.coalesce("_end", "_total") - F.col("n")) / fs).alias("duration"), F.col("_code").cast("string").alias("text"))
 
@@ -123,15 +120,26 @@ def trigger_events(rec: DataFrame, by: list[str], fs: float, mask: int = 0, igno
 def debounced(events: DataFrame, by: list[str], least: float) -> DataFrame:
     """Events of which none of the same text was kept less than `least` seconds before: of each text's chain of close events every one that is far enough from the last kept one.
 
-    The walk along a text's onsets is a SQL aggregate over their array, as each step needs the last kept one.
+    An event `least` seconds or more after the one before it is kept whatever came earlier, so each stretch of closer
+    events is walked by itself.
     """
-    packed = events.groupBy(*by, "text").agg(F.array_sort(F.collect_list(F.struct("onset", "duration"))).alias("e"))
-    kept = F.aggregate(
-        "e",
-        F.array().cast("array<struct<onset:double,duration:double>>"),
-        lambda out, x: F.when((F.size(out) == 0) | (x["onset"] - F.element_at(out, -1)["onset"] >= least), F.array_append(out, x)).otherwise(out),
-    )
-    return packed.select(*by, "text", F.inline(kept)).select(*by, "onset", "duration", "text")
+    keys = [*by, "text"]
+    rows = events.groupBy(*keys, "onset").agg(F.min("duration").alias("duration"))  # of one time the first is kept
+    near = scans.neighbour(rows, keys, "onset", "onset", "_was", size=scans.SECONDS)
+    heads = near.withColumn("_head", F.when(F.col("_was").isNull() | (F.col("onset") - F.col("_was") >= least), F.col("onset")))
+    stretch = scans.forward_filled(heads, keys, "onset", "_head", None, scans.SECONDS)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("onset")
+        keep, last = [], None
+        for t in pdf["onset"]:
+            keep.append(last is None or t - last >= least)
+            last = t if keep[-1] else last
+        return pdf[keep]
+
+    kinds = dict(events.dtypes)
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "onset", "duration", "text"])
+    return stretch.groupBy(*keys, "_head").applyInPandas(lambda pdf: walk(pdf)[[*by, "onset", "duration", "text"]], out)
 
 
 def trigger_scores(rec: DataFrame, mask: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, scans, selection
 from .recordings import average_reference, runs
 
 
@@ -21,7 +21,7 @@ def top_fraction(peaks: DataFrame, fraction: float, least: int = 1, most: int =
     fraction = fraction if 0 < fraction <= 1 else 1.0
     total = peaks.count()
     want = min(total, max(least, -int(-fraction * total // 1)))
-    return peaks.orderBy(F.desc("gfp"), "n").limit(min(want, most) if most else want)
+    return selection.largest(peaks, "gfp", "n", min(want, most) if most else want)
 
 
 def thinned(peaks: DataFrame, distance: int) -> DataFrame:
@@ -98,21 +98,37 @@ def smooth(labels: np.ndarray, least: int, passes: int = 10) -> np.ndarray:
     return labels
 
 
-def smoothed(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """rows (by, n, label, ...) with labels smoothed within each recording of `by`: what a run becomes depends on the runs before it."""
+def smoothed(rows: DataFrame, by: list[str], least: int, size: int = scans.PLACES) -> DataFrame:
+    """rows (by, n, label, ...) with labels smoothed within each recording of `by`.
+
+    What a run becomes depends on the runs before it, but a run keeps its label if it is long enough (or has none), and
+    two such runs side by side part what comes before from what comes after, in every pass. So runs, not samples, are
+    walked, and each stretch between such pairs by itself.
+    """
+    marked = scans.with_runs(rows, by, "n", "label", size)
+    runs_of = scans.runs(rows, by, "n", "label", size)
+    fixed = (F.col("n") >= least) | (F.col("label") < 0)
+    cuts = scans.neighbour(runs_of.withColumn("_fixed", fixed), by, "first", "_fixed", "_was", size=size)
+    heads = cuts.withColumn("_head", F.when(~F.coalesce("_was", F.lit(False)) | ~F.col("_fixed"), None).otherwise(F.col("first")))
+    stretch = scans.forward_filled(heads, by, "first", "_head", -1, size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        return pdf.assign(label=smooth(pdf["label"].to_numpy(), least))
+        pdf = pdf.sort_values("first")
+        after = smooth(np.repeat(pdf["label"].to_numpy(), pdf["n"]), least)
+        return pdf.assign(label=after[np.append(0, np.cumsum(pdf["n"].to_numpy())[:-1])])
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    keys = ", ".join(f"`{c}` {t}" for c, t in rows.select(*by).dtypes)
+    kind = dict(rows.dtypes)["label"]
+    walked = stretch.select(*by, "_head", "first", "label", "n").groupBy(*by, "_head").applyInPandas(run, f"{keys}{', ' if by else ''}_head {dict(stretch.dtypes)['_head']}, first {dict(rows.dtypes)['n']}, label {kind}, n long")
+    names = walked.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), F.col("first").alias("_first"), F.col("label").alias("_label"))
+    same = [F.col("run") == F.col("_first"), *(F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by))]
+    return marked.join(names, same).select(*(F.col("_label").alias("label") if c == "label" else F.col(c) for c in rows.columns))
 
 
 def segments(rows: DataFrame, by: list[str], fs: float) -> DataFrame:
     """(by, label, first, last, start, end, duration, mean_corr, mean_gfp) of runs of a label that isn't -1."""
-    a, b = Window.partitionBy(*by).orderBy("n"), Window.partitionBy(*by, "label").orderBy("n")
-    islands = rows.withColumn("_i", F.row_number().over(a) - F.row_number().over(b))
-    out = islands.where("label >= 0").groupBy(*by, "label", "_i").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.avg("corr").alias("mean_corr"), F.avg("gfp").alias("mean_gfp"))
+    marked = scans.with_runs(rows, by, "n", "label")
+    out = marked.where("label >= 0").groupBy(*by, "label", "run").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.avg("corr").alias("mean_corr"), F.avg("gfp").alias("mean_gfp"))
     return out.select(*by, "label", "first", "last", (F.col("first") / fs).alias("start"), ((F.col("last") + 1) / fs).alias("end"), ((F.col("last") + 1 - F.col("first")) / fs).alias("duration"), "mean_corr", "mean_gfp")
 
 

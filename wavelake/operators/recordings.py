@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from . import scans, selection
 
 
 def numbered(rows: DataFrame, by: list[str], time: str, order: list[str], span: str = "hour") -> DataFrame:
@@ -73,10 +74,12 @@ def statistics(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_scale) -> DataFrame:
-    """by, median and scale: exact percentiles in two passes."""
-    med = rec.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_samp(value).alias("sd"))
-    out = rec.join(med, by).groupBy(*by).agg(F.expr(f"percentile(abs({value} - median), 0.5)").alias("mad"), F.first("median").alias("median"), F.first("sd").alias("sd"))
+def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_scale, small: bool = False) -> DataFrame:
+    """by, median and scale: exact quantiles in two rounds; `small` says that groups are known to be short, so that an exact aggregate may hold them."""
+    half = lambda rows, x: rows.groupBy(*by).agg(F.expr(f"percentile({x}, 0.5)").alias("q")) if small else selection.quantiles(rows, by, x, {"q": 0.5})
+    med = rec.groupBy(*by).agg(F.stddev_samp(value).alias("sd")).join(half(rec, value).withColumnRenamed("q", "median"), by, "left")
+    far = rec.join(med.select(*by, "median"), by).withColumn("_far", F.abs(F.col(value) - F.col("median")))
+    out = med.join(half(far, "_far").withColumnRenamed("q", "mad"), by, "left")
     args = (F.col("mad"), F.col("sd")) if scale is scalar.robust_scale else (F.col("mad"), F.col("sd"), F.col("median"))
     return out.select(*by, "median", scale(*args).alias("scale"))
 
@@ -102,7 +105,7 @@ def artifacts(features: DataFrame, baseline_windows: int, limit: float = 6.0, lo
     use = long.withColumn("early", F.col("w") < baseline_windows)
     some = use.groupBy(*by, "channel").agg(F.bool_or("early").alias("some"))
     base = use.join(some, [*by, "channel"]).where("early or not some")
-    z = long.join(robust(base, [*by, "channel", "feature"], "x", scalar.artifact_scale), [*by, "channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
+    z = long.join(robust(base, [*by, "channel", "feature"], "x", scalar.artifact_scale, small=True), [*by, "channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
     wide = z.groupBy(*by, "channel", "w").agg(*(F.max(F.when(F.col("feature") == n, F.col("z"))).alias(f"{n}_z") for n in names))
     bad = (F.col("ptp_z") > limit) | (F.col("rms_z") > limit) | (F.col("kurtosis_z") > limit)
     if low is not None:
@@ -125,23 +128,26 @@ def quality(stats: DataFrame, scales: DataFrame, flat_ptp: float = 1.0, flat: fl
 
 
 def runs(rows: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
-    """(by, label, first, last, n): runs of equal labels at consecutive places."""
-    a = Window.partitionBy(*by).orderBy(order)
-    b = Window.partitionBy(*by, label).orderBy(order)
-    island = F.row_number().over(a) - F.row_number().over(b)
-    return rows.withColumn("island", island).groupBy(*by, label, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+    """(by, label, first, last, n): runs of equal labels at consecutive places, by chunks of places."""
+    return scans.runs(rows, by, order, label)
 
 
 def transitions(rows: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
     """(from, to, n) between neighbouring different labels."""
-    before = F.lag(label).over(Window.partitionBy(*by).orderBy(order))
-    return rows.select(before.alias("from_label"), F.col(label).alias("to_label")).where("from_label <> to_label").groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+    pairs = scans.neighbour(rows, by, order, label, "from_label").select("from_label", F.col(label).alias("to_label"))
+    return pairs.where("from_label <> to_label").groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def forward_fill(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Nulls take the last value before them; the first ones 0."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)))
+    return scans.forward_filled(rows, by, order, value)
+
+
+def reward_rate(rows: DataFrame, by: list[str], order: str, hit: Column, reach: int) -> DataFrame:
+    """rows with `rate`, the share of hits among the last `reach` places (fewer at the start)."""
+    w = Window.partitionBy(*by, "_chunk").orderBy(order).rangeBetween(1 - reach, 0)
+    dealt = scans.overlapped(rows, order, reach - 1, scans.PLACES)
+    return dealt.withColumn("rate", F.avg(hit.cast("double")).over(w)).where("_own").drop("_chunk", "_own")
 
 
 def resample(rec: DataFrame, length: int, hold: bool = False, by: tuple[str, ...] = ()) -> DataFrame:

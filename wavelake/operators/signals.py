@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from . import kernels, recordings, spectra
+from . import kernels, recordings, selection, spectra
 
 
 def stages(fs: float, notch: float = 0.0, low: float = 0.0, high: float = 0.0, notch_q: float = 30.0) -> list[np.ndarray]:
@@ -85,8 +85,9 @@ def in_db(p: Column, least: float = 1e-20) -> Column:
 def display_limits(grid: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(by, lo, hi): quantiles of finite values; of fewer than eight the extremes."""
     ok = grid.where(F.col(value).isNotNull() & ~F.isnan(value))
-    out = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({value}, array({low}, {high}))").alias("q"), F.min(value).alias("a"), F.max(value).alias("b"))
-    return out.select(*by, F.when(F.col("n") < 8, F.col("a")).otherwise(F.col("q")[0]).alias("lo"), F.when(F.col("n") < 8, F.col("b")).otherwise(F.col("q")[1]).alias("hi"))
+    out = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
+    out = out.join(selection.quantiles(ok, by, value, {"q0": low, "q1": high}), by)
+    return out.select(*by, F.when(F.col("n") < 8, F.col("a")).otherwise(F.col("q0")).alias("lo"), F.when(F.col("n") < 8, F.col("b")).otherwise(F.col("q1")).alias("hi"))
 
 
 def band_average(spectrum: DataFrame, by: list[str], value: str, bands: list[tuple[str, float, float]]) -> DataFrame:

@@ -238,8 +238,7 @@ def frames_rule_b(spark, sf_dir):
 
 
 def reward_rate(spark, sf_dir):
-    w = Window.partitionBy("channel").orderBy("n").rowsBetween(-19, 0)
-    return r6(signal(spark, sf_dir).withColumn("rate", F.avg((F.col("v") > 30).cast("double")).over(w)).drop("v"), "rate")
+    return r6(recordings.reward_rate(signal(spark, sf_dir), ["channel"], "n", F.col("v") > 30, 20).drop("v"), "rate")
 
 
 def epoch_baseline(spark, sf_dir):

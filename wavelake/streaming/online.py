@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, specs
-from ..operators import kernels, recordings
+from ..operators import kernels, recordings, scans
 
 EPS = 1e-12
 
@@ -146,7 +146,7 @@ def artifact_gate(rec: DataFrame, fs: float, size: int, step: int, baseline: flo
     features = rows.groupBy("channel", "end_n").agg((F.max("v") - F.min("v")).alias("ptp"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.when(F.var_pop("v") > 1e-24, F.kurtosis("v")).otherwise(0.0).alias("kurtosis"))
     long = features.unpivot(["channel", "end_n"], names, "feature", "x")
     last = scalar.samples(baseline, fs)
-    base = recordings.robust(long.where(F.col("end_n") <= last), ["channel", "feature"], "x")
+    base = recordings.robust(long.where(F.col("end_n") <= last), ["channel", "feature"], "x", small=True)
     z = long.join(base, ["channel", "feature"], "left").withColumn("z", (F.col("x") - F.coalesce("median", F.lit(0.0))) / F.coalesce("scale", F.lit(1.0)))
     per = z.groupBy("end_n", "channel").agg(*(F.max(F.when(F.col("feature") == n, F.col("z"))).alias(n) for n in names), F.max("z").alias("top"))
     out = per.groupBy("end_n").agg(F.count_if(F.col("top") > limit).alias("bad_channels"), F.count(F.lit(1)).alias("have"), *(F.greatest(F.lit(0.0), F.max(n)).alias(f"max_{n}_z") for n in names))
@@ -169,6 +169,7 @@ def metric_values(bands: DataFrame, spec: str, log10: bool = False) -> DataFrame
 
 def rolling_quantile(rows: DataFrame, by: list[str], seconds: str, value: str, window: float, q: float) -> DataFrame:
     """rows with `quantile`, over values less than `window` seconds old (those just that old are out)."""
-    us = scalar.micros(F.col(seconds))
-    w = Window.partitionBy(*by).orderBy("_us").rangeBetween(1 - int(round(window * 1e6)), 0)
-    return rows.withColumn("_us", us).withColumn("quantile", F.expr(f"percentile({value}, {q})").over(w)).drop("_us")
+    reach = int(round(window * 1e6))
+    w = Window.partitionBy(*by, "_chunk").orderBy("_us").rangeBetween(1 - reach, 0)
+    dealt = scans.overlapped(rows.withColumn("_us", scalar.micros(F.col(seconds))), "_us", reach, scans.SECONDS * 1_000_000)
+    return dealt.withColumn("quantile", F.expr(f"percentile({value}, {q})").over(w)).where("_own").drop("_us", "_chunk", "_own")
