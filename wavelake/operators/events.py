@@ -76,6 +76,46 @@ def as_of(frames: DataFrame, gates: DataFrame, by: list[str], fs: float) -> Data
     return frames.withColumn("_n", at).join(gates.withColumn("_n", at).drop("t"), [*by, "_n"], "left").drop("_n")
 
 
+def as_of_once(frames: DataFrame, gates: DataFrame, by: list[str], tolerance: float) -> DataFrame:
+    """frames (by, t, ...) with the columns of the first gate (by, t, ...) not yet taken that is at most `tolerance` seconds away; others get nulls.
+
+    Frames take gates in order of time, and each gate serves one frame, whatever the two grids are. Where neighbours of
+    the merged times are further apart than the tolerance nothing passes, so each stretch between such gaps is walked by
+    itself: times and numbers only, the rows follow by their times. Times of a key differ within frames and within gates
+    (at a microsecond).
+    """
+    us = lambda t: F.round(t * 1_000_000).cast("long")
+    key = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    both = frames.select(*key, (us(F.col("t")) * 2 + 1).alias("_at")).unionByName(gates.select(*key, (us(F.col("t")) * 2).alias("_at")))
+    reach = round(tolerance * 1_000_000)
+    size = scans.SECONDS * 2_000_000
+    near = scans.neighbour(both, names, "_at", "_at", "_was", size=size)
+    heads = near.withColumn("_head", F.when(F.col("_was").isNull() | (F.floor(F.col("_at") / 2) - F.floor(F.col("_was") / 2) > reach), F.col("_at")))
+    stretch = scans.forward_filled(heads, names, "_at", "_head", None, size)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        at = pdf["_at"].to_numpy()
+        waiting, out, low = [int(a) // 2 for a in at if a % 2 == 0], [], 0
+        for t in (int(a) // 2 for a in at if a % 2):
+            while low < len(waiting) and waiting[low] < t - reach:
+                low += 1
+            if low < len(waiting) and waiting[low] <= t + reach:
+                out.append((t, waiting[low]))
+                low += 1
+        keys = pdf.iloc[0][names]
+        return pd.DataFrame([(*keys, *x) for x in out], columns=[*names, "_frame", "_gate"])
+
+    kinds = dict(both.dtypes)
+    pairs = stretch.groupBy(*names, "_head").applyInPandas(walk, ", ".join([*(f"{n} {kinds[n]}" for n in names), "_frame long", "_gate long"]))
+    rest = [c for c in gates.columns if c not in (*by, "t")]
+    right = gates.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), us(F.col("t")).alias("_gate"), *rest)
+    taken = pairs.join(right.withColumnRenamed("_gate", "_right"), [F.col("_gate") == F.col("_right"), *(F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(by)))]).select(*names, "_frame", *rest)
+    same = [us(F.col("t")) == F.col("_frame"), *(F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by))]
+    return frames.join(taken, same, "left").select(*frames.columns, *rest)
+
+
 def true_segments(frames: DataFrame, by: list[str], time: str, flag: str) -> DataFrame:
     """(by, onset, duration) of runs of true frames; a run ends at the first false frame after it, or at the last frame; runs without length go."""
     rows = scans.neighbour(frames, by, time, flag, "_was", size=scans.SECONDS).where(F.col(flag) != F.coalesce("_was", F.lit(False)))

@@ -38,11 +38,11 @@ def biquad(kind: str, fs: float, f0: float, q: float) -> np.ndarray:
     return np.array([*b, -2 * c, 1 - alpha]) / (1 + alpha)
 
 
-def sections(x: np.ndarray, stages: list[np.ndarray]) -> np.ndarray:
-    """Rows of x through second-order sections in turn, single precision between them."""
+def sections(x: np.ndarray, stages: list[np.ndarray], delays: np.ndarray | None = None) -> np.ndarray:
+    """Rows of x through second-order sections in turn, single precision between them. delays (stage, 2, row) are the sections' memory, changed in place; from rest without."""
     out = np.atleast_2d(np.asarray(x, np.float32))
-    for b0, b1, b2, a1, a2 in stages:
-        s1, s2 = np.zeros(len(out)), np.zeros(len(out))
+    for i, (b0, b1, b2, a1, a2) in enumerate(stages):
+        s1, s2 = delays[i].copy() if delays is not None else np.zeros((2, len(out)))
         y = np.empty_like(out)
         for t in range(out.shape[1]):
             v = out[:, t].astype(float)
@@ -50,6 +50,8 @@ def sections(x: np.ndarray, stages: list[np.ndarray]) -> np.ndarray:
             s1, s2 = b1 * v - a1 * r + s2, b2 * v - a2 * r
             y[:, t] = r
         out = y
+        if delays is not None:
+            delays[i] = s1, s2
     return out.reshape(np.shape(x))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming, scalar
+from . import recordings
 
 
 def merge_segments(rows: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
@@ -53,6 +54,29 @@ def reference(values: DataFrame, by: list[str], least: int = 2) -> DataFrame:
     return values.where(scalar.finite(F.col("v"))).groupBy(*by).agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("std") > 0))
 
 
+def reservoir(rows: DataFrame, by: list[str], key: list[str], most: int, seed: int = 1337) -> DataFrame:
+    """At most `most` rows of each group, a uniform sample that a seed and the rows' keys fix: those of the least MD5 of seed and key.
+
+    Of a long group only rows below a bound of the hash are ranked, `most` and eight deviations of them to be expected;
+    that fewer lie below has a chance of less than 1e-14, and then the sample is smaller. Null keys count as empty.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key))
+    hashed = rows.withColumn("_hash", F.md5(text))
+    share = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(by)), ((most + 8 * most**0.5 + 20) / F.col("_n")).alias("_bound"))
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]
+    near = hashed.join(sizes, same).where(share < F.col("_bound"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", *key))
+    return near.withColumn("_place", place).where(F.col("_place") <= most).select(*rows.columns)
+
+
+def robust_reference(values: DataFrame, by: list[str], key: list[str], most: int = 20_000, seed: int = 1337, least: int = 2) -> DataFrame:
+    """(by, mean, std, n) as `reference`, with the median and the robust scale of at most `most` sampled values of each group."""
+    sample = reservoir(values.where(scalar.finite(F.col("v"))), by, key, most, seed)
+    out = recordings.robust(sample, by, small=True).join(sample.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    return out.where((F.col("n") >= least) & (F.col("scale") > 0)).select(*by, F.col("median").alias("mean"), F.col("scale").alias("std"), "n")
+
+
 def z_scores(values: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     """values with z against a reference table; null without a row there."""
     return values.join(reference.select(*on, "mean", "std"), on, "left").withColumn("z", (F.col("v") - F.col("mean")) / F.col("std")).drop("mean", "std")

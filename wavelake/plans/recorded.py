@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, specs
-from ..operators import backgrounds, recordings, signals, spectra
+from ..operators import backgrounds, events, recordings, signals, spectra, tables
 from ..sources import records, shared
-from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read
+from ..streaming import online
+from .more import BANDS, FRAMES
+from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read, signal
 
 BY = ("recording",)
 
@@ -106,7 +108,28 @@ def spectral_table(spark, sf_dir):
     return backgrounds.table(spectra.welch(subjects(spark, sf_dir), FS, SEG, HOP, BY), o, BY)
 
 
-RECORDED = {f.__name__: f for f in (background_line, background_two_slope, spectral_table, subject_power, subject_coherence, subject_reference, subject_artifacts, subject_quality, subject_spectrogram, recording_files, recording_spans, recording_marks, recording_signals)}
+def reservoir_sample(spark, sf_dir):
+    """At most 40 events of each user and type, fixed by a seed."""
+    rows = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return tables.reservoir(rows, ["event_type"], ["event_id"], 40, 7)
+
+
+def robust_reference(spark, sf_dir):
+    """Median and scale of the frames' band powers of each channel."""
+    f = online.band_frames(online.frames(signal(spark, sf_dir), SEG, HOP), FS, SEG, BANDS)
+    rows = f.select("channel", "band", "end_n", F.log10("power").alias("v"))
+    return r6(tables.robust_reference(rows, ["channel", "band"], ["end_n"]), "mean", "std")
+
+
+def gates_once(spark, sf_dir):
+    """Frames of every 32 samples take gates of every 48, a third of a sample late, each once."""
+    rec = signal(spark, sf_dir)
+    frames = rec.where("n % 32 = 0").select("channel", "n", (F.col("n") / FS).alias("t"))
+    gates = rec.where("n % 48 = 0").select("channel", ((F.col("n") + 1 / 3) / FS).alias("t"), (F.col("v") > 20).alias("artifact"))
+    return events.as_of_once(frames, gates, ["channel"], 0.5 / FS).select("channel", "n", "artifact")
+
+
+RECORDED = {f.__name__: f for f in (reservoir_sample, robust_reference, gates_once, background_line, background_two_slope, spectral_table, subject_power, subject_coherence, subject_reference, subject_artifacts, subject_quality, subject_spectrogram, recording_files, recording_spans, recording_marks, recording_signals)}
 
 SUBJECTS = "sig AS (SELECT 's' || (user_id % 3) || '/' || event_type AS channel, row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY ts, event_id) - 1 AS n, value AS v FROM events)"
 APART = "split_part(channel, '/', 1) AS recording, split_part(channel, '/', 2) AS channel"
@@ -124,6 +147,9 @@ xy AS (SELECT channel, f, log10(f) AS x, log10(p) AS y, row_number() OVER (PARTI
 ln AS (SELECT channel, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2 FROM xy GROUP BY channel),
 er AS (SELECT channel, any_value(n) AS n, avg(pow(y - a - b * x, 2)) AS mse FROM xy JOIN ln USING (channel) GROUP BY channel)"""
 RECORDED_SQL = {
+    "reservoir_sample": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) <= 40",
+    "robust_reference": f"WITH {FRAMES}, l AS (SELECT channel, band, log10(power) AS v FROM fb), m AS (SELECT *, median(v) OVER (PARTITION BY channel, band) AS md FROM l) SELECT channel, band, round(any_value(md), 6) AS mean, round(1.4826 * median(abs(v - md)), 6) AS std, count(*) AS n FROM m GROUP BY channel, band",
+    "gates_once": f"WITH {SIGNAL} SELECT channel, n, CASE WHEN n % 48 = 0 THEN v > 20 END AS artifact FROM sig WHERE n % 32 = 0",
     "background_line": f"""WITH {POINTS},
 rs AS (SELECT channel, f, p, greatest(p - pow(10, a + b * log10(f)), 0) AS r, 10 * (log10(p) - a - b * log10(f)) AS d FROM pt JOIN ln USING (channel)),
 nx AS (SELECT *, lead(f) OVER w AS f1, lead(p) OVER w AS p1, lead(r) OVER w AS r1 FROM rs WINDOW w AS (PARTITION BY channel ORDER BY f)),

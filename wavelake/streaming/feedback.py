@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -33,6 +34,10 @@ class Settings:
     off_count: int = 1
     span: float = 1.0
     above: bool = True
+    adapt: str = "exp"  # or quantile
+    update_sec: float = 0.0
+    quantile_sec: float = 30.0
+    quantile_least: int = 20
 
 
 @dataclass
@@ -48,6 +53,9 @@ class State:
     streak: int = 0
     rewards: list = field(default_factory=list)
     base: list = field(default_factory=list)
+    recent: list = field(default_factory=list)  # (t, metric) by time
+    ordered: list = field(default_factory=list)  # the same metrics by size
+    updated: float | None = None
 
 
 def quantile(values: list[float], q: float) -> float:
@@ -57,6 +65,43 @@ def quantile(values: list[float], q: float) -> float:
     return v[i] + (at - i) * (v[min(i + 1, len(v) - 1)] - v[i])
 
 
+def observed(s: State, t: float, metric: float, o: Settings) -> None:
+    """Adds a metric to the sliding window of the quantile mode."""
+    s.recent.append([t, metric])
+    insort(s.ordered, metric)
+    expired(s, t, o)
+
+
+def expired(s: State, t: float, o: Settings) -> None:
+    """Drops what is as old as the window or older (0: nothing expires)."""
+    n = 0
+    while o.quantile_sec > 0 and n < len(s.recent) and t - s.recent[n][0] >= o.quantile_sec:
+        del s.ordered[bisect_left(s.ordered, s.recent[n][1])]
+        n += 1
+    del s.recent[:n]
+
+
+def adapted(s: State, used: float, rate: float, t: float, o: Settings) -> float:
+    """The next threshold: moved by the error of the reward rate, or blended towards the quantile of recent metrics that would give the wanted rate."""
+    if not o.eta > 0 or not math.isfinite(used):
+        return used
+    if o.update_sec > 0 and s.updated is not None and 0 <= t - s.updated < o.update_sec:
+        return used
+    if o.adapt == "exp":
+        out = used * math.exp((1 if o.above else -1) * o.eta * (rate - o.target))
+        s.updated = t if out != used else s.updated
+        return out
+    expired(s, t, o)
+    if len(s.ordered) < max(1, o.quantile_least):
+        return used
+    q = min(1.0, max(0.0, 1 - o.target if o.above else o.target))
+    at = q * (len(s.ordered) - 1)
+    i = int(at)
+    wanted = s.ordered[i] + (at - i) * (s.ordered[min(i + 1, len(s.ordered) - 1)] - s.ordered[i])
+    s.updated = t
+    return used + min(1.0, o.eta) * (wanted - used)
+
+
 def step(s: State, t: float, metric: float | None, artifact: bool, o: Settings) -> tuple | None:
     """(metric, threshold, reward, rate, feedback) of a frame, or none while the baseline lasts. Frames not after the last are dropped."""
     if s.t is not None and t <= s.t:
@@ -96,7 +141,9 @@ def step(s: State, t: float, metric: float | None, artifact: bool, o: Settings)
     if fine and not artifact:
         gap = s.smooth - used if o.above else used - s.smooth
         value = min(1.0, max(0.0, gap / (o.span if o.span > 0 else 1.0)))
-        s.threshold = used * math.exp((1 if o.above else -1) * o.eta * (rate - o.target))
+        if o.adapt == "quantile":
+            observed(s, t, s.smooth, o)
+        s.threshold = adapted(s, used, rate, t, o)
     return s.smooth, used, int(reward), rate, value
 
 

@@ -2,7 +2,7 @@
 
 A frame holds the last `window` seconds at its end. In a table, frames meet their samples by equality; in a stream, a
 state for each channel keeps the last samples and gives the same frames. Measures are functions of frames, so they are
-the same on both.
+the same on both; measures of pairs take rows with all channels of a frame (`matrices` of a table, `live.frames` of a stream).
 """
 
 from __future__ import annotations
@@ -96,6 +96,29 @@ def measured2(f, schema: str):
     return F.pandas_udf(run, schema)
 
 
+def matrices(frames: DataFrame) -> DataFrame:
+    """(end_n, channels, xs) of a table's frames, channels in order; a stream has them from `live.frames`."""
+    packed = frames.groupBy("end_n").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("m"))  # a frame's channels
+    return packed.select("end_n", F.col("m.channel").alias("channels"), F.col("m.x").alias("xs"))
+
+
+def measured_pairs(rows: DataFrame, prepare, measure, names: list[str]) -> DataFrame:
+    """(channel_a, channel_b, keys, names): a measure of all pairs of channels of (keys, channels, xs), each channel prepared once. Row by row, so for tables and streams alike."""
+    keys = [c for c in rows.columns if c not in ("channels", "xs")]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(["channel_a string", "channel_b string", *(f"`{c}` {kinds[c]}" for c in keys), *(f"{n} double" for n in names)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, channels, xs in zip(batch[keys].itertuples(index=False), batch["channels"], batch["xs"], strict=True):
+                ready = [(c, prepare(np.asarray(v, float))) for c, v in sorted(zip(channels, xs, strict=True), key=lambda p: p[0])]
+                out += [(a, b, *key, *measure(p, q)) for i, (a, p) in enumerate(ready) for b, q in ready[i + 1 :]]
+            yield pd.DataFrame(out, columns=["channel_a", "channel_b", *keys, *names])
+
+    return rows.mapInPandas(run, schema)
+
+
 def paired(frames: DataFrame) -> DataFrame:
     a = frames.select("end_n", F.col("channel").alias("channel_a"), F.col("x").alias("x"))
     b = frames.select("end_n", F.col("channel").alias("channel_b"), F.col("x").alias("y"))
@@ -103,13 +126,15 @@ def paired(frames: DataFrame) -> DataFrame:
 
 
 def coherence_frames(frames: DataFrame, fs: float, nperseg: int, low: float, high: float) -> DataFrame:
-    """(channel_a, channel_b, end_n, msc, imcoh): a pair's mean coherence in a band of the frame's spectra."""
+    """(channel_a, channel_b, end_n, msc, imcoh): a pair's mean coherence in a band of the frame's spectra; frames by channel (of a table) or with all channels in a row (also of a stream)."""
 
     def mean(x: np.ndarray, y: np.ndarray) -> tuple:
         f, msc, im = kernels.coherence(x, y, fs, nperseg)
         width = kernels.covered(f, low, high)
         return tuple(kernels.area(f, v, low, high) / width if width > 0 else 0.0 for v in (msc, im))
 
+    if "xs" in frames.columns:
+        return measured_pairs(frames, lambda x: x, mean, ["msc", "imcoh"])
     return paired(frames).select("channel_a", "channel_b", "end_n", measured2(mean, "msc double, imcoh double")("x", "y").alias("r")).select("channel_a", "channel_b", "end_n", "r.*")
 
 
@@ -119,6 +144,8 @@ def phase_frames(frames: DataFrame, fs: float, low: float, high: float, trim: fl
     def one(x: np.ndarray) -> np.ndarray:
         return kernels.analytic(kernels.bandpass(x, fs, low, high))[kernels.trimmed(len(x), trim)]
 
+    if "xs" in frames.columns:
+        return measured_pairs(frames, one, lambda a, b: kernels.phase_measures(a, b).values(), ["plv", "pli", "wpli", "wpli2"])
     schema = "plv double, pli double, wpli double, wpli2 double"
     return paired(frames).select("channel_a", "channel_b", "end_n", measured2(lambda x, y: tuple(kernels.phase_measures(one(x), one(y)).values()), schema)("x", "y").alias("r")).select("channel_a", "channel_b", "end_n", "r.*")
 
