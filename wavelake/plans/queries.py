@@ -152,10 +152,10 @@ def zscore_join(spark, sf_dir):
 
 
 def electrode_values(spark, sf_dir):
-    """A value per channel of the 10-20 montage: the means of the first 19 embedding positions."""
+    """A value per channel of the 10-20 montage: the means of the embedding positions, dealt to its 19 channels in turn."""
     names = [line.split()[0] for line in naming.MONTAGE_1020.split("\n") if line]
     named = spark.createDataFrame(list(enumerate(names)), "channel_no int, name string")
-    means = matrix(spark, sf_dir).where("channel < 19").groupBy("channel").agg(F.avg("v").alias("v"))
+    means = matrix(spark, sf_dir).groupBy((F.col("channel") % 19).alias("channel")).agg(F.avg("v").alias("v"))
     return means.join(F.broadcast(named), F.col("channel") == F.col("channel_no")).select(F.col("name").alias("channel"), naming.normalize(F.col("name")).alias("key"), "v")
 
 
@@ -296,7 +296,7 @@ mg AS (SELECT channel, min(s) AS s, max(e) AS e FROM (SELECT *, sum(nw) OVER (PA
 NAMES = ", ".join(f"({i}, '{line.split()[0]}', {line.split()[1]}, {line.split()[2]})" for i, line in enumerate(x for x in naming.MONTAGE_1020.split("\n") if x))
 ELECTRODES = MATRIX + f""",
 nm(no, name, x, y) AS (VALUES {NAMES}),
-el AS (SELECT name, x::DOUBLE AS x, y::DOUBLE AS y, avg(v) AS v FROM m JOIN nm ON no = channel GROUP BY ALL)"""
+el AS (SELECT name, x::DOUBLE AS x, y::DOUBLE AS y, avg(v) AS v FROM m JOIN nm ON no = channel % 19 GROUP BY ALL)"""
 EDGES = """e0 AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(l_quantity) AS w, c_nationkey * 100 + s_nationkey AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 ed AS (SELECT least(a, b) AS a, greatest(a, b) AS b, arg_min(w, ord) AS w FROM e0 WHERE a <> b GROUP BY 1, 2)"""
