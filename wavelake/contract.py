@@ -10,12 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.channels import CHANNELS, CHANNELS_SQL
 from .plans.more import MORE, MORE_SQL
 from .plans.queries import ORACLES as FIRST_SQL
 from .plans.queries import QUERIES as FIRST
 from .plans.recorded import RECORDED, RECORDED_SQL
 
-QUERIES, ORACLES = FIRST | MORE | RECORDED, FIRST_SQL | MORE_SQL | RECORDED_SQL
+QUERIES, ORACLES = FIRST | MORE | RECORDED | CHANNELS, FIRST_SQL | MORE_SQL | RECORDED_SQL | CHANNELS_SQL
 
 __all__ = ["ORACLES", "QUERIES", "flagship", "ship", "shipped"]
 

@@ -184,8 +184,12 @@ def analytic(rec: DataFrame, fs: float, low: float, high: float, by: list[str],
 
 
 def phase_pairs(rec: DataFrame, fs: float, low: float, high: float, by: list[str], trim: float = 0.1) -> DataFrame:
-    """(by, channel_a, channel_b, plv, pli, wpli, wpli2): channels are filtered once, pairs meet by sample, sums are combined before the shuffle."""
-    z = analytic(rec, fs, low, high, by, trim)
+    """(by, channel_a, channel_b, plv, pli, wpli, wpli2) of band-passed analytic signals: channels are filtered once."""
+    return locked(analytic(rec, fs, low, high, by, trim), by)
+
+
+def locked(z: DataFrame, by: list[str]) -> DataFrame:
+    """(by, channel_a, channel_b, plv, pli, wpli, wpli2) of complex samples (by, channel, n, re, im): pairs meet by sample, sums are combined before the shuffle."""
     a = z.select(*by, "n", F.col("channel").alias("channel_a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
     b = z.select(*by, "n", F.col("channel").alias("channel_b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
     x = a.join(b, [*by, "n"]).where("channel_a < channel_b")

@@ -55,7 +55,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
     """(channel, band, mean, std, n) with lower-case keys; rows with a deviation of 0 or less go, the last of a key stays."""
     sep = delimiter(first_lines(spark, path))
-    df = spark.read.option("header", True).option("sep", sep).option("comment", "#").csv(path).withColumn("ord", F.monotonically_increasing_id())
+    df = spark.read.option("header", True).option("sep", sep).option("comment", "#").csv(path)
+    # files in order of their names, and rows as they stand in a file
+    df = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("ord"))
     n = number(F.col("n")) if "n" in df.columns else F.lit(None).cast("double")
     rows = df.select(F.lower("channel").alias("channel"), F.lower("band").alias("band"), number(F.col("mean")).alias("mean"), number(F.col("std")).alias("std"), n.alias("n"), "ord").where("std > 0")
     return rows.groupBy("channel", "band").agg(F.max_by(F.struct("mean", "std", "n"), "ord").alias("r")).select("channel", "band", "r.*")
