@@ -16,10 +16,12 @@ from ..operators import events, recordings
 from . import tabular
 
 # Names of time and sample axes, of marker and of segment columns, as lower-case letters and digits.
-TIMES = {"time", "t", "timestamp", "times", "timesec", "timeseconds", "seconds", "sec", "timems", "ms", "msec", "milliseconds", "timestampms"}
-SAMPLES = {"sample", "samples", "sampleindex", "index", "sampleno", "samplenumber", "n"}
-MARKERS = {"marker", "markers", "event", "events", "trigger", "triggers", "stim", "stimulus", "annotation", "annotations"}
-SEGMENTS = {"segment", "segments", "block", "phase", "condition", "epoch", "stage"}
+TIMES = {"time", "t", "timestamp", "times", "timesec", "timeseconds", "seconds", "sec", "timems", "ms", "msec", "milliseconds", "timestampms", "zeit"}
+SAMPLES = {"sample", "samples", "sampleindex", "index", "sampleno", "samplenumber", "n", "beispiele"}
+MARKERS = re.compile(r"(markers?|mark|mrk|events?|triggers?|trig|stim|stimulus|stimulation|annotations?)|(marker|event|trigger|trig|stim|annotation)([0-9]+|code)")
+SEGMENTS = re.compile(r"segments?|segment([0-9]+|code)")
+# What keys of lines before the header tell a rate.
+RATES = re.compile(r"(samplerate|samplingrate|samplingfrequency|samplingfreq|abtastrate|abtastfrequenz).*|fs|fshz")
 # Microvolts in a unit.
 UNITS = {"v": 1e6, "mv": 1e3, "uv": 1.0, "µv": 1.0, "μv": 1.0, "nv": 1e-3}
 UNIT = re.compile(r"^(.*?)\s*[(\[]\s*([a-zA-Zµμ]+)\s*[)\]]\s*$")
@@ -36,6 +38,8 @@ class Layout:
     milliseconds: bool = False
     markers: list[int] = field(default_factory=list)
     segments: list[int] = field(default_factory=list)
+    headed: bool = True
+    rate: float | None = None  # told before the header
 
     @property
     def channels(self) -> list[int]:
@@ -87,16 +91,85 @@ def numeric(cell: str) -> bool:
 
 
 def layout(text: list[str], encoding: str) -> Layout:
-    """The header is the first line of two or more cells, not all numbers, whose next line of data has about as many, mostly numbers."""
+    """The header is the first line of two or more cells, with a letter in the first two, whose next line of data has about as many, mostly numbers. Without one the first column is the axis."""
     text = [x.lstrip("﻿﻿").rstrip("\r") for x in text]
     body = [x for x in text if x.strip() and not x.lstrip().startswith("#")]
     for at, line in enumerate(body[:-1]):
+        if rate_of([line]) is not None:
+            continue
         for sep in sorted("\t;,", key=lambda s: -line.count(s)):
             head, data = cells(line, sep), cells(body[at + 1], sep)
             known = sum(c != "" and numeric(c) for c in data)
-            if len(head) >= 2 and not all(numeric(c) for c in head if c) and abs(len(head) - len(data)) <= 1 and known * 2 >= len(data) - 1 and known:
-                return columns(head, sep, encoding)
-    raise ValueError("no header was found")
+            if len(head) >= 2 and any(c.isalpha() for x in head[:2] for c in x) and abs(len(head) - len(data)) <= 1 and known * 2 >= len(data) - 1 and known:
+                out = columns(head, sep, encoding)
+                out.rate = rate_of(body[:at])
+                return out
+    return headless(body, encoding)
+
+
+def rate_of(lines: list[str]) -> float | None:
+    """A sampling rate that a line of a key and a value tells."""
+    for line in lines:
+        m = re.match(r'\s*"?([^;,\t:=]+?)"?\s*[;,\t:=]\s*"?([^"]*)', line)
+        key_of, value = (m[1], m[2]) if m else (line, line)
+        number = re.search(r"[0-9]+(?:[.,][0-9]+)?", value)
+        if number and RATES.fullmatch(re.sub("[^a-z]", "", key_of.lower())):
+            rate = float(number[0].replace(",", ".")) * (1000 if "khz" in value.lower() else 1)
+            if 0 < rate <= 100_000:
+                return rate
+    return None
+
+
+def headless(body: list[str], encoding: str) -> Layout:
+    """Of lines without a header: the delimiter under which second cells are numbers most often; an axis that counts from 0 or 1 by ones is of samples."""
+    rows = [x for x in body if not (x.strip().startswith("<") and x.strip().endswith(">"))]
+    best: tuple = (0,)
+    for sep in ",;\t":
+        split = [c for c in (cells(x, sep) for x in rows) if len(c) >= 2 and numeric(c[0])]
+        good, bad = sum(numeric(c[1]) for c in split), sum(c[1] != "" and not numeric(c[1]) for c in split)
+        score = 1000 * good - 2000 * bad + 10 * max(map(len, split), default=0)
+        if score > best[0]:
+            best = (score, sep, split)
+    if len(best) < 2:
+        raise ValueError("no header was found, and no axis")
+    _, sep, split = best
+    width = max(map(len, split))
+    out = Layout(encoding, sep, [f"c{i}" for i in range(width)], [1.0] * width, headed=False)
+    axis = [c[0].replace(",", ".") for c in split]
+    counts = len(axis) >= 2 and all(re.fullmatch(r"[0-9]+", x) for x in axis) and int(axis[0]) in (0, 1) and all(int(b) - int(a) == 1 for a, b in zip(axis, axis[1:]))
+    out.time, out.sample = (None, 0) if counts else (0, None)
+    out.rate = rate_of(rows[: rows.index(next(x for x in rows if len(cells(x, sep)) >= 2 and numeric(cells(x, sep)[0])))])
+    return out
+
+
+def by_content(plan: Layout, raw: DataFrame) -> Layout:
+    """Which columns hold labels, by one pass over all rows: those of texts (a fifth of their cells or more), and without a header also those that are mostly 0 with at most 32 whole codes. A label that stays for two rows makes a segment of it."""
+    asked = plan.channels
+    if not asked:
+        return plan
+    w = Window.partitionBy("block").orderBy("ord")
+    sums = []
+    for i in asked:
+        cell = F.nullif(F.trim(F.col(f"c{i}")), F.lit(""))
+        cell = F.when(F.lower(cell).isin("nan", "n/a", "na"), None).otherwise(cell)
+        v = tabular.number(cell)
+        label = F.when(v.isNull() | (v != 0), cell)
+        code = F.when(F.abs(v) > 1e-12, v)
+        sums += [
+            F.count(cell).alias(f"n{i}"), F.count(v).alias(f"v{i}"), F.count(code).alias(f"z{i}"), F.count_if(F.abs(code - F.round(code)) > 1e-6).alias(f"r{i}"),
+            F.approx_count_distinct(F.round(code), 0.01).alias(f"d{i}"), F.bool_or(F.col(f"_l{i}") == F.col(f"_p{i}")).alias(f"s{i}"),
+        ]
+        raw = raw.withColumn(f"_l{i}", label).withColumn(f"_p{i}", F.lag(f"_l{i}").over(w))
+    r = raw.agg(*sums).first()
+    for i in asked:
+        n, v = r[f"n{i}"], r[f"v{i}"]
+        text = n > 0 and (n - v) / n >= 0.2
+        sparse = not plan.headed and v > 0 and 0 < r[f"z{i}"] <= 0.1 * v and not r[f"r{i}"] and r[f"d{i}"] <= 32
+        if text or sparse or (n == 0 and not plan.headed):
+            (plan.segments if r[f"s{i}"] else plan.markers).append(i)
+    if not plan.headed:
+        plan.names = [f"Ch{plan.channels.index(i) + 1}" if i in plan.channels else x for i, x in enumerate(plan.names)]
+    return plan
 
 
 def columns(head: list[str], sep: str, encoding: str) -> Layout:
@@ -112,9 +185,9 @@ def columns(head: list[str], sep: str, encoding: str) -> Layout:
             out.time, out.milliseconds = i, k.endswith(("ms", "msec", "milliseconds")) or unit in ("ms", "msec")
         elif out.sample is None and k in SAMPLES:
             out.sample = i
-        elif k in MARKERS:
+        elif MARKERS.fullmatch(k):
             out.markers.append(i)
-        elif k in SEGMENTS:
+        elif SEGMENTS.fullmatch(k):
             out.segments.append(i)
         name = name or f"ch{i + 1}"
         seen[name] = seen.get(name, 0) + 1
@@ -144,6 +217,8 @@ def read(spark: SparkSession, path: str, fs: float | None = None) -> Recording:
     clock = tabular.clock(F.col(f"c{plan.time}")) if plan.time is not None else None
     # the header and lines before it have no number where each row has one
     must = clock.isNotNull() if clock is not None else cell(plan.sample).isNotNull() if plan.sample is not None else F.coalesce(*(cell(i) for i in plan.channels)).isNotNull()
+    plan = by_content(plan, raw.where(must))
+    told, fs = fs is not None, fs if fs is not None else None if plan.time is not None else plan.rate
     rows = recordings.numbered_within(raw.where(must).withColumn("clock", clock if clock is not None else F.lit(None).cast("double")), "block", "ord", "recording")
     scale = 1e-3 if plan.milliseconds else 1.0
     if plan.time is not None:
@@ -153,21 +228,24 @@ def read(spark: SparkSession, path: str, fs: float | None = None) -> Recording:
             scale = 1e-3
         if fs is None:
             if middle is None or (middle == 1 and not plan.milliseconds):
-                raise ValueError("the time axis tells no rate; give one")
-            fs = 1 / (middle * scale)
+                if plan.rate is None:
+                    raise ValueError("the time axis tells no rate; give one")
+                fs, told = plan.rate, True
+            else:
+                fs = 1 / (middle * scale)
     elif fs is None:
         raise ValueError("without a time axis a rate must be given")
-    t = F.col("clock") * scale if plan.time is not None else F.col("n") / fs
+    t = F.col("clock") * scale if plan.time is not None and not told else F.col("n") / fs
     wide = rows.select("recording", "block", "n", t.alias("t"), *(F.col(f"c{i}") for i in range(width)))
-    long = wide.select("recording", "block", "n", "t", *(F.col(f"c{i}").alias(plan.names[i]) for i in plan.channels)).unpivot(["recording", "block", "n", "t"], [plan.names[i] for i in plan.channels], "channel", "raw")
-    scales = F.create_map(*(F.lit(x) for i in plan.channels for x in (plan.names[i], plan.scales[i])))
+    long = wide.unpivot(["recording", "block", "n", "t"], [f"c{i}" for i in plan.channels], "channel", "raw")
+    scales, names = (F.create_map(*(F.lit(x) for i in plan.channels for x in (f"c{i}", of[i]))) for of in (plan.scales, plan.names))
     samples = recordings.filled(long.select("recording", "block", "channel", "n", "t", (tabular.number(F.col("raw")) * F.element_at(scales, F.col("channel"))).alias("v")), ["recording", "channel"], "block", "n", "v")
     found = [events.marker_events(wide.select("recording", "t", F.col(f"c{i}").alias("label")), ["recording"], "t", "label").withColumn("text", F.concat(F.lit(f"{plan.names[i]}:" if len(plan.markers) > 1 else ""), "text")) for i in plan.markers]
     found += [events.segment_events(wide.select("recording", "t", F.col(f"c{i}").alias("label")), ["recording"], "t", "label", 1 / fs) for i in plan.segments]
     table = spark.createDataFrame([], "recording string, onset double, duration double, text string")
     for f in found:
         table = table.unionByName(f)
-    return Recording(samples.select("recording", "channel", "n", "t", "v"), table, fs)
+    return Recording(samples.select("recording", F.element_at(names, F.col("channel")).alias("channel"), "n", "t", "v"), table, fs)
 
 
 # Which reader a file's extension calls for.
