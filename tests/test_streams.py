@@ -200,3 +200,24 @@ def test_reservoirs(spark):
     got = {r["g"]: r for r in ref.collect()}
     want = np.array([r["v"] for r in rows.where("g = 0").collect()])
     assert abs(got[0]["mean"] - np.median(want)) < 1e-12 and abs(got[0]["std"] - 1.4826 * np.median(np.abs(want - np.median(want)))) < 1e-9 and got[0]["n"] == 1250
+
+
+def test_coupling_summary_and_counters(spark):
+    from wavelake.operators import kernels
+
+    rng = np.random.default_rng(4)
+    n = np.arange(1200)
+    x = np.sin(2 * np.pi * 6 * n / 128) + (1 + np.sin(2 * np.pi * 6 * n / 128)) * np.sin(2 * np.pi * 30 * n / 128) + 0.1 * rng.normal(size=1200)
+    rec = spark.createDataFrame([("a", int(k), float(v)) for k, v in enumerate(x)], "channel string, n long, v double")
+    f = online.frames(rec, 384, 128)
+    got = online.coupling_summary(f, 128.0, (4.0, 8.0), (20.0, 40.0)).first()
+    each = [kernels.pac(np.array(r["x"]), 128.0, (4.0, 8.0), (20.0, 40.0)) for r in f.collect()]
+    assert got["n_frames"] == len(each) and abs(got["median"] - np.median([e["mi"] for e in each])) < 1e-9 and np.allclose(got["distribution"], np.mean([e["bins"] for e in each], 0)) and abs(sum(got["distribution"]) - 1) < 1e-9
+    frames = spark.createDataFrame([("s", float(t), 1.0 + (t % 4), t == 30) for t in range(1, 41)], "session string, t double, metric double, artifact boolean")
+    o = feedback.Settings(eta=0.0)
+    row = feedback.counters(frames, feedback.replay(frames, o), o).first()
+    assert (row["baseline"], row["training"], row["artifact"], row["valid"]) == (10, 30, 1, 29) and row["threshold_init"] == row["threshold_final"] and 0 < row["reward_rate"] < 1
+    bad = spark.createDataFrame([("c", 10, 20), ("c", 24, 30), ("c", 95, 99)], "channel string, start long, end long")
+    total = spark.createDataFrame([("c", 100), ("d", 50)], "channel string, total long")
+    got = sorted(tuple(r) for r in tables.clean_segments(bad, ["channel"], total, 3, 6).select("channel", "start", "end").collect())
+    assert got == [("c", 0, 7), ("c", 33, 92), ("d", 0, 50)]

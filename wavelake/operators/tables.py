@@ -17,11 +17,17 @@ def merge_segments(rows: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
     return rows.where("end > start").withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w)).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def complement(merged: DataFrame, by: list[str], total: DataFrame) -> DataFrame:
-    """What merged, disjoint ranges leave of [0, total); total has a row of by and `total`."""
+def complement(merged: DataFrame, by: list[str], total: DataFrame, least: int = 1) -> DataFrame:
+    """What merged, disjoint ranges leave of [0, total), of at least `least`; total has a row of by and `total`."""
     edges = merged.select(*by, "start", "end").unionByName(total.select(*by, F.col("total").alias("start"), F.col("total").alias("end")))
     before = F.coalesce(F.lag("end").over(Window.partitionBy(*by).orderBy("start", "end")), F.lit(0))
-    return edges.select(*by, before.alias("from"), F.col("start").alias("end")).withColumnRenamed("from", "start").where("end > start")
+    return edges.select(*by, before.alias("from"), F.col("start").alias("end")).withColumnRenamed("from", "start").where(F.col("end") - F.col("start") >= max(least, 1))
+
+
+def clean_segments(bad: DataFrame, by: list[str], total: DataFrame, pad: int = 0, least: int = 1, gap: int = 0) -> DataFrame:
+    """(by, start, end) of what bad ranges leave, each widened by `pad` to both sides within the recording and joined over gaps of at most `gap`; pieces shorter than `least` go."""
+    wide = bad.join(total, by).select(*by, F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), F.least(F.col("end") + pad, "total").alias("end"))
+    return complement(merge_segments(wide, by, gap), by, total, least)
 
 
 def deduplicate_events(events: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import microstates, recordings, signals, spectra, tables
 from ..sources import shared, tabular, writers
 from ..streaming import feedback, online
-from .queries import FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read, signal
+from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read, signal
 from .recorded import subjects
 
 #: Three maps over the five event types, in order of their names.
@@ -76,6 +76,25 @@ def coupling_frames(spark, sf_dir):
     return r6(online.pac_frames(online.frames(signal(spark, sf_dir), 256, 64), FS, (4.0, 8.0), (20.0, 40.0)), "mi", "mvl")
 
 
+def coupling_summary(spark, sf_dir):
+    rows = online.coupling_summary(online.frames(signal(spark, sf_dir), 256, 64), FS, (4.0, 8.0), (20.0, 40.0))
+    return r6(rows, "mean", "median", "min", "max").withColumn("distribution", F.transform("distribution", lambda x: F.round(x, 6)))
+
+
+def loop_counters(spark, sf_dir):
+    frames = signal(spark, sf_dir).select(F.col("channel").alias("session"), (F.col("n") / 4).alias("t"), F.col("v").alias("metric"), (F.col("v") > 60).alias("artifact"))
+    o = feedback.Settings(eta=0.0)  # a threshold that stays: that of the baseline
+    return r6(feedback.counters(frames, feedback.replay(frames, o), o), "threshold_init", "threshold_final", "reward_rate")
+
+
+def clean_padded(spark, sf_dir):
+    """What the bad windows leave, 10 samples off them, in pieces of at least 40."""
+    flags = recordings.artifacts(recordings.windows(signal(spark, sf_dir), 50, 25), 10, 2.0).where("bad")
+    bad = flags.select("channel", (F.col("w") * 25).alias("start"), (F.col("w") * 25 + 50).alias("end"))
+    total = signal(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("total"))
+    return tables.clean_segments(bad, ["channel"], total, 10, 40).withColumnsRenamed({"start": "start_n", "end": "end_n"})
+
+
 def mapped_channels(spark, sf_dir):
     """Samples under the names of a map: two renamed, one dropped, others kept."""
     mapping = spark.createDataFrame([("click", "Fz"), ("view", "Cz"), ("error", None)], "key string, target string")
@@ -108,7 +127,7 @@ def reference_file(spark, sf_dir):
     return r6(tabular.read_reference(spark, path).withColumn("n", F.col("n").cast("long")), "mean", "std")
 
 
-CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
+CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, coupling_summary, loop_counters, clean_padded, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
 
 SECTIONS = ", ".join(f"({i}, {', '.join(f'{float(x)!r}::DOUBLE' for x in s)})" for i, s in enumerate(signals.stages(FS, low=1.0, high=12.0)))
 UNIT = MAPS - MAPS.mean(1, keepdims=True)
@@ -135,6 +154,15 @@ SELECT channel, round(CASE WHEN found THEN t.f + 0.5 * (t.y0 - t.y2) / (t.y0 - 2
 f AS (SELECT channel, n, v - avg(v) OVER (PARTITION BY n) AS v FROM sig), d AS (SELECT n, j, abs(sum(v * w)) AS dot, sum(v * v) AS sq, count(*) AS c FROM f JOIN nm USING (channel) JOIN w USING (c) GROUP BY n, j),
 b AS (SELECT n, any_value(sq) AS sq, any_value(c) AS c, arg_max(j, dot) AS j, max(dot) AS dot FROM d GROUP BY n)
 SELECT n, CASE WHEN sq <= 1e-24 THEN -1 ELSE j END AS label, round(CASE WHEN sq <= 1e-24 THEN 0 ELSE dot / sqrt(sq) END, 6) AS corr, round(sqrt(sq / c), 6) AS gfp FROM b""",
+    "clean_padded": f"""WITH {FLAGS}, tt AS (SELECT channel, count(*) AS total FROM sig GROUP BY channel),
+bd AS (SELECT channel, greatest(w * 25 - 10, 0) AS s, least(w * 25 + 60, total) AS e FROM fl JOIN tt USING (channel) WHERE greatest(ptp_z, rms_z, kurtosis_z) > 2),
+il AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM bd),
+mg AS (SELECT channel, min(s) AS s, max(e) AS e FROM (SELECT *, sum(nw) OVER (PARTITION BY channel ORDER BY s, e) AS g FROM il) GROUP BY channel, g),
+ed AS (SELECT channel, s, e FROM mg UNION ALL SELECT channel, total, total FROM tt), c AS (SELECT channel, coalesce(lag(e) OVER (PARTITION BY channel ORDER BY s, e), 0) AS start_n, s AS end_n FROM ed)
+SELECT * FROM c WHERE end_n - start_n >= 40""",
+    "loop_counters": f"""WITH {SIGNAL}, f AS (SELECT channel AS session, n / 4 AS t, v, v > 60 AS bad FROM sig), b AS (SELECT session, quantile_cont(v, 0.4) AS th FROM f WHERE t <= 10 AND NOT bad GROUP BY session),
+a AS (SELECT session, count(*) FILTER (t <= 10) AS baseline, count(*) FILTER (t > 10) AS training, count(*) FILTER (bad) AS artifact, count(*) FILTER (t > 10 AND NOT bad) AS valid, count(*) FILTER (t > 10 AND NOT bad AND v > th) AS reward, any_value(th) AS th FROM f JOIN b USING (session) GROUP BY session)
+SELECT session, baseline, training, artifact, valid, reward, round(th, 6) AS threshold_init, round(th, 6) AS threshold_final, round(reward / valid, 6) AS reward_rate FROM a""",
     "mapped_channels": f"WITH {SIGNAL} SELECT CASE channel WHEN 'click' THEN 'Fz' WHEN 'view' THEN 'Cz' ELSE channel END AS channel, n, v FROM sig WHERE channel <> 'error'",
     "channel_sidecar": f"WITH {SIGNAL} SELECT channel AS name, 'EEG' AS type, 'uV' AS units, 128.0::DOUBLE AS sampling_frequency, CASE WHEN avg(v) > 20.2 THEN 'bad' ELSE 'good' END AS status FROM sig GROUP BY channel",
     "event_file": "SELECT round(event_id / 8, 6) AS onset, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0 END AS duration, event_type || ' ' || user_id AS text FROM events",

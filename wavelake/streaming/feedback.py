@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "session string, t double, metric double, threshold double, reward int, rate double, feedback double"
@@ -165,6 +166,16 @@ def replay(frames: DataFrame, o: Settings) -> DataFrame:
     return frames.groupBy("session").applyInPandas(one, SCHEMA)
 
 
+def counters(frames: DataFrame, rows: DataFrame, o: Settings) -> DataFrame:
+    """A session's numbers of frames (in the baseline, in training, with artifacts, rewarded), its reward rate over valid training frames, and its first and last threshold, from frames and the rows that `replay` gave for them."""
+    early = F.col("t") <= o.baseline_sec
+    bad = F.col("artifact") | F.col("metric").isNull() | F.isnan("metric")
+    all_ = frames.groupBy("session").agg(F.count_if(early).alias("baseline"), F.count_if(~early).alias("training"), F.count_if("artifact").alias("artifact"), F.count_if(~early & ~bad).alias("valid"))
+    done = rows.groupBy("session").agg(F.sum("reward").alias("reward"), F.min_by("threshold", "t").alias("threshold_init"), F.max_by("threshold", "t").alias("threshold_final"))
+    out = all_.join(done, "session", "left").fillna(0, ["reward"])
+    return out.withColumn("reward_rate", F.when(F.col("valid") > 0, F.col("reward") / F.col("valid")))
+
+
 def live(frames: DataFrame, o: Settings) -> DataFrame:
     """A stream of the same rows; a session's state is kept between micro-batches."""
 

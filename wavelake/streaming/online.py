@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, specs
-from ..operators import kernels, recordings, scans
+from ..operators import kernels, recordings, scans, selection
 
 EPS = 1e-12
 
@@ -160,6 +160,24 @@ def pac_frames(frames: DataFrame, fs: float, phase: tuple[float, float], amplitu
     return frames.select("channel", "end_n", measured1(one, "mi double, mvl double")("x").alias("r")).select("channel", "end_n", "r.*")
 
 
+def coupling_summary(frames: DataFrame, fs: float, phase: tuple[float, float], amplitude: tuple[float, float], bins: int = 18) -> DataFrame:
+    """(channel, n_frames, mean, median, min, max, distribution): the modulation index over a channel's finite frames, and the mean of their amplitude shares by phase bin.
+
+    A frame's shares are summed by bin before the shuffle, so what meets by channel is a number for each bin.
+    """
+
+    def one(x: np.ndarray) -> tuple:
+        r = kernels.pac(x, fs, phase, amplitude, bins)
+        return r["mi"], r["bins"].tolist()
+
+    rows = frames.select("channel", measured1(one, "mi double, bins array<double>")("x").alias("r")).select("channel", "r.mi", "r.bins").where("mi is not null and not isnan(mi)")
+    middle = selection.quantiles(rows, ["channel"], "mi", {"median": 0.5})
+    sums = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n_frames"), F.avg("mi").alias("mean"), F.min("mi").alias("min"), F.max("mi").alias("max"))
+    shares = rows.select("channel", F.posexplode("bins").alias("bin", "share")).groupBy("channel", "bin").agg(F.avg("share").alias("share"))
+    shares = shares.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("bin", "share"))).alias("d"))
+    return sums.join(middle, "channel").join(shares, "channel").select("channel", "n_frames", "mean", "median", "min", "max", F.col("d.share").alias("distribution"))
+
+
 def artifact_gate(rec: DataFrame, fs: float, size: int, step: int, baseline: float, limit: float = 6.0, least: int = 1, ignore: list[str] | None = None) -> DataFrame:
     """(end_n, ready, bad_channels, artifact, max_ptp_z, max_rms_z, max_kurtosis_z) of each frame.
 
