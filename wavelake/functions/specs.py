@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import shlex
 from dataclasses import dataclass
@@ -14,8 +15,58 @@ DEFAULT_BANDS = "delta:0.5-4,theta:4-7,alpha:8-12,beta:13-30,gamma:30-80"
 DEFAULT_RATIOS = "theta_beta=theta/beta,alpha_theta=alpha/theta"
 
 
+def alpha_bands(iaf: float, first: float = 0.5, theta: float = 6.0, alpha: float = 2.0, beta: float = 2.0, beta_max: float = 30.0, gamma_max: float = 80.0) -> list[tuple[str, float, float]]:
+    """Bands around an alpha peak, each at least as high as the one before it; none without a peak."""
+    if not math.isfinite(iaf) or iaf <= 0:
+        return []
+    edges = [first]
+    for x in (iaf - theta, iaf - alpha, iaf + beta, beta_max, gamma_max):
+        edges.append(max(edges[-1], x))
+    return list(zip(("delta", "theta", "alpha", "beta", "gamma"), edges, edges[1:], strict=False))
+
+
+def text_of(path: str) -> str | None:
+    """A small file of any store, or none."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return None
+    with store.open_input_file(at) as f:
+        return f.read().decode("utf-8-sig", "replace")
+
+
+def told_bands(text: str) -> list[tuple[str, float, float]]:
+    """Of a file: an alpha peak (a number, or a line `aggregate_iaf_hz=`), or bands, one or more a line."""
+    lines = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+    told = next((x.partition("=")[2] for x in lines if x.lower().startswith("aggregate_iaf_hz=")), lines[0] if len(lines) == 1 else "")
+    if re.fullmatch(r"\s*[0-9]+(\.[0-9]+)?\s*", told):
+        return individual(float(told))
+    return bands(",".join(x.strip(",") for x in lines))
+
+
+def individual(iaf: float) -> list[tuple[str, float, float]]:
+    out = [b for b in alpha_bands(iaf) if b[2] > b[1]]
+    if not out:
+        raise ValueError(f"no bands around {iaf}")
+    return out
+
+
 def bands(spec: str = DEFAULT_BANDS) -> list[tuple[str, float, float]]:
-    """name:low-high, comma-separated."""
+    """name:low-high, comma-separated; @file with such parts; iaf=peak; iaf:folder or iaf:file of bands or a peak."""
+    spec = spec.strip()
+    if spec.lower().startswith("iaf="):
+        try:
+            return individual(float(spec[4:]))
+        except ValueError as e:
+            raise ValueError(f"no alpha peak: {spec!r}") from e
+    if spec.startswith("@") or spec.lower().startswith("iaf:"):
+        path = spec[1:] if spec.startswith("@") else spec[4:].strip().rstrip("/")
+        names = [path] if spec.startswith("@") else [path, f"{path}/iaf_band_spec.txt", f"{path}/iaf_summary.txt"]
+        text = next((t for t in map(text_of, names) if path and t is not None), None)
+        if text is None:
+            raise ValueError(f"no file of bands: {spec!r}")
+        return told_bands(text)
     out = []
     for part in spec.split(","):
         m = re.fullmatch(r"\s*([^:]+):\s*([0-9.]+)\s*-\s*([0-9.]+)\s*", part)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..functions.specs import alpha_bands  # noqa: F401
 from . import kernels, recordings, selection, spectra
 
 
@@ -234,13 +235,3 @@ def alpha_summary(peaks: DataFrame, channels: list[str] | None = None, how: str
     if how == "mean":
         return rows.agg(F.avg(F.when(F.col("found"), F.col("iaf"))).alias("iaf"), F.avg(F.when(~F.isnan("cog"), F.col("cog"))).alias("cog"))
     return rows.agg(one("iaf", "found").alias("iaf"), one("cog", "NOT isnan(cog)").alias("cog"))
-
-
-def alpha_bands(iaf: float, first: float = 0.5, theta: float = 6.0, alpha: float = 2.0, beta: float = 2.0, beta_max: float = 30.0, gamma_max: float = 80.0) -> list[tuple[str, float, float]]:
-    """Bands around an alpha peak, each at least as high as the one before it; none without a peak."""
-    if not math.isfinite(iaf) or iaf <= 0:
-        return []
-    edges = [first]
-    for x in (iaf - theta, iaf - alpha, iaf + beta, beta_max, gamma_max):
-        edges.append(max(edges[-1], x))
-    return list(zip(("delta", "theta", "alpha", "beta", "gamma"), edges, edges[1:], strict=False))
