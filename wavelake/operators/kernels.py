@@ -30,6 +30,18 @@ def welch(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> tuple
     return np.arange(len(p)) * fs / nfft, p
 
 
+def welch_rows(x: np.ndarray, fs: float, nperseg: int, overlap: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """As welch, of rows of one length at once."""
+    nperseg = int(min(max(8, nperseg), x.shape[1]))
+    hop = max(1, nperseg - int(nperseg * overlap))
+    nfft = 1 << (nperseg - 1).bit_length()
+    w = np.hanning(nperseg) if nperseg > 1 else np.ones(1)
+    seg = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), nperseg, 1)[:, ::hop]
+    p = (np.abs(np.fft.rfft((seg - seg.mean(2, keepdims=True)) * w, nfft)) ** 2).mean(1) / (fs * (w * w).sum())
+    p[:, 1:-1] *= 2
+    return np.arange(p.shape[1]) * fs / nfft, p
+
+
 def biquad(kind: str, fs: float, f0: float, q: float) -> np.ndarray:
     """b0 b1 b2 a1 a2 of a lowpass, highpass or notch section (the audio cookbook's bilinear forms)."""
     w = 2 * np.pi * f0 / fs

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import microstates, recordings, signals, spectra, tables
+from ..operators import epochs, microstates, recordings, signals, spectra, tables
 from ..sources import shared, tabular, writers
 from ..streaming import feedback, online
+from .more import BANDS
 from .queries import FLAGS, FS, HOP, PSD, SEG, SIGNAL, TRANSFORM, psd, r6, read, signal
 from .recorded import subjects
 
@@ -95,6 +96,23 @@ def clean_padded(spark, sf_dir):
     return tables.clean_segments(bad, ["channel"], total, 10, 40).withColumnsRenamed({"start": "start_n", "end": "end_n"})
 
 
+def half_seconds(spark, sf_dir):
+    """Band power of half a second from every 96th sample on, in decibels against half a second that ends a quarter before it."""
+    rec = signal(spark, sf_dir)
+    sizes = rec.groupBy("channel").agg((F.max("n") + 1).alias("m")).agg(F.min("m").alias("total"))
+    on = sizes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 64) / 96))).alias("event_id")).select("event_id", (F.col("event_id") * 96 / FS).alias("onset"), F.lit(0.0).alias("duration"))
+    return epochs.powers(rec, epochs.spans(on, sizes, FS, window=0.5, baseline=0.5, gap=0.25), FS, SEG, BANDS, "db")
+
+
+def epoch_powers(spark, sf_dir):
+    return half_seconds(spark, sf_dir).select("event_id", "channel", "band", F.round(F.log10("epoch_power"), 6).alias("log_power"), F.round("norm", 5).alias("norm"))
+
+
+def epoch_summary(spark, sf_dir):
+    rows = epochs.summary(half_seconds(spark, sf_dir))
+    return rows.select("channel", "band", F.round(F.log10("mean_power"), 6).alias("log_power"), "n_epochs", F.round("mean_norm", 5).alias("mean_norm"), "n_norm")
+
+
 def mapped_channels(spark, sf_dir):
     """Samples under the names of a map: two renamed, one dropped, others kept."""
     mapping = spark.createDataFrame([("click", "Fz"), ("view", "Cz"), ("error", None)], "key string, target string")
@@ -127,12 +145,19 @@ def reference_file(spark, sf_dir):
     return r6(tabular.read_reference(spark, path).withColumn("n", F.col("n").cast("long")), "mean", "std")
 
 
-CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, coupling_summary, loop_counters, clean_padded, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
+CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, coupling_summary, loop_counters, clean_padded, epoch_powers, epoch_summary, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
 
 SECTIONS = ", ".join(f"({i}, {', '.join(f'{float(x)!r}::DOUBLE' for x in s)})" for i, s in enumerate(signals.stages(FS, low=1.0, high=12.0)))
 UNIT = MAPS - MAPS.mean(1, keepdims=True)
 UNIT = UNIT / np.sqrt((UNIT * UNIT).sum(1, keepdims=True))
 WEIGHTS = ", ".join(f"({j}, {i + 1}, {float(w)!r}::DOUBLE)" for j, row in enumerate(UNIT) for i, w in enumerate(row))
+EPOCHS = f"""{SIGNAL}, o AS (SELECT k, k * 96 AS i0 FROM range(0, 1000000) r(k) WHERE k * 96 + 64 <= (SELECT min(m) FROM (SELECT max(n) + 1 AS m FROM sig GROUP BY channel))),
+pt AS (SELECT k, 'e' AS part, i0 FROM o UNION ALL SELECT k, 'b', i0 - 96 FROM o WHERE k >= 1),
+x AS (SELECT k, part, channel, n - i0 AS i, v - avg(v) OVER (PARTITION BY k, part, channel) AS v FROM pt JOIN sig ON n >= i0 AND n < i0 + 64),
+ft AS (SELECT k, part, channel, q, sum(v * h * cos(2 * pi() * q * i / 64)) AS re, sum(v * h * sin(2 * pi() * q * i / 64)) AS im FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * i / 63) AS h FROM x), range(0, 33) r(q) GROUP BY ALL),
+fp AS (SELECT k, part, channel, q * 2.0 AS f0, q * 2.0 + 2 AS f1, p AS p0, lead(p) OVER (PARTITION BY k, part, channel ORDER BY q) AS p1 FROM (SELECT *, (re * re + im * im) * CASE WHEN q IN (0, 32) THEN 1 ELSE 2 END / (128.0 * (SELECT sum(pow(0.5 - 0.5 * cos(2 * pi() * i / 63), 2)) FROM range(0, 64) h(i))) AS p FROM ft)),
+fb AS (SELECT k, part, channel, band, sum(0.5 * (2 * p0 + (p1 - p0) / 2 * (greatest(f0, lo) - f0 + least(f1, hi) - f0)) * (least(f1, hi) - greatest(f0, lo))) AS power FROM fp, (VALUES ('alpha', 8.0, 12.0), ('beta', 13.0, 30.0)) b(band, lo, hi) WHERE p1 IS NOT NULL AND f1 > lo AND f0 < hi GROUP BY ALL),
+ep AS (SELECT a.k AS event_id, a.channel, a.band, a.power, 10 * log10(a.power / b.power) AS norm FROM (SELECT * FROM fb WHERE part = 'e') a LEFT JOIN (SELECT * FROM fb WHERE part = 'b') b ON a.k = b.k AND a.channel = b.channel AND a.band = b.band)"""
 CHANNELS_SQL = {
     "phase_locking": f"""WITH {TRANSFORM}, x AS (SELECT a.channel AS channel_a, b.channel AS channel_b, k, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im FROM tr a JOIN tr b USING (seg, k) WHERE a.channel < b.channel),
 s AS (SELECT channel_a, channel_b, k, avg(re / sqrt(re * re + im * im)) AS ur, avg(im / sqrt(re * re + im * im)) AS ui, avg(sign(im)) AS sg, sum(im) AS im, sum(abs(im)) AS ab, sum(im * im) AS sq FROM x WHERE k BETWEEN 1 AND 31 GROUP BY ALL)
@@ -163,6 +188,8 @@ SELECT * FROM c WHERE end_n - start_n >= 40""",
     "loop_counters": f"""WITH {SIGNAL}, f AS (SELECT channel AS session, n / 4 AS t, v, v > 60 AS bad FROM sig), b AS (SELECT session, quantile_cont(v, 0.4) AS th FROM f WHERE t <= 10 AND NOT bad GROUP BY session),
 a AS (SELECT session, count(*) FILTER (t <= 10) AS baseline, count(*) FILTER (t > 10) AS training, count(*) FILTER (bad) AS artifact, count(*) FILTER (t > 10 AND NOT bad) AS valid, count(*) FILTER (t > 10 AND NOT bad AND v > th) AS reward, any_value(th) AS th FROM f JOIN b USING (session) GROUP BY session)
 SELECT session, baseline, training, artifact, valid, reward, round(th, 6) AS threshold_init, round(th, 6) AS threshold_final, round(reward / valid, 6) AS reward_rate FROM a""",
+    "epoch_powers": f"WITH {EPOCHS} SELECT event_id, channel, band, round(log10(power), 6) AS log_power, round(norm, 5) AS norm FROM ep",
+    "epoch_summary": f"WITH {EPOCHS} SELECT lower(channel) AS channel, band, round(log10(avg(power)), 6) AS log_power, count(*) AS n_epochs, round(avg(norm), 5) AS mean_norm, count(norm) AS n_norm FROM ep GROUP BY 1, 2",
     "mapped_channels": f"WITH {SIGNAL} SELECT CASE channel WHEN 'click' THEN 'Fz' WHEN 'view' THEN 'Cz' ELSE channel END AS channel, n, v FROM sig WHERE channel <> 'error'",
     "channel_sidecar": f"WITH {SIGNAL} SELECT channel AS name, 'EEG' AS type, 'uV' AS units, 128.0::DOUBLE AS sampling_frequency, CASE WHEN avg(v) > 20.2 THEN 'bad' ELSE 'good' END AS status FROM sig GROUP BY channel",
     "event_file": "SELECT round(event_id / 8, 6) AS onset, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0 END AS duration, event_type || ' ' || user_id AS text FROM events",
