@@ -45,3 +45,15 @@ def test_epoch_powers(spark):
     assert math.isclose(means["a", "c3", "beta"]["mean_power"], np.mean(own)) and means["a", "c3", "beta"]["n_epochs"] == len(own) and means["a", "c3", "beta"]["n_norm"] == 3
     whole = epochs.spans(spark.createDataFrame([(1, 1.0, 0.0)], "event_id int, onset double, duration double"), spark.createDataFrame([(700,)], "total long"), FS, offset=0.5, window=1.0)
     assert [(r["first"], r["last"], r["base_first"]) for r in whole.collect()] == [(150, 250, None)]
+
+
+def test_picked_channels(spark):
+    import pytest
+
+    from wavelake.sources import writers
+
+    rec = spark.createDataFrame([(c, n, float(n)) for c in ("EEG Fp1", "C3-Ref", "t3", "T7") for n in range(3)], "channel string, n long, v double")
+    assert sorted({r["channel"] for r in writers.picked(rec, ["c3", "FP1"]).collect()}) == ["FP1", "c3"]
+    for names in (["Cz"], ["T7"]):  # none, and two under one key
+        with pytest.raises(ValueError):
+            writers.picked(rec, names)

@@ -9,12 +9,12 @@ from ..functions import naming, scalar
 from . import recordings
 
 
-def merge_segments(rows: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
-    """Half-open [start, end) ranges, joined where they lie at most `gap` apart."""
+def merge_segments(rows: DataFrame, by: list[str], gap: int = 0, counted: bool = False) -> DataFrame:
+    """Half-open [start, end) ranges, joined where they lie at most `gap` apart; counted: with the number of ranges in each."""
     w = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = (F.col("start") > reach + gap) | reach.isNull()
-    return rows.where("end > start").withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w)).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return rows.where("end > start").withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w)).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *([F.count(F.lit(1)).alias("n_ranges")] if counted else [])).drop("island")
 
 
 def complement(merged: DataFrame, by: list[str], total: DataFrame, least: int = 1) -> DataFrame:

@@ -113,6 +113,18 @@ def epoch_summary(spark, sf_dir):
     return rows.select("channel", "band", F.round(F.log10("mean_power"), 6).alias("log_power"), "n_epochs", F.round("mean_norm", 5).alias("mean_norm"), "n_norm")
 
 
+def picked_channels(spark, sf_dir):
+    """Two channels by names as users write them."""
+    return writers.picked(signal(spark, sf_dir), ["EEG Click-REF", "VIEW"]).select("channel", "n", "v")
+
+
+def segment_counts(spark, sf_dir):
+    """The bad windows of each channel's artifact segments, joined over gaps of 25 samples."""
+    flags = recordings.artifacts(recordings.windows(signal(spark, sf_dir), 50, 25), 10, 2.0).where("bad")
+    rows = tables.merge_segments(flags.select("channel", (F.col("w") * 25).alias("start"), (F.col("w") * 25 + 50).alias("end")), ["channel"], 25, counted=True)
+    return rows.select("channel", F.col("start").alias("start_n"), F.col("end").alias("end_n"), "n_ranges")
+
+
 def mapped_channels(spark, sf_dir):
     """Samples under the names of a map: two renamed, one dropped, others kept."""
     mapping = spark.createDataFrame([("click", "Fz"), ("view", "Cz"), ("error", None)], "key string, target string")
@@ -145,7 +157,7 @@ def reference_file(spark, sf_dir):
     return r6(tabular.read_reference(spark, path).withColumn("n", F.col("n").cast("long")), "mean", "std")
 
 
-CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, coupling_summary, loop_counters, clean_padded, epoch_powers, epoch_summary, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
+CHANNELS = {f.__name__: f for f in (phase_locking, causal_filter, zero_phase_filter, phase_measures, alpha_peaks, microstate_labels, feedback_loop, coherence_frames, phase_frames, coupling_frames, coupling_summary, loop_counters, clean_padded, epoch_powers, epoch_summary, picked_channels, segment_counts, mapped_channels, sample_table, channel_sidecar, event_file, reference_file)}
 
 SECTIONS = ", ".join(f"({i}, {', '.join(f'{float(x)!r}::DOUBLE' for x in s)})" for i, s in enumerate(signals.stages(FS, low=1.0, high=12.0)))
 UNIT = MAPS - MAPS.mean(1, keepdims=True)
@@ -190,6 +202,10 @@ a AS (SELECT session, count(*) FILTER (t <= 10) AS baseline, count(*) FILTER (t
 SELECT session, baseline, training, artifact, valid, reward, round(th, 6) AS threshold_init, round(th, 6) AS threshold_final, round(reward / valid, 6) AS reward_rate FROM a""",
     "epoch_powers": f"WITH {EPOCHS} SELECT event_id, channel, band, round(log10(power), 6) AS log_power, round(norm, 5) AS norm FROM ep",
     "epoch_summary": f"WITH {EPOCHS} SELECT lower(channel) AS channel, band, round(log10(avg(power)), 6) AS log_power, count(*) AS n_epochs, round(avg(norm), 5) AS mean_norm, count(norm) AS n_norm FROM ep GROUP BY 1, 2",
+    "picked_channels": f"WITH {SIGNAL} SELECT CASE channel WHEN 'click' THEN 'EEG Click-REF' ELSE 'VIEW' END AS channel, n, v FROM sig WHERE channel IN ('click', 'view')",
+    "segment_counts": f"""WITH {FLAGS}, bad AS (SELECT channel, w * 25 AS s, w * 25 + 50 AS e FROM fl WHERE greatest(ptp_z, rms_z, kurtosis_z) > 2),
+isl AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY channel ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 25 THEN 1 ELSE 0 END AS nw FROM bad)
+SELECT channel, min(s) AS start_n, max(e) AS end_n, count(*) AS n_ranges FROM (SELECT *, sum(nw) OVER (PARTITION BY channel ORDER BY s, e) AS g FROM isl) GROUP BY channel, g""",
     "mapped_channels": f"WITH {SIGNAL} SELECT CASE channel WHEN 'click' THEN 'Fz' WHEN 'view' THEN 'Cz' ELSE channel END AS channel, n, v FROM sig WHERE channel <> 'error'",
     "channel_sidecar": f"WITH {SIGNAL} SELECT channel AS name, 'EEG' AS type, 'uV' AS units, 128.0::DOUBLE AS sampling_frequency, CASE WHEN avg(v) > 20.2 THEN 'bad' ELSE 'good' END AS status FROM sig GROUP BY channel",
     "event_file": "SELECT round(event_id / 8, 6) AS onset, CASE WHEN event_id % 3 > 0 THEN round(value, 6) ELSE 0 END AS duration, event_type || ' ' || user_id AS text FROM events",

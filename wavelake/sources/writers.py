@@ -89,6 +89,17 @@ def apply_map(rec: DataFrame, mapping: DataFrame) -> DataFrame:
     return rec.join(F.broadcast(named), "channel").withColumn("channel", F.col("target")).drop("target")
 
 
+def picked(rec: DataFrame, names: list[str]) -> DataFrame:
+    """rec with the named channels only, under the names that were asked for, whatever their case, prefix or reference suffix; names that match none, or more than one, are refused."""
+    asked = rec.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, target string").withColumn("key", naming.normalize(F.col("target")))
+    have = rec.select("channel").distinct().withColumn("key", naming.normalize(F.col("channel")))
+    found = asked.join(have, "key", "left")
+    wrong = found.groupBy("place", "target").agg(F.count("channel").alias("n")).where("n <> 1").orderBy("place").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['n']} channels are named {wrong['target']}")
+    return rec.join(F.broadcast(found.select("channel", "target")), "channel").withColumn("channel", F.col("target")).drop("target")
+
+
 def bad_channels(spark: SparkSession, path: str) -> DataFrame:
     """(channel) of a quality table's bad rows, or of a list of names, by whether the file has a header with `channel` and `bad`."""
     head = (spark.read.text(path).first() or [""])[0].lower()
