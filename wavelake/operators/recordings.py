@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..sources import shared
 from . import scans, selection
 
 
@@ -74,12 +75,20 @@ def statistics(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_scale, small: bool = False) -> DataFrame:
-    """by, median and scale: exact quantiles in two rounds; `small` says that groups are known to be short, so that an exact aggregate may hold them."""
-    half = lambda rows, x: rows.groupBy(*by).agg(F.expr(f"percentile({x}, 0.5)").alias("q")) if small else selection.quantiles(rows, by, x, {"q": 0.5})
-    med = rec.groupBy(*by).agg(F.stddev_samp(value).alias("sd")).join(half(rec, value).withColumnRenamed("q", "median"), by, "left")
-    far = rec.join(med.select(*by, "median"), by).withColumn("_far", F.abs(F.col(value) - F.col("median")))
-    out = med.join(half(far, "_far").withColumnRenamed("q", "mad"), by, "left")
+def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_scale, small: bool = False, kept: bool = False) -> DataFrame:
+    """by, median and scale: exact quantiles in two rounds; `small` says that groups are known to be short, so that an exact aggregate may hold them.
+
+    Otherwise the rounds read the values from a table in the shared folder; `kept` says that rec is one already.
+    """
+    if small:
+        med = rec.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_samp(value).alias("sd"))
+        out = rec.join(med, by).groupBy(*by).agg(F.expr(f"percentile(abs({value} - median), 0.5)").alias("mad"), F.first("median").alias("median"), F.first("sd").alias("sd"))
+    else:
+        rec = rec if kept else shared.written(rec.select(*by, value), "values")
+        med = selection.quantiles(rec, by, value, {"median": 0.5})
+        far = rec.join(med, by).withColumn("_far", F.abs(F.col(value) - F.col("median")))
+        # the deviation rides along with the second round; groups without a value have neither
+        out = rec.groupBy(*by).agg(F.stddev_samp(value).alias("sd")).join(med, by, "left").join(selection.quantiles(far, by, "_far", {"mad": 0.5}), by, "left")
     args = (F.col("mad"), F.col("sd")) if scale is scalar.robust_scale else (F.col("mad"), F.col("sd"), F.col("median"))
     return out.select(*by, "median", scale(*args).alias("scale"))
 

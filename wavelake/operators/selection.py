@@ -38,14 +38,18 @@ def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, floa
     v = F.col("_v")
     marked = F.transform("_b", lambda x: F.struct(x["i"].alias("i"), x["at"].alias("at"), F.when(v >= x["lo"], v).alias("v"), (v <= x["hi"]).alias("in")))
     cells = joined.select(*keys, F.explode(F.filter(marked, lambda x: x["in"])).alias("x")).groupBy(*keys, F.col("x.i").alias("_i"), F.col("x.at").alias("_at"), F.col("x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_i", "_at").orderBy(F.col("_v").asc_nulls_first())
-    sums = cells.withColumn("_sum", F.sum("_c").over(w))
-    rank = F.floor("_at")
-    found = sums.groupBy(*keys, "_i", "_at").agg(F.min(F.when(F.col("_sum") > rank, F.col("_v"))).alias("a"), F.min(F.when(F.col("_sum") > rank + 1, F.col("_v"))).alias("b"))
-    t = F.col("_at") - rank
-    value_at = F.when(t > 0, F.col("a") * (1 - t) + F.col("b") * t).otherwise(F.col("a"))
-    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)))
-    return wide.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *names)
+    # a bracket's cells in order, all brackets of a key in one exchange: the sum before a bracket is what its first cell began with
+    w = Window.partitionBy(*keys).orderBy("_i", F.col("_v").asc_nulls_first())
+    sums = cells.withColumn("_all", F.sum("_c").over(w))
+    before = F.coalesce(F.max("_all").over(Window.partitionBy(*keys).orderBy("_i").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) if len(names) > 1 else F.lit(0)
+    sums = sums.withColumn("_sum", F.col("_all") - before)
+    rank, aggregates = F.floor("_at"), []
+    for i in range(len(names)):
+        own = F.col("_i") == i
+        aggregates += [F.min(F.when(own & (F.col("_sum") > rank), F.col("_v"))).alias(f"a{i}"), F.min(F.when(own & (F.col("_sum") > rank + 1), F.col("_v"))).alias(f"b{i}"), F.max(F.when(own, F.col("_at") - rank)).alias(f"t{i}")]
+    found = sums.groupBy(*keys).agg(*aggregates)
+    at = [F.when(F.col(f"t{i}") > 0, F.col(f"a{i}") * (1 - F.col(f"t{i}")) + F.col(f"b{i}") * F.col(f"t{i}")).otherwise(F.col(f"a{i}")).alias(n) for i, n in enumerate(names)]
+    return found.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *at)
 
 
 def largest(rows: DataFrame, value: str, order: str, n: int) -> DataFrame:

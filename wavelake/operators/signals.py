@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions.specs import alpha_bands  # noqa: F401
+from ..sources import shared
 from . import kernels, recordings, selection, spectra
 
 
@@ -129,7 +130,8 @@ def downsampled(rec: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFram
 
 def channel_quality(rec: DataFrame, flags: DataFrame, flat_ptp: float = 1.0, flat: float = 0.02, noisy: float = 10.0, often: float = 0.3, least_corr: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Per channel: flatline, noisy, artifact_often_bad, corr_low, bad and reasons; flags has the bad windows of each channel."""
-    scales = recordings.robust(rec, [*by, "channel"])
+    rec = shared.written(rec.select(*by, "channel", "n", "v"), "samples")  # several passes read it
+    scales = recordings.robust(rec, [*by, "channel"], kept=True)
     base = recordings.quality(recordings.statistics(rec, by), scales, flat_ptp, flat, noisy, by).drop("bad", "reasons")
     share = flags.groupBy(*by, "channel").agg(F.avg(F.col("bad").cast("double")).alias("bad_fraction"))
     out = base.join(share, [*by, "channel"], "left").join(mean_correlation(rec, by), [*by, "channel"], "left").fillna(0.0, ["bad_fraction"])

@@ -74,11 +74,11 @@ def phase_frames(spark, sf_dir):
 
 def coupling_frames(spark, sf_dir):
     """Coupling of phase at 4 to 8 Hz and amplitude at 20 to 40 Hz in every frame."""
-    return r6(online.pac_frames(online.frames(signal(spark, sf_dir), 256, 64), FS, (4.0, 8.0), (20.0, 40.0)), "mi", "mvl")
+    return r6(online.pac_frames(online.frames(signal(spark, sf_dir), 160, 64), FS, (4.0, 8.0), (20.0, 40.0)), "mi", "mvl")
 
 
 def coupling_summary(spark, sf_dir):
-    rows = online.coupling_summary(online.frames(signal(spark, sf_dir), 256, 64), FS, (4.0, 8.0), (20.0, 40.0))
+    rows = online.coupling_summary(online.frames(signal(spark, sf_dir), 160, 64), FS, (4.0, 8.0), (20.0, 40.0))
     return r6(rows, "mean", "median", "min", "max").withColumn("distribution", F.transform("distribution", lambda x: F.round(x, 6)))
 
 

@@ -140,6 +140,9 @@ def by_subject(text: str) -> str:
     return text.replace(SIGNAL, SUBJECTS)
 
 
+#: The scale of a baseline of few windows: the deviation, or a part of the median, where the median deviation is nothing.
+MAD = "1.4826 * median(abs(x - md)) AS s"
+SCALE = "CASE WHEN 1.4826 * median(abs(x - md)) > 1e-12 THEN 1.4826 * median(abs(x - md)) WHEN stddev_samp(x) > 1e-12 THEN stddev_samp(x) WHEN 0.05 * abs(any_value(md)) > 1e-12 THEN 0.05 * abs(any_value(md)) ELSE 1 END AS s"
 CELLS = "c AS (SELECT split_part(channel, '/', 1) AS recording, split_part(channel, '/', 2) AS channel, n, round(v * 100) AS v FROM sig), z AS (SELECT recording, CAST(ceil((max(n) + 1) / 16) * 16 AS BIGINT) AS n_samples FROM c GROUP BY recording)"
 POINTS = PSD + """,
 pt AS (SELECT channel, freq AS f, p FROM psd WHERE freq > 3 AND freq < 41 UNION ALL SELECT channel, 3.0, avg(p) FROM psd WHERE k IN (1, 2) GROUP BY channel UNION ALL SELECT channel, 41.0, avg(p) FROM psd WHERE k IN (20, 21) GROUP BY channel),
@@ -167,12 +170,12 @@ sl AS (SELECT *, (s1y - s1 * a) / s11 AS b1, (s2y - s2 * a) / s22 AS b2 FROM lv)
 fe AS (SELECT channel, kf, any_value(b1) AS b1, any_value(b2) AS b2, avg(pow(y - a - b1 * d1 - b2 * d2, 2)) AS mse2 FROM cd JOIN sl USING (channel, kf) GROUP BY channel, kf),
 bs AS (SELECT channel, arg_min(kf, mse2) AS kf, arg_min(b1, mse2) AS b1, arg_min(b2, mse2) AS b2, min(mse2) AS mse2 FROM fe GROUP BY channel),
 sc AS (SELECT *, n * ln(mse) + 4 AS a1, n * ln(mse2) + 8 AS a2, n * ln(mse) + 2 * ln(n) AS q1, n * ln(mse2) + 4 * ln(n) AS q2 FROM bs JOIN er USING (channel))
-SELECT channel, CASE WHEN q1 <= q2 THEN 'loglog' ELSE 'two_slope' END AS aperiodic_best_model_bic, round(kf, 6) AS aperiodic_knee_hz, round(b1, 6) AS aperiodic_slope_low, round(b2, 6) AS aperiodic_slope_high, round(sqrt(mse2), 6) AS aperiodic_rmse_two_slope,
+SELECT channel, CASE WHEN q1 <= q2 THEN 'loglog' ELSE 'two_slope' END AS aperiodic_best_model_bic, round(kf::DOUBLE, 6) AS aperiodic_knee_hz, round(b1, 6) AS aperiodic_slope_low, round(b2, 6) AS aperiodic_slope_high, round(sqrt(mse2), 6) AS aperiodic_rmse_two_slope,
   round(a2, 6) AS aperiodic_aic_two_slope, round(a1 - least(a1, a2), 6) AS aperiodic_delta_aic_loglog, round(exp(-0.5 * (a2 - least(a1, a2))) / (exp(-0.5 * (a1 - least(a1, a2))) + exp(-0.5 * (a2 - least(a1, a2)))), 6) AS aperiodic_aic_weight_two_slope FROM sc""",
     "subject_power": f"WITH {by_subject(PSD)} SELECT {APART}, band, round(rel, 6) AS rel, round(log10(power), 6) AS log_power FROM bp",
     "subject_coherence": f"WITH {by_subject(TRANSFORM)}, ta AS (SELECT {APART}, seg, k, re, im FROM tr), pr AS (SELECT a.recording, a.channel AS channel_a, b.channel AS channel_b, k, sum(a.re * b.re + a.im * b.im) AS re, sum(a.im * b.re - a.re * b.im) AS im, sum(a.re * a.re + a.im * a.im) AS pa, sum(b.re * b.re + b.im * b.im) AS pb FROM ta a JOIN ta b USING (recording, seg, k) WHERE a.channel < b.channel GROUP BY ALL) SELECT recording, channel_a, channel_b, k, round((re * re + im * im) / (pa * pb), 6) AS msc, round(abs(im) / sqrt(pa * pb), 6) AS imcoh FROM pr",
     "subject_reference": f"WITH {SUBJECTS} SELECT {APART}, n, round(v - avg(v) OVER (PARTITION BY split_part(channel, '/', 1), n), 6) AS v FROM sig",
-    "subject_artifacts": f"WITH {by_subject(FLAGS)} SELECT {APART}, w, round(ptp_z, 6) AS ptp_z, round(rms_z, 6) AS rms_z, round(kurtosis_z, 6) AS kurtosis_z, greatest(ptp_z, rms_z, kurtosis_z) > 2 AS bad FROM fl",
+    "subject_artifacts": f"WITH {by_subject(FLAGS).replace(MAD, SCALE)} SELECT {APART}, w, round(ptp_z, 6) AS ptp_z, round(rms_z, 6) AS rms_z, round(kurtosis_z, 6) AS kurtosis_z, greatest(ptp_z, rms_z, kurtosis_z) > 2 AS bad FROM fl",
     "subject_quality": f"""WITH {SUBJECTS}, md AS (SELECT channel, median(v) AS m, max(v) - min(v) AS ptp FROM sig GROUP BY channel), sc AS (SELECT channel, any_value(ptp) AS ptp, 1.4826 * median(abs(v - m)) AS scale FROM sig JOIN md USING (channel) GROUP BY channel),
 q AS (SELECT {APART}, ptp, scale, median(scale) OVER (PARTITION BY split_part(channel, '/', 1)) AS t FROM sc), f AS (SELECT *, ptp < 5000 OR scale < 0.02 * t AS flatline, scale > 1.02 * t AS noisy FROM q)
 SELECT recording, channel, round(ptp, 6) AS ptp, round(scale, 6) AS scale, flatline, noisy, flatline OR noisy AS bad, concat_ws(';', CASE WHEN flatline THEN 'flatline' END, CASE WHEN noisy THEN 'noisy' END) AS reasons FROM f""",
