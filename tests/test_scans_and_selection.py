@@ -147,7 +147,9 @@ def test_largest(spark):
     assert selection.largest(df, "gfp", "n", 0).count() == 0
 
 
-def test_robust_keeps_all_groups(spark):
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_robust_keeps_all_groups(spark, most, monkeypatch):
+    monkeypatch.setattr(recordings, "EXACT_ROWS", most)
     df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", None)], "k string, v double")
     got = {r["k"]: r for r in recordings.robust(df, ["k"]).collect()}
     assert got["a"]["median"] == 50 and abs(got["a"]["scale"] - 1.4826 * 25) < 1e-9 and got["b"]["median"] is None

@@ -10,6 +10,10 @@ from ..sources import shared
 from . import scans, selection
 
 
+#: Values of all groups together that exact aggregates may hold.
+EXACT_ROWS = 1 << 22
+
+
 def numbered(rows: DataFrame, by: list[str], time: str, order: list[str], span: str = "hour") -> DataFrame:
     """rows with n, their place from 0 within `by` in an order that begins with a time.
 
@@ -78,13 +82,16 @@ def statistics(rec: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def robust(rec: DataFrame, by: list[str], value: str = "v", scale=scalar.robust_scale, small: bool = False, kept: bool = False) -> DataFrame:
     """by, median and scale: exact quantiles in two rounds; `small` says that groups are known to be short, so that an exact aggregate may hold them.
 
-    Otherwise the rounds read the values from a table in the shared folder; `kept` says that rec is one already.
+    Otherwise the rounds read the values from a table in the shared folder; `kept` says that rec is one already. Its rows
+    are counted, as files tell, and up to EXACT_ROWS of them one aggregate holds as well.
     """
+    if not small:
+        rec = rec if kept else shared.written(rec.select(*by, value), "values")
+        small = rec.count() <= EXACT_ROWS
     if small:
         med = rec.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_samp(value).alias("sd"))
         out = rec.join(med, by).groupBy(*by).agg(F.expr(f"percentile(abs({value} - median), 0.5)").alias("mad"), F.first("median").alias("median"), F.first("sd").alias("sd"))
     else:
-        rec = rec if kept else shared.written(rec.select(*by, value), "values")
         med = selection.quantiles(rec, by, value, {"median": 0.5})
         far = rec.join(med, by).withColumn("_far", F.abs(F.col(value) - F.col("median")))
         # the deviation rides along with the second round; groups without a value have neither
