@@ -1,6 +1,7 @@
 """Spectra of epochs around events, against a baseline before each.
 
-Epochs are exploded into the samples they want, which meet the recording by equality; an epoch of a channel and its
+Epochs are exploded into the samples they want, which meet the recording by equality (sorted: what was exploded looks
+small enough to be broadcast); an epoch of a channel and its
 baseline, a few seconds each, are packed by one aggregate and go through Welch's estimate in Arrow batches.
 """
 
@@ -41,7 +42,7 @@ def powers(rec: DataFrame, spans: DataFrame, fs: float, nperseg: int, bands: lis
     part = F.array(F.struct(F.lit("e").alias("part"), F.col("first").alias("a"), F.col("last").alias("b")), F.struct(F.lit("b").alias("part"), F.col("base_first").alias("a"), F.col("base_last").alias("b")))
     want = spans.select(*by, "event_id", F.inline(part)).where("a is not null")
     want = want.select(*by, "event_id", "part", (F.col("b") - F.col("a")).alias("size"), F.explode(F.sequence("a", F.col("b") - 1)).alias("n"))
-    packed = want.join(rec, [*by, "n"]).groupBy(*by, "event_id", "part", "size", "channel").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("x"))  # an epoch's samples
+    packed = want.join(rec.hint("merge"), [*by, "n"]).groupBy(*by, "event_id", "part", "size", "channel").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("x"))  # an epoch's samples
     packed = packed.where(F.size("x") == F.col("size"))
 
     def run(x: pd.Series) -> pd.Series:

@@ -208,11 +208,12 @@ def trigger_channel(rec: DataFrame, mask: int = 0) -> DataFrame:
 def epochs(rec: DataFrame, events: DataFrame, fs: float, start: float, end: float) -> DataFrame:
     """(event_id, channel, at, v): samples from `start` to `end` seconds around each onset, numbered from the epoch's first; only whole epochs.
 
-    Epochs are exploded into the samples they want and meet the recording by equality.
+    Epochs are exploded into the samples they want and meet the recording by equality; sorted, as what was exploded looks
+    small enough to be broadcast.
     """
     size = scalar.samples(end - start, fs)
     want = events.select("event_id", F.round((F.col("onset") + start) * fs).cast("long").alias("_first")).where("_first >= 0")
     want = want.select("event_id", "_first", F.explode(F.sequence("_first", F.col("_first") + size - 1)).alias("n"))
-    rows = want.join(rec, "n").select("event_id", "channel", (F.col("n") - F.col("_first")).alias("at"), "v")
+    rows = want.join(rec.hint("merge"), "n").select("event_id", "channel", (F.col("n") - F.col("_first")).alias("at"), "v")
     whole = rows.groupBy("event_id", "channel").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == size).drop("_n")
     return rows.join(whole, ["event_id", "channel"], "left_semi")

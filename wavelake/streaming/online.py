@@ -1,6 +1,6 @@
 """Sliding frames of a recording (channel, n, v) and what is measured in them: band power, coherence, phase, coupling, artifacts.
 
-A frame holds the last `window` seconds at its end. In a table, frames meet their samples by equality; in a stream, a
+A frame holds the last `window` seconds at its end. In a table, samples are dealt to their frames by arithmetic; in a stream, a
 state for each channel keeps the last samples and gives the same frames. Measures are functions of frames, so they are
 the same on both; measures of pairs take rows with all channels of a frame (`matrices` of a table, `live.frames` of a stream).
 """
@@ -28,11 +28,24 @@ def sizes(fs: float, window: float, update: float, clamp: bool = True) -> tuple[
     return w, min(u, w)
 
 
+def dealt(rec: DataFrame, size: int, step: int, burst: bool = True) -> DataFrame:
+    """rec with end_n: each sample once for every frame (`recordings.frames`) that holds it, frames past a channel's last sample included.
+
+    The frames are computed from the sample's place, so nothing is joined: a table of frames' places is as long as their
+    samples, but Spark takes it for as small as the channels that it was exploded from, and would broadcast it.
+    """
+    n = F.col("n")
+    low, high = F.ceil((n + 1) / step), F.floor((n + size) / step)
+    low = F.greatest(F.least(n + (2 - size), low), F.lit(1)) if burst else F.greatest(low, F.lit(-(-size // step)))
+    high = F.least(n + 1, high) if burst else high
+    rows = rec.withColumn("_j", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))))
+    end = F.greatest(F.col("_j") + (size - 1), F.col("_j") * step) if burst else F.col("_j") * step
+    return rows.withColumn("end_n", end.cast("long")).drop("_j")
+
+
 def frames(rec: DataFrame, size: int, step: int, burst: bool = True) -> DataFrame:
     """(channel, end_n, x): the samples of each complete frame, in order."""
-    ends = recordings.frames(rec.groupBy("channel").agg((F.max("n") + 1).alias("last")), "last", size, step, burst).select("channel", "end_n")
-    want = ends.withColumn("n", F.explode(F.sequence(F.col("end_n") - size, F.col("end_n") - 1)))
-    packed = want.join(rec, ["channel", "n"]).groupBy("channel", "end_n").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("x"))
+    packed = dealt(rec, size, step, burst).groupBy("channel", "end_n").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("x"))
     return packed.where(F.size("x") == size).select("channel", "end_n", F.col("x.v").alias("x"))
 
 
@@ -185,10 +198,11 @@ def artifact_gate(rec: DataFrame, fs: float, size: int, step: int, baseline: flo
     nothing is subtracted and the scale is 1. At most as many bad channels are asked for as there are.
     """
     rec = rec.where(~F.col("channel").isin(ignore)) if ignore else rec
-    ends = recordings.frames(rec.groupBy("channel").agg((F.max("n") + 1).alias("last")), "last", size, step, True).select("channel", "end_n")
-    rows = ends.withColumn("n", F.explode(F.sequence(F.col("end_n") - size, F.col("end_n") - 1))).join(rec, ["channel", "n"])
+    lasts = rec.groupBy("channel").agg((F.max("n") + 1).alias("last"))
+    rows = dealt(rec, size, step)
     names = ["ptp", "rms", "kurtosis"]
     features = rows.groupBy("channel", "end_n").agg((F.max("v") - F.min("v")).alias("ptp"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.when(F.var_pop("v") > 1e-24, F.kurtosis("v")).otherwise(0.0).alias("kurtosis"))
+    features = features.join(lasts, "channel").where("end_n <= last").drop("last")
     long = features.unpivot(["channel", "end_n"], names, "feature", "x")
     last = scalar.samples(baseline, fs)
     base = recordings.robust(long.where(F.col("end_n") <= last), ["channel", "feature"], "x", small=True)
