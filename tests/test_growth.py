@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelake.operators import events, recordings
+from wavelake.operators import events, matrices, recordings
 from wavelake.streaming import online
 
 
@@ -37,3 +37,14 @@ def test_epochs_are_not_broadcast(spark):
     df = events.epochs(rec, on, 100.0, 0.0, 0.2)
     assert df.count() == 20 * (5000 - 19)
     assert "BroadcastHashJoin [n" not in plan(df)
+
+
+def test_ties_of_cells_take_the_first_row(spark, tmp_path):
+    from wavelake.plans import more
+
+    rows = [(1, 1, 0, 1, 5.0), (1, 1, 0, 1, 7.0), (1, 1, 0, 1, 6.0), (0, 7, 0, 1, 9.0), (2, 1, 2, 3, 4.0), (2, 1, 2, 3, 3.0), (3, 1, 2, 3, None)]
+    names = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"]
+    spark.createDataFrame([dict(zip(names, r, strict=True)) for r in rows], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {(r["a"], r["b"]): r["w"] for r in more.matrix_cells(spark, str(tmp_path)).collect()} == {(0, 1): 5.0, (1, 0): 5.0, (2, 3): 4.0, (3, 2): 4.0}
+    loose = spark.createDataFrame([("a", "b", 1.0, 1), ("a", "b", 2.0, 2), ("a", "b", None, 3)], "a string, b string, w double, ord int")
+    assert {r["w"] for r in matrices.matrix_cells(loose, "ord").collect()} == {2.0}

@@ -20,6 +20,14 @@ def first_match(text: Column, table: list[tuple[str, str]], other: Column) -> Co
     return out
 
 
+def latest(value: str, ordinal: str, ties: tuple[str, ...] = ()) -> Column:
+    """The value of the greatest ordinal of a group, null values left out; of equal ordinals the first row by `ties` (of a table, its place in the files)."""
+    known = F.col(value).isNotNull()
+    if not ties:
+        return F.max_by(value, F.when(known, F.col(ordinal)))
+    return F.min_by(value, F.when(known & F.col(ordinal).isNotNull(), F.struct((-F.col(ordinal)).alias("o"), *ties)))
+
+
 def pick(df: DataFrame, keep: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """The columns `keep`, and the metrics that are included and not excluded; letters' case doesn't matter."""
     want = {x.lower() for x in include or []}
@@ -35,11 +43,11 @@ def long_metrics(wide: DataFrame, roi: str, ordinal: str) -> DataFrame:
     return rows.groupBy("roi", "metric").agg(F.max_by("value", ordinal).alias("value"))
 
 
-def keyed_metrics(long: DataFrame, ordinal: str) -> DataFrame:
-    """(roi, metric, value) of rows (roi, metric, [band], value): a band joins its metric's name; the last row of a key wins."""
+def keyed_metrics(long: DataFrame, ordinal: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(roi, metric, value) of rows (roi, metric, [band], value): a band joins its metric's name; the last row of a key wins (see `latest`)."""
     name = F.concat_ws("_", "metric", F.when(F.trim("band") != "", F.trim("band"))) if "band" in long.columns else F.col("metric")
-    rows = long.select("roi", name.alias("metric"), F.col("value").try_cast("double").alias("value"), ordinal)
-    return rows.groupBy("roi", "metric").agg(F.max_by("value", ordinal).alias("value"))
+    rows = long.select("roi", name.alias("metric"), F.col("value").try_cast("double").alias("value"), ordinal, *ties)
+    return rows.groupBy("roi", "metric").agg(latest("value", ordinal, ties).alias("value"))
 
 
 def band_of(metric: Column) -> Column:
@@ -70,12 +78,12 @@ def upper_triangle(matrix: DataFrame, row: str = "a") -> DataFrame:
     return rows.where((F.try_element_at(place, F.col("b")) > F.try_element_at(place, F.col(row))) & scalar.finite(F.col("w"))).select(F.col(row).alias("a"), "b", "w")
 
 
-def matrix_cells(edges: DataFrame, ordinal: str, directed: bool = False) -> DataFrame:
-    """(a, b, w): a matrix's cells from edges, the later one where a cell comes again; undirected edges fill both."""
-    rows = edges.select("a", "b", "w", ordinal)
+def matrix_cells(edges: DataFrame, ordinal: str, directed: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, w): a matrix's cells from edges, the later one where a cell comes again (see `latest`); undirected edges fill both."""
+    rows = edges.select("a", "b", "w", ordinal, *ties)
     if not directed:
-        rows = rows.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", ordinal))
-    return rows.groupBy("a", "b").agg(F.max_by("w", ordinal).alias("w"))
+        rows = rows.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", ordinal, *ties))
+    return rows.groupBy("a", "b").agg(latest("w", ordinal, ties).alias("w"))
 
 
 def triangle_stats(cells: DataFrame) -> DataFrame:

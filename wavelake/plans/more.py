@@ -86,6 +86,11 @@ def epoch_means(spark, sf_dir):
     return r6(ep.groupBy(F.lower("channel").alias("channel")).agg(F.avg("e").alias("mean_power"), F.count(F.lit(1)).alias("n_epochs")), "mean_power")
 
 
+def place():
+    """A row's place in its table, by which ties of a line's number (some come twice) are settled: the first one stays, as in SQL over one run of rows."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+
+
 def roi_metrics(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_brand").alias("roi"), "p_partkey", F.col("p_size").cast("string").alias("size_alpha"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("price_beta_2"))
     long = matrices.long_metrics(p, "roi", "p_partkey")
@@ -93,13 +98,13 @@ def roi_metrics(spark, sf_dir):
 
 
 def roi_banded(spark, sf_dir):
-    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("roi"), F.lit("coherence").alias("metric"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("band"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return matrices.keyed_metrics(p, "ord").withColumn("kind", matrices.kind_of(F.col("metric")))
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("roi"), F.lit("coherence").alias("metric"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("band"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), *place())
+    return matrices.keyed_metrics(p, "ord", ties=("file", "row")).withColumn("kind", matrices.kind_of(F.col("metric")))
 
 
 def matrix_cells(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 12).alias("a"), (F.col("l_partkey") % 12).alias("b"), F.col("l_extendedprice").alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")).where("a < b")
-    return matrices.matrix_cells(li, "ord")
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 12).alias("a"), (F.col("l_partkey") % 12).alias("b"), F.col("l_extendedprice").alias("w"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), *place()).where("a < b")
+    return matrices.matrix_cells(li, "ord", ties=("file", "row"))
 
 
 def triangle_stats(spark, sf_dir):
