@@ -48,3 +48,21 @@ def test_ties_of_cells_take_the_first_row(spark, tmp_path):
     assert {(r["a"], r["b"]): r["w"] for r in more.matrix_cells(spark, str(tmp_path)).collect()} == {(0, 1): 5.0, (1, 0): 5.0, (2, 3): 4.0, (3, 2): 4.0}
     loose = spark.createDataFrame([("a", "b", 1.0, 1), ("a", "b", 2.0, 2), ("a", "b", None, 3)], "a string, b string, w double, ord int")
     assert {r["w"] for r in matrices.matrix_cells(loose, "ord").collect()} == {2.0}
+
+
+def test_marks_after_the_last_sample_dont_widen_all_records(spark, tmp_path):
+    from wavelake.sources import edf, records
+
+    rec = spark.range(4000).select(F.lit("a").alias("recording"), F.lit("C3").alias("channel"), F.lit(10.0).alias("fs"), F.col("id").alias("n"), (F.col("id") % 7).cast("double").alias("v"))
+    marks = spark.range(6000).select(F.lit("a").alias("recording"), (F.col("id") / 4).alias("onset"), F.lit(0.5).alias("duration"), F.concat(F.lit("m"), F.col("id")).alias("text"))
+    records.write(rec, str(tmp_path), "edf", marks.unionByName(marks.where("text = 'm5000'")))
+    assert (tmp_path / "a.edf").stat().st_size < 500_000  # tens of MB if the last record keeps all marks after it
+    got = sorted((r["onset"], r["duration"], r["text"]) for r in records.read(spark, str(tmp_path), "events").collect())
+    assert got == sorted([(i / 4, 0.5, f"m{i}") for i in range(6000)] + [(1250.0, 0.5, "m5000")])
+    few = marks.where("onset < 400 and text like '%7'")
+    records.write(rec, str(tmp_path / "few"), "edf", few)
+    data = (tmp_path / "few" / "a.edf").read_bytes()
+    head = edf.header(data)
+    per = 2 * sum(s["samples"] for s in head["signals"])
+    held = [edf.annotations(data[head["bytes"] + r * per + 2 * head["signals"][0]["samples"] : head["bytes"] + (r + 1) * per]) for r in range(head["records"])]
+    assert all(int(t) == r for r, m in enumerate(held) for t, _, _ in m) and sum(map(len, held)) == few.count()

@@ -37,10 +37,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from ..operators import scans
 from . import brainvision, edf
 
 SAMPLES = "recording string, channel string, fs double, n long, v double"
@@ -519,6 +520,26 @@ def number(x) -> F.Column:
     return F.regexp_replace(F.format_string("%.6f", x), r"\.?0+$", "")
 
 
+def dealt_marks(marks: DataFrame, least: int = 1 << 10) -> DataFrame:
+    """marks with the record that keeps each: its own one, unless one record would hold over `least` bytes and four times the mean.
+
+    All records of a file are as wide as the widest list of marks, so marks that crowd (those after the last sample all
+    belong to the last record) would make a file of records times marks. In such a recording they are dealt to all
+    records by their running bytes in time order, found in spans of onsets and summed over spans; readers take a mark's
+    time from itself.
+    """
+    rows = marks.withColumns({"_bytes": F.octet_length("mark").cast("long"), "_chunk": scans.chunk_of("onset", scans.SECONDS)})
+    full = rows.groupBy("recording", "record").agg(F.sum("_bytes").alias("b"), F.max("records").alias("r")).groupBy("recording").agg(F.max("b").alias("most"), F.sum("b").alias("all"), F.max("r").alias("r"))
+    share = F.ceil(F.col("all") / F.col("r"))
+    full = full.select("recording", share.alias("_share"), (F.col("most") > F.greatest(F.lit(least), 4 * share)).alias("_crowded"))
+    earlier = Window.partitionBy("recording").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("recording", "_chunk").agg(F.sum("_bytes").alias("b")).select("recording", "_chunk", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("recording", "_chunk").orderBy("onset", "duration", "t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_before", F.sum("_bytes").over(within) - F.col("_bytes")).join(starts, ["recording", "_chunk"]).join(full, "recording")
+    spread = F.least(F.floor((F.col("_start") + F.col("_before")) / F.col("_share")), F.col("records") - 1)
+    return rows.withColumn("record", F.when(F.col("_crowded"), spread).otherwise(F.col("record"))).drop("_bytes", "_chunk", "_start", "_before", "_share", "_crowded")
+
+
 def placed(rec: DataFrame, events: DataFrame | None, kind: str = "edf", record_seconds: float | None = 1.0, limits: tuple[float, float] | None = None, padding: float = 0.05, block: int = 1 << 14) -> DataFrame:
     """Rows for the writer, from (recording, channel, fs, n, v): a head, then cells of channels and lists of marks by place.
 
@@ -555,7 +576,8 @@ def placed(rec: DataFrame, events: DataFrame | None, kind: str = "edf", record_s
         own = events.join(heads.select("recording", "records", "seconds"), "recording").where(~F.isnan("onset") & F.col("onset").isNotNull()).withColumn("t", text).where("t <> ''")
         record = F.least(F.greatest(F.floor(F.col("onset") / F.col("seconds")), F.lit(0)), F.col("records") - 1)
         mark = F.concat(F.when(F.col("onset") < 0, "").otherwise("+"), number(F.col("onset")), F.when(F.col("duration") > 0, F.concat(F.lit("\x15"), number(F.col("duration")))).otherwise(""), F.lit("\x14"), F.col("t"), F.lit("\x14\x00"))
-        marks = own.withColumn("record", record).groupBy("recording", "record", "seconds").agg(F.array_sort(F.collect_list(F.struct("onset", "duration", "t", mark.alias("mark")))).alias("m"))
+        marks = dealt_marks(own.select("recording", "records", "seconds", "onset", "duration", "t", mark.alias("mark"), record.alias("record")))
+        marks = marks.groupBy("recording", "record", "seconds").agg(F.array_sort(F.collect_list(F.struct("onset", "duration", "t", "mark"))).alias("m"))
         stamp = F.concat(F.lit("+"), number(F.col("record") * F.col("seconds")), F.lit("\x14\x14\x00"))
         texts = marks.withColumn("tal", F.concat(stamp, F.array_join("m.mark", "")))
         # every record tells its time; those of marks only once
