@@ -46,33 +46,41 @@ def forward_filled(rows: DataFrame, by: list[str], order: str, value: str, start
     return out.withColumn(value, F.coalesce("_own", "_carry", F.lit(start))).drop("_chunk", "_own", "_carry", "_bc", *(f"_b{i}" for i in range(len(by))))
 
 
-def local_runs(rows: DataFrame, by: list[str], order: str, label: str, size: float = PLACES) -> tuple[DataFrame, DataFrame]:
-    """rows with (_chunk, _island), and runs of equal labels within chunks: (by, _chunk, _island, label, first, last, n, run), `run` the first place of the whole run."""
+def local_runs(rows: DataFrame, by: list[str], order: str, label: str, size: float = PLACES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows with (_chunk, _island), and runs of equal labels within chunks: (by, _chunk, _island, label, first, last, n, run), `run` the first place of the whole run; those at a chunk's edges and those inside apart.
+
+    One order by place gives all of it: a run ends before the row where the next begins. Aggregates by run would hold
+    the runs of a task, and a second order by label its rows, once more.
+    """
     rows = rows.withColumn("_chunk", chunk_of(order, size))
-    a, b = Window.partitionBy(*by, "_chunk").orderBy(order), Window.partitionBy(*by, "_chunk", label).orderBy(order)
-    rows = rows.withColumn("_island", F.row_number().over(a) - F.row_number().over(b))
-    local = rows.groupBy(*by, "_chunk", label, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy(*by, "_chunk")
-    local = local.withColumn("_edge", (F.col("first") == F.min("first").over(inside)) | (F.col("first") == F.max("first").over(inside)))
+    a, whole = Window.partitionBy(*by, "_chunk").orderBy(order), Window.partitionBy(*by, "_chunk")
+    begins = (F.col("_row") == 1) | ~F.lag(label).over(a).eqNullSafe(F.col(label))
+    placed = rows.withColumns({"_row": F.row_number().over(a).cast("long"), "_was": F.lag(order).over(a)}).withColumn("_begins", begins)
+    marked = placed.withColumn("_island", F.sum(F.col("_begins").cast("int")).over(a.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = marked.withColumns({"_all": F.count(F.lit(1)).over(whole), "_top": F.max(order).over(whole)}).where("_begins")
+    heads = heads.withColumns({"_next": F.lead("_row").over(a), "_last": F.lead("_was").over(a)})
+    n = F.coalesce("_next", F.col("_all") + 1) - F.col("_row")
+    edge = (F.col("_row") == 1) | F.col("_next").isNull()
+    local = heads.select(*by, "_chunk", label, "_island", F.col(order).alias("first"), F.coalesce("_last", "_top").alias("last"), n.alias("n"), edge.alias("_edge"))
     # an edge goes on with the one before it if that is the last of the chunk before and has the same label
     w = Window.partitionBy(*by).orderBy("first")
     edges = local.where("_edge").withColumn("_new", ~F.coalesce(F.lag("_chunk").over(w) != F.col("_chunk"), F.lit(False)) | ~F.lag(label).over(w).eqNullSafe(F.col(label)))
     edges = edges.withColumn("run", F.last(F.when(F.col("_new"), F.col("first")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = edges.drop("_new").unionByName(local.where("not _edge").withColumn("run", F.col("first"))).drop("_edge")
-    return rows, out
+    return marked.drop("_row", "_was", "_begins"), edges.drop("_new", "_edge"), local.where("not _edge").withColumn("run", F.col("first")).drop("_edge")
 
 
 def runs(rows: DataFrame, by: list[str], order: str, label: str, size: float = PLACES) -> DataFrame:
     """(by, label, first, last, n): runs of equal labels at consecutive places."""
-    local = local_runs(rows, by, order, label, size)[1]
-    return local.groupBy(*by, label, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("run")
+    _, edges, inner = local_runs(rows, by, order, label, size)
+    joined = edges.groupBy(*by, label, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("run")
+    return joined.unionByName(inner.select(*joined.columns))
 
 
 def with_runs(rows: DataFrame, by: list[str], order: str, label: str, size: float = PLACES) -> DataFrame:
     """rows with `run`, the first place of the run of equal labels that each belongs to."""
-    marked, local = local_runs(rows, by, order, label, size)
+    marked, edges, inner = local_runs(rows, by, order, label, size)
     keys = [*by, "_chunk", "_island", label]
-    names = local.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(keys)), "run")
+    names = edges.unionByName(inner).select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(keys)), "run")
     same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(keys)]
     return marked.join(names, same).drop("_chunk", "_island", *(f"_b{i}" for i in range(len(keys))))
 
