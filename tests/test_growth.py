@@ -66,3 +66,45 @@ def test_marks_after_the_last_sample_dont_widen_all_records(spark, tmp_path):
     per = 2 * sum(s["samples"] for s in head["signals"])
     held = [edf.annotations(data[head["bytes"] + r * per + 2 * head["signals"][0]["samples"] : head["bytes"] + (r + 1) * per]) for r in range(head["records"])]
     assert all(int(t) == r for r, m in enumerate(held) for t, _, _ in m) and sum(map(len, held)) == few.count()
+
+
+def test_runs_take_one_order_and_no_aggregate_of_the_rows(spark):
+    from wavelake.operators import scans
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("n"), F.when(F.col("id") % 14 < 8, F.floor(F.col("id") / 40)).alias("label"))
+    _, edges, inner = scans.local_runs(rows, ["k"], "n", "label", 64)
+    text = plan(inner)
+    assert text.count("Sort [") == 1 and "HashAggregate" not in text and plan(edges).count("_chunk") > 0
+    got = sorted((r["k"], r["first"], r["last"], r["n"]) for r in scans.runs(rows, ["k"], "n", "label", 64).collect())
+    want = []
+    for k in (0, 1):
+        for n in range(1500):
+            i = 2 * n + k
+            x = i // 40 if i % 14 < 8 else None
+            if n and x == was:
+                want[-1] = (k, want[-1][1], n, want[-1][3] + 1)
+            else:
+                want.append((k, n, n, 1))
+            was = x
+    assert got == sorted(want)
+
+
+def test_replay_holds_a_batch_not_a_session(spark):
+    from wavelake.streaming import feedback
+
+    o = feedback.Settings(baseline_sec=2.0, eta=0.3, rate_frames=5)
+    rows = [(s, n / 4, float((n * 37 + i) % 101), n % 11 == 0) for i, s in enumerate(("a", "b", None)) for n in range(700)]
+    df = spark.createDataFrame(rows, "session string, t double, metric double, artifact boolean").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = feedback.replay(df, o)
+        assert "MapInPandas" in plan(out) and "FlatMapGroups" not in plan(out)
+        got = sorted(((r["session"] or "", *tuple(r)[1:]) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    state, want = {}, []
+    for s, t, m, bad in rows:
+        step = feedback.step(state.setdefault(s, feedback.State()), t, m, bad, o)
+        want += [(s or "", t, *step)] if step else []
+    assert got == sorted(want)

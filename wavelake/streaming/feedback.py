@@ -158,12 +158,21 @@ def run(session: str, frames: pd.DataFrame, state: State, o: Settings) -> pd.Dat
 
 
 def replay(frames: DataFrame, o: Settings) -> DataFrame:
-    """A batch table (session, t, metric, artifact), one session a task at a time."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(key[0], pdf, State(), o)
-
-    return frames.groupBy("session").applyInPandas(one, SCHEMA)
+    """A batch table (session, t, metric, artifact); a task walks its sessions in time order batch by batch, so it holds a batch and one state."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state, begun = None, State(), False
+        for batch in batches:
+            new = (batch["session"].ne(batch["session"].shift()) & ~(batch["session"].isna() & batch["session"].shift().isna())).cumsum()
+            for _, part in batch.groupby(new, sort=False):
+                name = part["session"].iloc[0]
+                name = None if pd.isna(name) else name
+                if not begun or name != session:
+                    session, state, begun = name, State(), True
+                yield run(session, part[["t", "metric", "artifact"]], state, o)
+
+    rows = frames.select("session", "t", "metric", "artifact")
+    return rows.repartition("session").sortWithinPartitions("session", "t").mapInPandas(walk, SCHEMA)
 
 
 def counters(frames: DataFrame, rows: DataFrame, o: Settings) -> DataFrame:
