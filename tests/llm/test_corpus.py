@@ -532,6 +532,30 @@ def test_chaining_covers_exact_runs_and_finds_edited_ones(spark):
     assert recall[0.05] == 1 and recall[0.1] > 0.95 and recall[0.15] > 0.7
 
 
+def test_chaining_reports_every_shift_and_every_reference(spark):
+    rng = random.Random(21)
+    line, other, tail = words(rng, 12, 10**6), words(rng, 30, 10**6), words(rng, 120, 10**6)
+    rows = [(0, words(rng, 60, 10**6) + line * 5 + words(rng, 60, 10**6)), (1, words(rng, 50, 10**6) + line * 9 + words(rng, 50, 10**6))]
+    # a copy with a miss or two after every few words agrees by a slowly sinking score, however its slices are cut
+    slow = [w if i % 4 else f"y{i}" for i, w in enumerate(tail)]
+    rows += [(2, words(rng, 60, 10**6) + other + other[::-1] + tail), (3, words(rng, 70, 10**6) + other + other[::-1] + slow)]
+    found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+    mine = found[(found.doc_id == 1) & (found.identity == 1)]
+    want = {(50 + 12 * i, 50 + 12 * i + min(60, 108 - 12 * i), 60) for i in range(6)}  # the line's copies here against those there
+    got = set(zip(mine.start, mine.end, mine.ref_start, strict=True))
+    assert want <= got, (sorted(want - got), sorted(got))
+    one = found[found.doc_id == 3]
+    edges = [(r.start, r.end) for r in one.itertuples()]
+    score, top, best, wide = 0, 0, 0, 70 + 60
+    for i, (x, y) in enumerate(zip(rows[3][1][wide:], rows[2][1][wide - 10 :], strict=True)):
+        score += 1 if x == y else -2
+        if score > top:
+            top, best = score, i + 1
+        if score < top - 6:
+            break
+    assert edges == [(70, wide + best)], (edges, best)
+
+
 def test_chains_are_optimal_on_small_cases():
     rng = random.Random(10)
     for _ in range(60):
