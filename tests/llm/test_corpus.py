@@ -556,6 +556,21 @@ def test_chaining_reports_every_shift_and_every_reference(spark):
     assert edges == [(70, wide + best)], (edges, best)
 
 
+def test_chaining_keeps_text_hashes_beside_open_chains(spark):
+    rng = random.Random(31)
+    passage, part, tail = words(rng, 60, 10**6), words(rng, 90, 10**6), words(rng, 90, 10**6)
+    # past the part, the copy agrees beyond its slices and has no seed, so this chain is read again beside one that is done
+    slow = [w if i % 4 else f"y{i}" for i, w in enumerate(tail)]
+    rows = [(0, words(rng, 40, 10**6) + passage + words(rng, 90, 10**6) + part + tail), (1, words(rng, 50, 10**6) + passage + words(rng, 70, 10**6) + part + slow)]
+    table = docs(spark, [(i, " ".join(w)) for i, w in rows])
+    found = chaining.find(table)
+    hashes = {r["doc_id"]: r["t"] for r in table.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    got = found.collect()
+    assert len(got) == 2 and all(r["text_hash"] == hashes[r["doc_id"]] for r in got)
+    left = {r["doc_id"]: r["text"] for r in chaining.without(table, found).collect()}
+    assert " ".join(passage) in left[0] and " ".join(passage) not in left[1]
+
+
 def test_chains_are_optimal_on_small_cases():
     rng = random.Random(10)
     for _ in range(60):
