@@ -556,6 +556,33 @@ def test_chaining_reports_every_shift_and_every_reference(spark):
     assert edges == [(70, wide + best)], (edges, best)
 
 
+def test_chaining_reports_the_good_parts_of_a_poor_alignment(spark):
+    rng = random.Random(33)
+
+    def edited(w, every):
+        return [x if i % every else f"y{rng.randrange(10**6)}" for i, x in enumerate(w)]
+
+    rows, want = [], {}
+    for case, gap in enumerate((26, 29)):  # exact runs of 50 words with as many other words between them in both texts
+        a, b = words(rng, 50, 10**6), words(rng, 50, 10**6)
+        rows += [(10 * case + i, words(rng, 30 + i, 10**6) + a + words(rng, gap, 10**6) + b + words(rng, 30, 10**6)) for i in range(2)]
+        want[10 * case + 1] = [(31, 81), (81 + gap, 131 + gap)]
+    a, tail = words(rng, 60, 10**6), words(rng, 600, 10**6)  # a run before a long text that is too unlike
+    rows += [(30, a + tail), (31, words(rng, 40, 10**6) + a + edited(tail, 4))]
+    a, b = words(rng, 45, 10**6), words(rng, 45, 10**6)  # words left out between, with other words
+    rows += [(40, a + words(rng, 28, 10**6) + b), (41, words(rng, 9, 10**6) + a + words(rng, 22, 10**6) + b)]
+    want[41] = [(9, 54), (76, 121)]
+    found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+    for i, spans in want.items():
+        assert sorted(zip(found[found.doc_id == i].start, found[found.doc_id == i].end, strict=True)) == spans, (i, found[found.doc_id == i])
+    assert any(r.start <= 40 and r.end >= 100 for r in found[found.doc_id == 31].itertuples())
+    by = dict(rows)
+    for r in found.itertuples():
+        assert r.identity >= 0.8 and r.end - r.start >= 40
+        if r.identity == 1:
+            assert by[r.doc_id][r.start : r.end] == by[r.ref_id][r.ref_start : r.ref_end]
+
+
 def test_chaining_keeps_text_hashes_beside_open_chains(spark):
     rng = random.Random(31)
     passage, part, tail = words(rng, 60, 10**6), words(rng, 90, 10**6), words(rng, 90, 10**6)
