@@ -378,6 +378,35 @@ def test_join_in_deep_nodes(spark):
     assert sum(c != i for i, c in got.items()) <= len(pairs)
 
 
+def test_join_leaves_large_groups_early(spark, monkeypatch):
+    """A large group of near copies beside texts that share much with it but aren't alike: the rows of its walk stay few, and no group is missed."""
+    rng = random.Random(23)
+    base = words(rng, 120, 10**6)
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(w)
+    apart = [base[:80] + words(rng, 40, 10**6) for _ in range(6)]  # alike to the group by about a half
+    texts += apart + [[*w[:-1], "other"] for w in apart]
+    sketches = [(i, bytearray(chosen_path.planes(chosen_path.sketch(chosen_path.shingle_set(" ".join(w), 5))))) for i, w in enumerate(texts)]
+    made = {}
+
+    def counted(df, name, f=chosen_path.written):
+        out = f(df, name)
+        made[name] = made.get(name, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(chosen_path, "written", counted)
+    got = {r["node"]: r["component"] for r in chosen_path.candidates(spark.createDataFrame(sketches, "cls long, sketch binary"), 0.8, 0.99, small=16, depth=6).collect()}
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(alike) > 1000 and sum(got.get(i) == got.get(j) for i, j in alike) >= 0.99 * len(alike)
+    print("rows made", made)
+    assert made["links"] <= 16 * len(texts) and made["nodes"] <= 120 * len(texts), made
+
+
 def test_codec_is_viterbi_and_lossless(spark):
     pieces, scores, trie = unigram_codec.Codec.load(PIECES)
     codec = unigram_codec.Codec(pieces, scores, trie)

@@ -14,7 +14,9 @@ the levels of a large cluster of such shrink.
 What is far from the drawn class (`loose` below what could be alike to a class that is linked to it) goes on apart from
 what is linked to it, and classes between go on with both. Linked classes are one group from then on, and nodes whose
 classes are all of one group are passed over: so a large group of copies is left as soon as nothing that may still join
-it is about. One run of little depth goes before the others, whose groups hold for them. A class that is within
+it is about. A larger node of one group and at most `small` classes beside it ends there: those are compared with all of
+the group, which is dealt out in parts of about `small`, each with all of them. Links inside a group are not given
+again. One run of little depth goes before the others, whose groups hold for them. A class that is within
 1 - `same` of a class that stays is left out of later runs altogether; its links are those of its representative, found
 at the looser similarity.
 
@@ -124,7 +126,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             own, first = sketches(batch["sketch"]), sketches(batch["first_sketch"])
             grp, cls, lead, path = batch["grp"].to_numpy(np.int64), batch["cls"].to_numpy(np.int64), batch["first"].to_numpy(np.int64), batch["path"].to_numpy(np.int64).view(np.uint64)
             alike = (own == first).mean(1)
-            at = np.flatnonzero((alike >= limit) & (cls != lead))
+            at = np.flatnonzero((alike >= limit) & (grp != batch["first_grp"].to_numpy(np.int64)))
             yield pd.DataFrame({"path": 0, "cls": cls[at], "grp": 0, "b": pd.array(lead[at], "Int64"), "same": alike[at] >= same})
             joined = np.where(alike >= limit, batch["first_grp"].to_numpy(np.int64), grp)
             # a class alike to a linked one is within 1 - threshold of it; the margin is a sketch's error
@@ -146,13 +148,17 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             yield pairs(rest)
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of each node's similar pairs, and each class's first nearly equal one: at most two links a row."""
+        """A forest of each node's similar pairs that joins its groups, and each class's first nearly equal one that isn't of its group: at most two links a row."""
         n = len(rows)
         if n < 2:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "same": np.zeros(0, bool)})
-        path, cls, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), briefs(rows["brief"])
-        left, right, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n)
-        for d in range(1, small):
+        path, cls, grp, tokens = rows["path"].to_numpy(np.int64), rows["cls"].to_numpy(np.int64), rows["grp"].to_numpy(np.int64), briefs(rows["brief"])
+        order = np.lexsort((grp, path))
+        new = np.append(True, (np.diff(path[order]) != 0) | (np.diff(grp[order]) != 0))
+        head = np.empty(n, np.int64)  # the first row of the same group in the node
+        head[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+        left, right, lead = [np.arange(n)], [head], np.arange(n)
+        for d in range(1, n):
             at = np.flatnonzero(path[:-d] == path[d:])
             if not len(at):
                 break
@@ -160,7 +166,7 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             hit = at[alike >= limit]
             left.append(hit)
             right.append(hit + d)
-            equal = at[alike >= same]
+            equal = at[(alike >= same) & (grp[at] != grp[at + d])]
             lead[equal + d] = equal  # rows of a node are sorted by class, so the farthest is the least
         i, j, root = np.concatenate(left), np.concatenate(right), np.arange(n)
         while True:
@@ -171,9 +177,15 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             if (new == root).all():
                 break
             root = new
-        tied, equal = np.flatnonzero(root != np.arange(n)), np.flatnonzero(lead != np.arange(n))
+        tied, equal = np.flatnonzero((root != np.arange(n)) & (head == np.arange(n))), np.flatnonzero(lead != np.arange(n))
         return pd.DataFrame({"a": np.concatenate([cls[tied], cls[equal]]), "b": np.concatenate([cls[root[tied]], cls[lead[equal]]]), "same": np.arange(len(tied) + len(equal)) >= len(tied)})
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Nodes of one group and few classes beside it, as nodes of about `small` classes of the group and all of the others."""
+        own = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
+        part = F.explode(F.when(F.col("grp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("nb") - 1)))
+        return rows.select(F.col("path").alias("node"), "cls", "grp", part.alias("part")).select(F.xxhash64("node", "part").alias("path"), "cls", "grp")
+
     def met(active: DataFrame, runs: range, depth: int, whole: bool) -> list[DataFrame]:
         """The links (a, b, same) of some runs; whole: nodes that are still large in the end are linked too."""
         out, level = [], active.select("cls", "sketch", "grp").mapInPandas(lambda x: roots(x, runs), "path long, cls long, grp long")
@@ -181,11 +193,17 @@ def candidates(classes: DataFrame, threshold: float, recall: float, small: int =
             rows = kept(level, "paths")
             nodes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").drop("g0", "g1")
             shared = kept(rows.join(nodes, "path"), "nodes")
-            few = shared.where(F.col("n") <= small).select("path", "cls").join(active.select("cls", F.substring("sketch", 1, SIZE).alias("brief")), "cls")
-            # the sort follows the exchange, so the nodes of a partition come one after another; none has more than `small` rows
+            few, many = shared.where(F.col("n") <= small).select("path", "cls", "grp"), shared.where(F.col("n") > small).select("path", "cls", "grp")
+            rest = not many.isEmpty()
+            if rest:
+                most = many.groupBy("path", "grp").agg(F.count(F.lit(1)).alias("m")).groupBy("path").agg(F.sum("m").alias("n"), F.max_by("grp", "m").alias("top"), F.max("m").alias("m"))
+                most = most.where(F.col("n") - F.col("m") <= small).select("path", "top", F.ceil(F.col("m") / small).cast("int").alias("nb"))
+                marked = kept(many.join(most, "path", "left"), "marked")
+                few, many = few.unionByName(dealt(marked.where("nb is not null"))), marked.where("nb is null").select("path", "cls", "grp")
+            few = few.join(active.select("cls", F.substring("sketch", 1, SIZE).alias("brief")), "cls")
+            # the sort follows the exchange, so the nodes of a partition come one after another; none has more than about twice `small` rows
             out.append(kept(few.repartition("path").sortWithinPartitions("path", "cls").mapInPandas(compare, "a long, b long, same boolean"), "links"))
-            many = shared.where(F.col("n") > small).select("path", "cls", "grp")
-            if many.isEmpty():
+            if not rest or many.isEmpty():
                 return out
             large = kept(many.join(active.select("cls", "sketch"), "cls").select("path", "cls", "grp", "sketch"), "large")
             lead = large.groupBy("path").agg(F.min_by(F.struct(F.col("cls").alias("first"), F.col("grp").alias("first_grp"), F.col("sketch").alias("first_sketch")), F.xxhash64("path", "cls")).alias("l")).select("path", "l.*")
