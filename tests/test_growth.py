@@ -31,6 +31,39 @@ def test_gate_has_frames_up_to_the_last_sample(spark):
     assert "BroadcastExchange" not in plan(online.dealt(rec, 50, 25))
 
 
+def test_coupling_measures_each_frame_once_and_together(spark):
+    from wavelake.operators import kernels
+
+    rng = np.random.default_rng(8)
+    x = np.sin(np.arange(1500) / 3.0) + rng.normal(size=1500)
+    rec = spark.createDataFrame([("a", n, float(v)) for n, v in enumerate(x)] + [("b", n, float("nan") if n == 700 else float(v)) for n, v in enumerate(x)] + [("c", n, 0.0) for n in range(200)], "channel string, n long, v double")
+    frames = online.frames(rec, 160, 64)
+    out = online.coupling_summary(frames, 128.0, (4.0, 8.0), (20.0, 40.0))
+    assert "EvalPython" not in plan(out)  # four passes measured every frame again
+    one = {e: pac_by_hand(x[e - 160 : e]) for e in (r["end_n"] for r in frames.where("channel = 'a'").collect())}
+    got = {r["channel"]: r for r in out.collect()}
+    clean = [v for e, v in one.items() if not e - 160 <= 700 < e]  # a frame with a sample that isn't finite has no index
+    for c, want in (("a", list(one.values())), ("b", clean)):
+        mi = np.array([m for m, _ in want])
+        assert got[c]["n_frames"] == len(want) and np.allclose([got[c]["mean"], got[c]["median"], got[c]["min"], got[c]["max"]], [mi.mean(), np.median(mi), mi.min(), mi.max()])
+        assert np.allclose(got[c]["distribution"], np.mean([p for _, p in want], 0))
+    assert len(clean) < len(one) and np.allclose(got["c"]["distribution"], 1 / 18) and abs(got["c"]["mean"]) < 1e-12
+    mi, mvl, p = kernels.pac_rows(np.stack([x[:160], x[5:165]]), 128.0, (4.0, 8.0), (20.0, 40.0))
+    each = [kernels.pac(v, 128.0, (4.0, 8.0), (20.0, 40.0)) for v in (x[:160], x[5:165])]
+    assert np.allclose(mi, [e["mi"] for e in each]) and np.allclose(mvl, [e["mvl"] for e in each]) and np.allclose(p, [e["bins"] for e in each])
+
+
+def pac_by_hand(x, bins=18):
+    from wavelake.operators import kernels
+
+    cut = kernels.trimmed(len(x), 0.1)
+    angle, amp = (f(kernels.analytic(kernels.bandpass(x, 128.0, *band)))[cut] for f, band in ((np.angle, (4.0, 8.0)), (np.abs, (20.0, 40.0))))
+    at = np.minimum(((angle + np.pi) / (2 * np.pi) * bins).astype(int), bins - 1)
+    mean = np.array([amp[at == i].astype(float).mean() if (at == i).any() else 0.0 for i in range(bins)])
+    p = mean / mean.sum()
+    return 1 + (p[p > 0] * np.log(p[p > 0])).sum() / np.log(bins), p
+
+
 def test_epochs_are_not_broadcast(spark):
     rec = spark.range(5000).select(F.lit("a").alias("channel"), F.col("id").alias("n"), F.col("id").cast("double").alias("v"))
     on = rec.agg(F.max("n").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).toDF("event_id").withColumn("onset", F.col("event_id") * 0.01)

@@ -114,17 +114,19 @@ def coherence(x: np.ndarray, y: np.ndarray, fs: float, nperseg: int, overlap: fl
 
 
 def bandpass(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
+    """Of a signal, or of rows of one length."""
     stages = ([biquad("highpass", fs, lo, np.sqrt(0.5))] if lo > 0 else []) + ([biquad("lowpass", fs, hi, np.sqrt(0.5))] if 0 < hi < fs / 2 else [])
-    return zero_phase(x, stages)
+    return (zero_phase_rows if np.ndim(x) == 2 else zero_phase)(x, stages)
 
 
 def analytic(x: np.ndarray) -> np.ndarray:
-    """The analytic signal, padded to a power of two and cut back."""
-    n = 1 << max(0, len(x) - 1).bit_length()
+    """The analytic signal, padded to a power of two and cut back; of a signal, or of rows of one length."""
+    size = np.shape(x)[-1]
+    n = 1 << max(0, size - 1).bit_length()
     f = np.fft.fft(x, n)
-    f[1 : n // 2] *= 2
-    f[n // 2 + 1 :] = 0
-    return np.fft.ifft(f)[: len(x)]
+    f[..., 1 : n // 2] *= 2
+    f[..., n // 2 + 1 :] = 0
+    return np.fft.ifft(f)[..., :size]
 
 
 def trimmed(n: int, part: float) -> slice:
@@ -166,16 +168,28 @@ def phase_pairs(packed: DataFrame, fs: float, lo: float, hi: float, trim: float
 
 def pac(x: np.ndarray, fs: float, phase: tuple[float, float], amplitude: tuple[float, float], bins: int = 18, trim: float = 0.1) -> dict:
     """Modulation index, mean vector length and amplitude by phase bin."""
-    cut = trimmed(len(x), trim)
-    angle = np.angle(analytic(bandpass(x, fs, *phase)))[cut]
-    amp = np.abs(analytic(bandpass(x, fs, *amplitude)))[cut]
-    at = np.minimum(((angle + np.pi) / (2 * np.pi) * bins).astype(int), bins - 1)
-    n = np.bincount(at, minlength=bins)
-    mean = np.bincount(at, amp, bins) / np.maximum(n, 1)
-    p = mean / mean.sum() if mean.sum() > 0 else np.full(bins, 1 / bins)
-    h = -(p[p > 0] * np.log(p[p > 0])).sum()
-    total = amp.sum()
-    return {"mi": float((np.log(bins) - h) / np.log(bins)), "mvl": float(np.abs((amp * np.exp(1j * angle)).sum()) / total) if total > 1e-12 else 0.0, "bins": p}
+    mi, mvl, p = pac_rows(np.asarray(x, float)[None], fs, phase, amplitude, bins, trim)
+    return {"mi": float(mi[0]), "mvl": float(mvl[0]), "bins": p[0]}
+
+
+def pac_rows(x: np.ndarray, fs: float, phase: tuple[float, float], amplitude: tuple[float, float], bins: int = 18, trim: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As pac, of rows of one length at once: (index, length, amplitude by phase bin), NaN for rows that aren't finite."""
+    cut = trimmed(x.shape[1], trim)
+    angle = np.angle(analytic(bandpass(x, fs, *phase))[:, cut])
+    amp = np.abs(analytic(bandpass(x, fs, *amplitude))[:, cut])
+    ok = np.isfinite(angle).all(1) & np.isfinite(amp).all(1)
+    angle, amp = angle[ok], amp[ok]
+    at = np.minimum(((angle + np.pi) / (2 * np.pi) * bins).astype(int), bins - 1) + bins * np.arange(len(angle))[:, None]
+    n = np.bincount(at.ravel(), minlength=bins * len(angle)).reshape(-1, bins)
+    mean = np.bincount(at.ravel(), amp.ravel(), bins * len(angle)).reshape(-1, bins) / np.maximum(n, 1)
+    whole = mean.sum(1, keepdims=True)
+    p = np.where(whole > 0, mean / np.where(whole > 0, whole, 1.0), 1 / bins)
+    h = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)
+    total = amp.sum(1)
+    mi, mvl, shares = np.full(len(x), np.nan), np.full(len(x), np.nan), np.full((len(x), bins), np.nan)
+    mi[ok], shares[ok] = (np.log(bins) - h) / np.log(bins), p
+    mvl[ok] = np.where(total > 1e-12, np.abs((amp * np.exp(1j * angle)).sum(1)) / np.where(total > 1e-12, total, 1.0), 0.0)
+    return mi, mvl, shares
 
 
 def pac_of(x: Column, fs: float, phase: tuple[float, float], amplitude: tuple[float, float]) -> Column:

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, specs
 from ..operators import kernels, recordings, scans, selection
+from ..sources import shared
 
 EPS = 1e-12
+#: Samples that are measured at once.
+BLOCK = 1 << 18
 
 
 def sizes(fs: float, window: float, update: float, clamp: bool = True) -> tuple[int, int]:
@@ -176,14 +179,25 @@ def pac_frames(frames: DataFrame, fs: float, phase: tuple[float, float], amplitu
 def coupling_summary(frames: DataFrame, fs: float, phase: tuple[float, float], amplitude: tuple[float, float], bins: int = 18) -> DataFrame:
     """(channel, n_frames, mean, median, min, max, distribution): the modulation index over a channel's finite frames, and the mean of their amplitude shares by phase bin.
 
-    A frame's shares are summed by bin before the shuffle, so what meets by channel is a number for each bin.
+    Frames of one length are measured together, and all once: the index and the shares of a frame are written to the
+    shared folder for the passes over them. The shares are summed by bin before the shuffle, so what meets by channel
+    is a number for each bin.
     """
 
-    def one(x: np.ndarray) -> tuple:
-        r = kernels.pac(x, fs, phase, amplitude, bins)
-        return r["mi"], r["bins"].tolist()
+    def run(x: pd.Series) -> pd.DataFrame:
+        mi, shares = np.full(len(x), np.nan), np.full((len(x), bins), np.nan)
+        sizes = x.map(len).to_numpy()
+        for size in np.unique(sizes[sizes > 0]):
+            same, most = np.flatnonzero(sizes == size), max(1, BLOCK // int(size))
+            for i in range(0, len(same), most):
+                part = same[i : i + most]
+                mi[part], _, shares[part] = kernels.pac_rows(np.stack([np.asarray(x.iloc[j], float) for j in part]), fs, phase, amplitude, bins)
+        return pd.DataFrame({"mi": mi, "bins": list(shares)})
 
-    rows = frames.select("channel", measured1(one, "mi double, bins array<double>")("x").alias("r")).select("channel", "r.mi", "r.bins").where("mi is not null and not isnan(mi)")
+    run.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
+    measured = F.pandas_udf(run, "mi double, bins array<double>")
+    rows = frames.select("channel", measured("x").alias("r")).select("channel", "r.mi", "r.bins")
+    rows = shared.written(rows, "coupling").where("mi is not null and not isnan(mi)")
     middle = selection.quantiles(rows, ["channel"], "mi", {"median": 0.5})
     sums = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n_frames"), F.avg("mi").alias("mean"), F.min("mi").alias("min"), F.max("mi").alias("max"))
     shares = rows.select("channel", F.posexplode("bins").alias("bin", "share")).groupBy("channel", "bin").agg(F.avg("share").alias("share"))
