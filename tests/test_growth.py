@@ -64,6 +64,21 @@ def pac_by_hand(x, bins=18):
     return 1 + (p[p > 0] * np.log(p[p > 0])).sum() / np.log(bins), p
 
 
+def test_robust_reference_takes_all_values(spark, monkeypatch):
+    from wavelake.operators import tables
+
+    rng = np.random.default_rng(5)
+    have = {"a": rng.normal(size=30_000), "b": rng.exponential(size=20_001), "c": np.array([1.0, 4.0, 2.0]), "d": np.array([3.0])}
+    rows = spark.createDataFrame([(g, "x", float(v)) for g, x in have.items() for v in x] + [("c", "x", float("nan")), ("c", "x", None)], "g string, band string, v double")
+    for exact in (recordings.EXACT_ROWS, 1000):  # both ways of the quantiles
+        monkeypatch.setattr(recordings, "EXACT_ROWS", exact)
+        got = {r["g"]: (r["mean"], r["std"], r["n"]) for r in tables.robust_reference(rows, ["g", "band"]).collect()}
+        assert set(got) == {"a", "b", "c"}
+        for g, (mean, std, n) in got.items():  # groups of over 20,000 values gave a sample's
+            middle = np.median(have[g])
+            assert n == len(have[g]) and abs(mean - middle) < 1e-12 and abs(std - 1.4826 * np.median(np.abs(have[g] - middle))) < 1e-9
+
+
 def test_epochs_are_not_broadcast(spark):
     rec = spark.range(5000).select(F.lit("a").alias("channel"), F.col("id").alias("n"), F.col("id").cast("double").alias("v"))
     on = rec.agg(F.max("n").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).toDF("event_id").withColumn("onset", F.col("event_id") * 0.01)

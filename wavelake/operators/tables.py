@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming, scalar
+from ..sources import shared
 from . import recordings
 
 
@@ -76,10 +77,14 @@ def reservoir(rows: DataFrame, by: list[str], key: list[str], most: int, seed: i
     return near.withColumn("_place", place).where(F.col("_place") <= most).select(*rows.columns)
 
 
-def robust_reference(values: DataFrame, by: list[str], key: list[str], most: int = 20_000, seed: int = 1337, least: int = 2) -> DataFrame:
-    """(by, mean, std, n) as `reference`, with the median and the robust scale of at most `most` sampled values of each group."""
-    sample = reservoir(values.where(scalar.finite(F.col("v"))), by, key, most, seed)
-    out = recordings.robust(sample, by, small=True).join(sample.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+def robust_reference(values: DataFrame, by: list[str], key: list[str] | None = None, most: int | None = None, seed: int = 1337, least: int = 2) -> DataFrame:
+    """(by, mean, std, n) as `reference`, with the median and the robust scale of all finite values of each group; only where a caller gives `most`, of a `reservoir` of so many.
+
+    The values are written to the shared folder once, for the rounds of the quantiles and the counts.
+    """
+    rows = values.where(scalar.finite(F.col("v")))
+    rows = shared.written((rows if most is None else reservoir(rows, by, key or [], most, seed)).select(*by, "v"), "values")
+    out = recordings.robust(rows, by, kept=True).join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
     return out.where((F.col("n") >= least) & (F.col("scale") > 0)).select(*by, F.col("median").alias("mean"), F.col("scale").alias("std"), "n")
 
 

@@ -117,8 +117,8 @@ def reservoir_sample(spark, sf_dir):
 def robust_reference(spark, sf_dir):
     """Median and scale of the frames' band powers of each channel."""
     f = online.band_frames(online.frames(signal(spark, sf_dir), SEG, HOP), FS, SEG, BANDS)
-    rows = f.select("channel", "band", "end_n", F.log10("power").alias("v"))
-    return r6(tables.robust_reference(rows, ["channel", "band"], ["end_n"]), "mean", "std")
+    rows = f.select("channel", "band", F.log10("power").alias("v"))
+    return r6(tables.robust_reference(rows, ["channel", "band"]), "mean", "std")
 
 
 def gates_once(spark, sf_dir):
