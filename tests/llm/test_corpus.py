@@ -612,6 +612,69 @@ def test_chaining_reports_the_good_parts_of_a_poor_alignment(spark):
             assert by[r.doc_id][r.start : r.end] == by[r.ref_id][r.ref_start : r.ref_end]
 
 
+def test_chaining_extends_over_words_left_out_and_put_in(spark, monkeypatch):
+    rng = random.Random(41)
+    rows, want = [], {}
+    for case in range(40):  # 22 equal words, and on either side four differences, each a word left out, put in or changed
+        w = words(rng, 60, 10**6)
+        copy = list(w)
+        for at in (56, 52, 48, 44, 17, 13, 9, 5):
+            how = rng.randrange(3)
+            copy[at : at + (how != 1)] = [] if how == 0 else [f"y{rng.randrange(10**6)}"]
+        rows += [(2 * case, words(rng, 30, 10**6) + w + words(rng, 30, 10**6)), (2 * case + 1, words(rng, 40, 10**6) + copy + words(rng, 35, 10**6))]
+        want[2 * case + 1] = (40, 40 + len(copy))
+    found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in rows])).toPandas()
+    by = dict(rows)
+    whole = {r.doc_id for r in found.itertuples() if r.start <= want[r.doc_id][0] + 5 and r.end >= want[r.doc_id][1] - 5}
+    assert len(whole) >= 32, len(whole)
+    for r in found.itertuples():  # every row's identity is at most what edit distance over its words gives
+        a, b = by[r.doc_id][r.start : r.end], by[r.ref_id][r.ref_start : r.ref_end]
+        number = {x: i for i, x in enumerate({*a, *b})}
+        exact = 1 - chaining.distance([number[x] for x in a], [number[x] for x in b]) / max(len(a), len(b))
+        assert 0.8 <= r.identity <= exact + 1e-9
+    # the extension against a whole table of scores
+    for case in range(400):
+        if case == 200:
+            monkeypatch.setattr(chaining, "NEAR", 3)  # nearly all words lie beyond those compared one by one
+        a = [rng.randrange(4) for _ in range(rng.randrange(18))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = [rng.randrange(4)] * rng.randrange(2)
+        best = np.full((len(a) + 1, len(b) + 1), -np.inf)
+        best[0, 0] = 0
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i and j:
+                    best[i, j] = best[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -2)
+                best[i, j] = max(best[i, j], best[i - 1, j] - 2.5 if i else -np.inf, best[i, j - 1] - 2.5 if j else -np.inf)
+        runs, more = chaining.extend(np.array(a, np.uint32), np.array(b, np.uint32), 10**6, (True, True))
+        score, p, q = 0.0, 0, 0
+        for x, y, z in runs:
+            score += sum(1 if u == v else -2 for u, v in zip(a[x:y], b[z : z + y - x], strict=True)) - 2.5 * abs((x - p) - (z - q)) - 2 * min(x - p, z - q)
+            assert x >= p and z >= q
+            p, q = y, z + y - x
+        assert abs(score - best.max()) < 1e-9 and not more
+
+
+def test_chaining_finds_edited_passages_of_pieces_seen_earlier(spark):
+    rng = random.Random(43)
+    for size, least in ((10, 0.85), (20, 0.75)):
+        rows, copies = [], []
+        for _ in range(60):  # pieces first in documents of their own, then the whole, then a copy of it with three words changed
+            w = words(rng, 60, 10**6)
+            rows += [words(rng, 30, 10**6) + w[i : i + size] + words(rng, 30, 10**6) for i in range(0, 60, size)]
+            rows.append(words(rng, 40, 10**6) + w + words(rng, 40, 10**6))
+            for i in rng.sample(range(60), 3):
+                w[i] = f"y{rng.randrange(10**6)}"
+            copies.append(len(rows))
+            rows.append(words(rng, 50, 10**6) + w + words(rng, 50, 10**6))
+        found = chaining.find(docs(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).toPandas()
+        assert (found.ref_id < found.doc_id).all()
+        got = {r.doc_id for r in found.itertuples() if min(r.end, 110) - max(r.start, 50) >= 40}
+        assert len(got & set(copies)) / len(copies) >= least, (size, len(got))
+
+
 def test_chaining_keeps_text_hashes_beside_open_chains(spark):
     rng = random.Random(31)
     passage, part, tail = words(rng, 60, 10**6), words(rng, 90, 10**6), words(rng, 90, 10**6)
